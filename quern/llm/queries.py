@@ -1,13 +1,16 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quern.llm import bpe, line_dedup, token_files
+from quern.llm import bpe, line_dedup, quality, token_files, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_files": token_files.op2_token_files,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op5_warc": warc.op5_warc,
     "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
