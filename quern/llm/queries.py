@@ -1,12 +1,14 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quern.llm import bpe, line_dedup, quality, token_files, warc
+from quern.llm import bpe, line_dedup, quality, sharding, token_files, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_files": token_files.op2_token_files,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_warc": warc.op5_warc,
+    "op6_sharding": sharding.op6_sharding,
     "op9_bpe": bpe.op9_bpe,
 }
 
