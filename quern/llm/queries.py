@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
-from quern.llm import bpe, jaccard_join, line_dedup, quality, sharding, token_files, url_filter, warc
+from quern.llm import bpe, decontaminate, jaccard_join, kneser_ney, line_dedup, quality, sharding, token_files, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_sharding": sharding.op6_sharding,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_bpe": bpe.op9_bpe,
+    "op10_lm_scoring": kneser_ney.op10_lm_scoring,
 }
 
 ORACLE = {
