@@ -53,7 +53,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY s, rules ORDER BY mean, m, t, r1
 plan("run_paths", f"WITH {_WALK} SELECT s, m, t, r1, r2, round(mean, 6) AS mean, CASE WHEN abs(z1 - z0) < 0.75 AND abs(z2 - z1) < 0.75 THEN 'flat' WHEN z1 - z0 >= 0.75 AND z2 - z1 <= -0.75 THEN 'cup' WHEN z1 - z0 <= -0.75 AND z2 - z1 >= 0.75 THEN 'cap' WHEN z2 > z0 THEN 'falling' ELSE 'rising' END AS profile FROM k WHERE rk <= 2")
 # Paths with the same marks are one run; a quota for each length, the longest first
 plan("run_collapse", f"WITH {_WALK}, g AS (SELECT least(s, m, t) AS lo, greatest(s, m, t) AS hi, s + m + t AS total, count(*) AS members, min(mean) AS best FROM k WHERE rk <= 2 GROUP BY 1, 2, 3) SELECT lo, hi, total, members, round(best, 6) AS best FROM g WHERE members >= 2")
-plan("topk_length_diverse", f"WITH {_QUOTA}, r AS (SELECT 2 AS length, src AS s, dst AS t, cost AS score FROM kept UNION ALL SELECT 3, e.src, f.dst, e.cost + f.cost FROM kept e JOIN kept f ON e.dst = f.src AND e.rule = 'turn' AND f.rule = 'contact'), k AS (SELECT length, s, t, min(score) AS score FROM r GROUP BY length, s, t), q AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY score, s, t) AS rl FROM k), o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN rl <= 20 THEN 0 ELSE 1 END, length DESC, score, s, t) AS place FROM q WHERE rl <= 60) SELECT CAST(length AS INT) AS length, s, t, round(score, 6) AS score FROM o WHERE place <= 60")
+plan("topk_length_diverse", f"WITH {_QUOTA}, r AS (SELECT 2 AS length, src AS s, dst AS t, cost AS score FROM kept UNION ALL SELECT 3, e.src, f.dst, e.cost + f.cost FROM kept e JOIN kept f ON e.dst = f.src AND e.rule = 'turn' AND f.rule = 'contact'), k AS (SELECT length, s, t, min(score) AS score FROM r GROUP BY length, s, t), q AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY score, s, t) AS rl FROM k), best AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN rl <= 20 THEN 0 ELSE 1 END, length DESC, score, s, t) AS place FROM q WHERE rl <= 60) SELECT CAST(length AS INT) AS length, s, t, round(score, 6) AS score FROM best WHERE place <= 60")
 
 # Families on a coarse grid, where exact orbits occur
 _COARSE = "@pix, co AS (SELECT vec_id, label, CAST(floor(y / 4) AS INT) AS y, CAST(floor(x / 4) AS INT) AS x, CASE WHEN sum(v) >= 8 THEN 1 ELSE 0 END AS v FROM pix GROUP BY vec_id, label, floor(y / 4), floor(x / 4)), g AS (SELECT vec_id, label, max(CASE WHEN y = 0 AND x = 0 THEN v END) AS a, max(CASE WHEN y = 0 AND x = 1 THEN v END) AS b, max(CASE WHEN y = 1 AND x = 0 THEN v END) AS c, max(CASE WHEN y = 1 AND x = 1 THEN v END) AS d FROM co GROUP BY vec_id, label)"
@@ -65,7 +65,7 @@ plan("zoning_buckets", "WITH @pix, z AS (SELECT vec_id, label, floor(y / 4) * 2
 # Distraction of glyphs within their block
 _MED = "@pix, i AS (SELECT vec_id, label, CAST(sum(v) AS INT) AS ink, sum(v) / CAST(64 AS DOUBLE) AS density FROM pix GROUP BY vec_id, label), m AS (SELECT label, median(density) AS med FROM i GROUP BY label)"
 plan("block_median_density", f"WITH {_MED} SELECT label, round(med, 6) AS median_density FROM m")
-_DIS = f"{_MED}, t AS (SELECT i.*, med, CASE WHEN i.vec_id % 3 = 0 THEN 0.55 ELSE 0.0 END AS alnum, 0.25 * least(1.0, density / 0.5) AS ink_term, 0.10 * least(1.0, greatest(0.0, (i.vec_id % 8) - 1.0) / 6.0) AS parts, 0.10 * least(1.0, greatest(0.0, density - med) / greatest(med, 1.0 / 64)) AS contrast FROM i JOIN m ON i.label = m.label), w AS (SELECT *, round(CAST(alnum AS DOUBLE) + ink_term + CAST(parts AS DOUBLE) + contrast, 6) AS weight FROM t)"
+_DIS = f"{_MED}, t AS (SELECT i.*, med, CASE WHEN i.vec_id % 3 = 0 THEN CAST(0.55 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS alnum, CAST(0.25 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), density / CAST(0.5 AS DOUBLE)) AS ink_term, CAST(0.1 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), greatest((i.vec_id % 8) - 1, 0) / CAST(6.0 AS DOUBLE)) AS parts, CAST(0.1 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE), density - med) / greatest(med, 1 / CAST(64 AS DOUBLE))) AS contrast FROM i JOIN m ON i.label = m.label), w AS (SELECT *, round(CAST(alnum AS DOUBLE) + ink_term + CAST(parts AS DOUBLE) + contrast, 6) AS weight FROM t)"
 plan("distraction_rank", f"WITH {_DIS} SELECT vec_id, label, weight, CAST(row_number() OVER (ORDER BY weight DESC, vec_id) AS INT) AS place FROM w ORDER BY weight DESC, vec_id LIMIT 40")
 plan("distraction_quietest", f"WITH {_DIS} SELECT vec_id, label, weight FROM w ORDER BY weight, vec_id LIMIT 40")
 plan("distract_flags", "WITH c AS (SELECT DISTINCT substr(text, 1, 1) AS ch FROM {documents} UNION SELECT DISTINCT substr(text, 2, 1) FROM {documents}) SELECT ch, CASE WHEN ch IN ('o', 'O', 'v', 'T', 'l', '7') THEN 'whitelist' WHEN ch IN ('u', 'c', 'C', 'x') THEN 'marginal' WHEN regexp_like(ch, '^[\\\\p{L}\\\\p{Nd}]$') THEN 'alnum' ELSE '' END AS flag FROM c WHERE ch <> ''", "WITH c AS (SELECT DISTINCT substr(text, 1, 1) AS ch FROM {documents} UNION SELECT DISTINCT substr(text, 2, 1) FROM {documents}) SELECT ch, CASE WHEN ch IN ('o', 'O', 'v', 'T', 'l', '7') THEN 'whitelist' WHEN ch IN ('u', 'c', 'C', 'x') THEN 'marginal' WHEN regexp_matches(ch, '^[\\p{L}\\p{Nd}]$') THEN 'alnum' ELSE '' END AS flag FROM c WHERE ch <> ''")
