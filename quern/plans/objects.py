@@ -87,7 +87,7 @@ def topology_delta(spark, sf_dir: str):
 def ramp_families(spark, sf_dir: str):
     """Ramps of ink within a block and a leading direction; larger buckets are reported as skipped."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         columns = ["label", "direction", "family", "members", "skipped"]
         if len(group) > BUCKET_CAP:
             return pd.DataFrame([(key[0], key[1], -1, [], len(group))], columns=columns)
@@ -119,7 +119,7 @@ def topo_families(spark, sf_dir: str):
 
         return vectors.map(one)
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         columns = ["signature", "family", "members", "spread", "skipped"]
         if len(group) > BUCKET_CAP:
             return pd.DataFrame([(key[0], -1, [], 0.0, len(group))], columns=columns)
