@@ -8,13 +8,15 @@ its one-deletion neighbourhood). If the allowances plus one sum to more than H,
 pair keeps within its allowance (pigeonhole): so the signatures lose no link.
 
 **Allocation.** How many segments of either kind a band gets follows from costs: signatures that all its sets send,
-and chance meetings of small subsets, which go with the square of the number of sets. The sizes
-are counted over all documents first. (Few sets: only whole subsets. Very many: larger subsets with deletions.)
+and sets that meet strangers by subsets of no or one token. The sizes are counted over all documents
+first. More segments than H + 1 may be cut at no more signatures: each set then leaves out those of its smallest subsets,
+as many as there are segments to spare (see ``_segments``), so empty subsets, which all share, are not sent.
 
 **Stars.** A signature's sets meet in a star: all with the smallest of them (as a window minimum, no pairs within a
-group). A pair that shares a signature lies in the star of its smallest set. A star's sets are verified exactly
+group). A pair that shares a signature lies in the star of its smallest set. A star's sets are compared
 in blocks: a star of at most ``BLOCK`` sets is one task's group; a larger one is dealt into blocks, and each two
-blocks meet in a group of their own. Within a group all links are found by counting common tokens over postings; what
+blocks meet in a group of their own. First by parity maps of a bit or two a token, whose distance never exceeds the sets'
+difference; what remains is verified exactly on the whole sets. Within a group all links are found by counting common tokens over postings; what
 goes out is a spanning forest, so never more rows than sets. Equal sets are one class throughout, and carried by their hash.
 
 **Components** are found over the forests by alternating large and small stars, each round written
@@ -36,8 +38,10 @@ from quern.llm import store
 from quern.llm.common import as_bytes, documents, mix, narrow, pieces, sets, shingles, words
 
 GROWTH = 1.5  # from one band's largest size to the next one's
+SIG_BYTES, SET_BYTES = 14, 16  # shuffled for a signature, and for a token of a set that is in a star
 BLOCK = 512  # sets of a verified block
-BLOCK_TOKENS = 4_000_000  # and tokens that a group may have before it is dealt into blocks
+SLICE = 1 << 20  # bytes of text at once
+BLOCK_TOKENS = 1_000_000  # and tokens that a group may have before it is dealt into blocks
 
 
 class Bands:
@@ -66,23 +70,31 @@ class Bands:
         high = self.top[b]
         return math.floor((1 - t) / (1 + t) * (high + self.partner(high)))
 
-    def _plan(self, b: int, count: list[int]) -> tuple[int, int]:
-        """(segments with allowance 0, segments with allowance 1) of least cost."""
+    def _plan(self, b: int, count: list[int]) -> tuple[int, int, int]:
+        """(segments with allowance 0, segments with allowance 1, signatures of the first that each set leaves out) of least cost.
+
+        Costs are bytes shuffled: signatures that all sets of the band send, and the sets themselves
+        where a subset so small that strangers share it (empty, or one token less) brings them into a star.
+        """
         need = self.differ(b) + 1
         if need <= 1:
-            return 0, 0  # only equal sets are linked
+            return 0, 0, 0  # only equal sets are linked
         n = count[b] + sum(c for k, c in enumerate(count[b + 1 :], b + 1) if self.top[k - 1] < self.partner(self.top[b]))
         size = self.top[b] / math.sqrt(GROWTH)
-        best, least = (need, 0), math.inf
-        for ones in range(0, need // 2 + 1, max(1, need // 16)):
+        met = lambda p: 1 - math.exp(-n * p)  # noqa: E731  whether any other set has the same small subset
+        options = []
+        for part in (0, 5, 10, 15, 20, 30, 40, 60):
+            zeros = need + need * part // 100
+            none = math.exp(-size / zeros)
+            weak = max(0.0, zeros * none - (zeros - need)) * met(none)
+            options.append((need * SIG_BYTES + size * SET_BYTES * min(1.0, weak), zeros, 0, zeros - need))
+        for ones in range(1, need // 2 + 1, max(1, need // 16)):
             zeros = need - 2 * ones
             per = size / (zeros + ones)
-            # a subset of k tokens: two sets meet by chance where both have very few (Poisson)
-            chance0, chance1 = math.exp(-2 * per), math.exp(-2 * per) * (1 + per) ** 2
-            cost = n * (zeros + ones * (2 + per)) + 0.5 * n * n * (zeros * chance0 + ones * chance1)
-            if cost < least:
-                best, least = (zeros, ones), cost
-        return best
+            none = math.exp(-per)
+            weak = zeros * none * met(none) + ones * none * (1 + per) * met(none * (1 + per))
+            options.append(((zeros + ones * (1 + per)) * SIG_BYTES + size * SET_BYTES * min(1.0, weak), zeros, ones, 0))
+        return min(options)[1:]
 
     def signatures(self, tokens: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, set number) of all sets given as sorted runs of tokens."""
@@ -104,8 +116,8 @@ class Bands:
         return (np.concatenate(out), np.concatenate(who)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     def _segments(self, tokens, owners, bands, chosen):
-        plan = np.array(self.plan, np.int64).reshape(-1, 2)
-        zeros, ones = plan[bands, 0], plan[bands, 1]
+        plan = np.array(self.plan, np.int64).reshape(-1, 3)
+        zeros, ones, spare = plan[bands, 0], plan[bands, 1], plan[bands, 2]
         total = zeros + ones
         use = chosen[total[chosen] > 0]
         live = total[owners] > 0
@@ -125,7 +137,16 @@ class Bands:
         by = np.repeat(np.arange(len(bands)), n)
         number = np.arange(len(by)) - first[by]
         salt = mix((bands[by].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(77))
-        out, who = [mix(subset + salt)], [by]
+        whole = mix(subset + salt)
+        # Each set leaves out as many signatures as there are segments to spare, those of its smallest subsets (ties by
+        # hash). Of the signatures that two linked sets share, more than that, the one that comes last in
+        # this order has the others before it in both sets, so neither leaves it out.
+        filled = np.bincount(where, minlength=len(subset))
+        order = np.lexsort((whole, filled, by))
+        place = np.empty(len(by), np.int64)
+        place[order] = np.arange(len(by)) - first[by]
+        stay = place >= spare[by]
+        out, who = [whole[stay]], [by[stay]]
         gone = segment >= zeros[owners]  # segments with allowance 1 come last; their subsets with one token out
         if gone.any():
             at = where[gone]
@@ -154,11 +175,27 @@ def set_hash(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_maps(tokens: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bitmap of each set, of 64 bits or its size rounded up to a power of two: bit b is the parity of the tokens whose hash ends in b.
+
+    Each token in which two sets differ turns one bit, so the Hamming distance of their maps is no larger than
+    the number of those tokens. A map folds to half its length by exclusive or.
+    """
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    start = np.cumsum(bits) - bits
+    cell = start[owners] + (mix(tokens ^ np.uint64(0x3C6E_F372)) & (bits[owners] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(bits.sum()) // 8, np.uint8)
+    np.bitwise_xor.at(out, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+    data = out.tobytes()
+    return [data[a // 8 : (a + n) // 8] for a, n in zip(start.tolist(), bits.tolist())]
+
+
 def _sizes(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            tokens, _, n = token_sets(as_bytes(batch.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n).view(np.int64))], ["doc_id", "n_shingles", "class"])
+        for batch in pieces(batches, most=SLICE):
+            tokens, owners, n = token_sets(as_bytes(batch.column("text")), shingle)
+            made = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n).view(np.int64)), pa.array(parity_maps(tokens, owners, n), pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "class", "map"])
 
     return run
 
@@ -166,7 +203,7 @@ def _sizes(shingle: int):
 def _signatures(shingle: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # classes that this task has sent already: copies go no further
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=SLICE):
             tokens, owners, n = token_sets(as_bytes(batch.column("text")), shingle)
             names = set_hash(tokens, n)
             fresh = np.zeros(len(n), bool)
@@ -184,12 +221,76 @@ def _signatures(shingle: int, bands: Bands):
 
 
 def _set_rows(shingle: int):
+    keys = ["star", "x", "y", "sub", "class", "side"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=SLICE):
             tokens, _, n = token_sets(as_bytes(batch.column("text")), shingle)
+            # another row of the same id may have another text: the class says which one is meant
+            same = pa.array(set_hash(tokens, n).view(np.int64) == batch.column("class").to_numpy())
             ends = np.concatenate([[0], np.cumsum(n)])
             data = tokens.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(n.astype(np.int64)), pa.array([data[8 * a : 8 * b] for a, b in zip(ends, ends[1:])], pa.binary())], ["class", "n", "tokens"])
+            made = [batch.column(c) for c in keys] + [pa.array([data[8 * a : 8 * b] for a, b in zip(ends, ends[1:])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, [*keys, "tokens"]).filter(same)
+
+    return run
+
+
+class Roots:
+    """Union-find over names; the smallest name is the root."""
+
+    def __init__(self, names):
+        self.up = {n: n for n in names}
+
+    def top(self, x):
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        """Whether the two were apart."""
+        p, q = self.top(x), self.top(y)
+        self.up[max(p, q)] = min(p, q)
+        return p != q
+
+
+def near_maps(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]] | None, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of (size, parity map) that may be linked: no linked pair is left out."""
+    other = left if right is None else right
+    width = min(len(m) for _, m in [*left, *other]) // 8
+
+    def folded(rows):
+        out = np.empty((len(rows), width), np.uint64)
+        for k, (_, m) in enumerate(rows):
+            out[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, width))
+        return out
+
+    maps, sizes = folded(other), np.array([n for n, _ in other])
+    for i, ((n, _), own) in enumerate(zip(left, maps if right is None else folded(left))):
+        most = (den - num) * (n + sizes) // (den + num)
+        ok = (num * np.maximum(n, sizes) <= den * np.minimum(n, sizes)) & (np.bitwise_count(maps ^ own).sum(1) <= most)
+        hit = np.flatnonzero(ok)
+        for j in hit[hit > i] if right is None else hit:
+            yield i, int(j)
+
+
+def _sift(num: int, den: int):
+    """Of a group, the sets that may be linked with another one, in the parts that such pairs make."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_pylist()
+        rows = list(zip(group.column("n").to_pylist(), group.column("map").to_pylist()))
+        first, second = ([k for k, s in enumerate(side) if s == which] for which in (0, 1))
+        within = group.column("x")[0].as_py() == group.column("y")[0].as_py()
+        roots, live = Roots(range(len(rows))), set()
+        if first and (within or second):
+            for i, j in near_maps([rows[k] for k in first], None if within else [rows[k] for k in second], num, den):
+                a, b = first[i], first[j] if within else second[j]
+                roots.join(a, b)
+                live.update((a, b))
+        keep = sorted(live)
+        return group.select(["doc_id", "star", "x", "y", "class", "side"]).take(pa.array(keep, pa.int64())).append_column("sub", pa.array([roots.top(k) for k in keep], pa.int32()))
 
     return run
 
@@ -217,28 +318,18 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den:
 
 def _verify(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
-        name = group.column("class").to_pylist()
-        side = group.column("side").to_pylist()
+        name, side = group.column("class").to_pylist(), group.column("side").to_pylist()
         tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        first = [k for k, s in enumerate(side) if s == 0]
-        second = [k for k, s in enumerate(side) if s == 1]
-        left = [tokens[k] for k in first]
-        found = links(left, [tokens[k] for k in second] if second else None, num, den)
-        root = {c: c for c in name}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        first, second = ([k for k, s in enumerate(side) if s == which] for which in (0, 1))
+        within = group.column("x")[0].as_py() == group.column("y")[0].as_py()
+        roots = Roots(name)
         a, b = [], []
-        for i, j, _ in found:
-            x, y = name[first[i]], name[second[j] if second else first[j]]
-            if (p := top(x)) != (q := top(y)):
-                root[max(p, q)] = min(p, q)
-                a.append(x)
-                b.append(y)
+        if first and (within or second):
+            for i, j, _ in links([tokens[k] for k in first], None if within else [tokens[k] for k in second], num, den):
+                x, y = name[first[i]], name[first[j] if within else second[j]]
+                if roots.join(x, y):
+                    a.append(x)
+                    b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -273,7 +364,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     folder = store.new_dir(spark, "jaccard")
     rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sized = store.table(rows.mapInArrow(_sizes(shingle), "doc_id long, n_shingles long, class long"), f"{folder}/sizes")
+    sized = store.table(rows.mapInArrow(_sizes(shingle), "doc_id long, n_shingles long, class long, map binary"), f"{folder}/sizes")
     # sizes that differ by little share a row: the histogram has a bounded number of rows
     scale = F.floor(F.log(F.col("n_shingles").cast("double")) * 20)
     spread = sized.filter("n_shingles > 0").groupBy(scale.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("most")).collect()
@@ -285,31 +376,30 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     low = F.min("class").over(Window.partitionBy("sig"))
     stars = sent.withColumn("star", low).filter(F.col("class") != F.col("star")).select("star", "class").distinct()
     stars = store.table(stars, f"{folder}/stars")
-    # each class with its text once: of the copies, the row with the smallest id
-    wanted = stars.select("class").union(stars.select(F.col("star").alias("class"))).distinct()
-    heads = sized.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    heads = heads.join(wanted, "class").select("doc_id", "class")
-    held = rows.join(heads.hint("shuffle_hash"), "doc_id").select("class", "text")
-    held = held.mapInArrow(_set_rows(shingle), "class long, n long, tokens binary").dropDuplicates(["class"])
-    held = store.table(held, f"{folder}/sets")
-
-    full = stars.union(stars.select("star", F.col("star").alias("class")).distinct())
-    full = full.join(held.select("class", "n"), "class")
+    # each class by one row of its own: of the copies, the one with the smallest id
+    heads = sized.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    maps = sized.join(heads, ["doc_id", "class"]).select("doc_id", "class", "n", "map")
+    full = stars.union(stars.select("star", F.col("star").alias("class")).distinct()).join(heads, "class")
     total = full.groupBy("star").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("sets") / F.lit(BLOCK)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS))).cast("int")
     full = full.join(total.select("star", blocks.alias("blocks")), "star")
     full = full.withColumn("block", F.pmod(F.xxhash64("class", "star"), F.col("blocks")).cast("int"))
-    # block x meets itself and all others, once each: group (low, high), side 0 for the low one
+    # block x meets itself and all others, once each: group (x, y), side 0 for the lower one
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
     dealt = full.select("star", "class", F.explode(meets).alias("m")).select("star", "class", "m.x", "m.y", F.col("m.side").alias("side"))
-    groups = dealt.join(held, "class").select("star", "x", "y", "class", "side", "tokens")
-    forest = groups.groupBy("star", "x", "y").applyInArrow(_verify(num, den), "a long, b long")
+    # first by their parity maps, which are small; whole sets go only where a pair may be linked
+    sifted = dealt.join(maps, "class").groupBy("star", "x", "y").applyInArrow(_sift(num, den), "doc_id long, star long, x int, y int, class long, side int, sub int")
+    dealt = store.table(sifted, f"{folder}/dealt")
+    groups = rows.join(dealt.hint("shuffle_hash"), "doc_id").select("star", "x", "y", "sub", "class", "side", "text")
+    groups = groups.mapInArrow(_set_rows(shingle), "star long, x int, y int, sub int, class long, side int, tokens binary")
+    forest = groups.groupBy("star", "x", "y", "sub").applyInArrow(_verify(num, den), "a long, b long")
     found = components(forest, folder)
 
     # classes to components, then a component's smallest document
     roots = sized.join(found, sized["class"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
     roots = store.table(roots, f"{folder}/roots")
     least = roots.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    least = store.table(least, f"{folder}/least")  # both sides are then dealt anew, and a component with very many rows is split
     out = roots.join(least, "root", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("least").isNotNull() & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))

@@ -70,14 +70,17 @@ def test_op7(spark, tmp_path):
     assert jj.op7_jaccard_join(spark, folder(spark, tmp_path / "n", [None, ""])).count() == 2
 
 
-@pytest.mark.parametrize("sizes", [None, {10: 10**9, 100: 10**9, 1000: 10**9}])
-def test_signatures_lose_no_link(sizes):
-    """Linked pairs share a signature, also where the costs lead to segments with deletions."""
+@pytest.mark.parametrize("kind", ["plain", "many sets", "spare", "deletions"])
+def test_signatures_lose_no_link(kind):
+    """Linked pairs share a signature, by every kind of allocation."""
     rng = np.random.default_rng(6)
     for num, den in ((9, 10), (8, 10), (6, 10)):
-        bands = jj.Bands(num, den, 2000, sizes)
-        if sizes:
-            assert any(ones for _, ones in bands.plan)
+        bands = jj.Bands(num, den, 2000, {10: 10**9, 100: 10**9, 1000: 10**9} if kind == "many sets" else None)
+        need = [bands.differ(b) + 1 for b in range(len(bands.top))]
+        if kind == "spare":
+            bands.plan = [(2 * n, 0, n) if n > 1 else (0, 0, 0) for n in need]
+        if kind == "deletions":
+            bands.plan = [(n % 2, n // 2, 0) if n > 1 else (0, 0, 0) for n in need]
         for _ in range(150):
             n = int(rng.integers(2, 300))
             a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
@@ -91,6 +94,22 @@ def test_signatures_lose_no_link(sizes):
             assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
 
 
+def test_parity_maps_lose_no_link():
+    rng = np.random.default_rng(8)
+    for num, den in ((9, 10), (8, 10)):
+        rows = []
+        for _ in range(60):
+            base = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 400))).astype(np.uint64))
+            for drop in (0, 1, 3, 10, len(base) // 8):
+                rows.append(np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 62, drop % 3).astype(np.uint64)])))
+        rows = [r for r in rows if len(r)]
+        sizes = np.array([len(r) for r in rows])
+        maps = jj.parity_maps(np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes), sizes)
+        near = set(jj.near_maps(list(zip(sizes.tolist(), maps)), None, num, den))
+        linked = {(i, j) for i, j, _ in jj.links(rows, None, num, den)}
+        assert linked and linked <= near
+
+
 def test_components(spark):
     from quern.llm import store
 
