@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import BYTE, LOWER, P, PINV, SPACE, as_bytes, as_text, documents, narrow, pieces, powers
 
-CACHE = 150_000  # words whose tokens a worker keeps
+CACHE = 100_000  # words whose tokens a worker keeps
 
 
 class Merges:

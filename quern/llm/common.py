@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 #: ASCII white space of the contracts, [\x20\x09-\x0D].
 SPACE = b" \t\n\v\f\r"
 #: Bytes of text that a task takes into its numpy work at once.
-SLICEBYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def as_text(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICEBYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``most`` bytes of text at most (one long text stays whole)."""
     for batch in batches:
         if not batch.num_rows:
@@ -50,6 +51,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a task, and the next one may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

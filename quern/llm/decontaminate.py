@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quern.llm import store
 from quern.llm.common import as_bytes, documents, narrow, pieces, words
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 CHUNK = 50_000
 #: What is no word: ASCII signs and control characters, [\x00-\x2F\x3A-\x60\x7B-\x7F] (after lower-casing).
 APART = np.zeros(256, bool)
