@@ -407,3 +407,16 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), shingle=3, num=90, den=100)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id AND r.root < l.y),
+g AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN g USING (doc_id)
+"""

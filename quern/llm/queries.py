@@ -18,4 +18,6 @@ QUERIES = {
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
 }
