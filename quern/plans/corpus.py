@@ -88,8 +88,9 @@ plan("lattice_cells", f"WITH @chars, {_CELLS} SELECT code, count(*) AS n, count(
 plan(
     "window_patterns",
     f"""WITH @chars, {_CELLS},
-w AS (SELECT a.slug, a.page, concat(a.code, '|', b.code, '/', c.code, '|', d.code) AS k FROM cells a JOIN cells b ON a.page = b.page AND a.r = b.r AND b.c = a.c + 1 JOIN cells c ON a.page = c.page AND c.r = a.r + 1 AND c.c = a.c JOIN cells d ON a.page = d.page AND d.r = a.r + 1 AND d.c = a.c + 1
- WHERE a.ink + b.ink > 0 AND c.ink + d.ink > 0 AND a.ink + c.ink > 0 AND b.ink + d.ink > 0)
+side AS (SELECT slug, page, r, c, code, ink, lead(c) OVER (PARTITION BY page, r ORDER BY c) AS c2, lead(code) OVER (PARTITION BY page, r ORDER BY c) AS code2, lead(ink) OVER (PARTITION BY page, r ORDER BY c) AS ink2 FROM cells),
+two AS (SELECT * FROM side WHERE c2 = c + 1 AND ink + ink2 > 0),
+w AS (SELECT a.slug, a.page, concat(a.code, '|', a.code2, '/', b.code, '|', b.code2) AS k FROM two a JOIN two b ON a.page = b.page AND b.r = a.r + 1 AND b.c = a.c WHERE a.ink + b.ink > 0 AND a.ink2 + b.ink2 > 0)
 SELECT k, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS slugs FROM w GROUP BY k HAVING count(DISTINCT page) >= 2""",
 )
 # Glyphs whose extents overlap by a pixel and more in adjacent rows
