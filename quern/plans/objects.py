@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import raster
@@ -69,18 +70,24 @@ _shapes("continuity", "distance double", lambda m: (raster.structure_distance(m,
 def topology_delta(spark, sf_dir: str):
     """Parts and holes of two shapes stacked, less those of the shapes: each with the next one of its block."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
-        grids = [raster.from_vector(e) for e in group["embedding"]]
-        rows = []
-        for (i, a), (j, b) in zip(zip(group["vec_id"], grids), list(zip(group["vec_id"], grids))[1:]):
-            whole, own = raster.topology(raster.stacked(a, b)), [raster.topology(x) for x in (a, b)]
-            rows.append((i, j, *(w - sum(o[k] for o in own) for k, w in enumerate(whole)), raster.emptiness_matters([a, b], 1), raster.structure_distance(a, b)))
-        return pd.DataFrame(rows, columns=["a", "b", "parts", "holes", "second_matters", "distance"])
-
-    rows = table(spark, sf_dir, "embeddings")
-    # blocks are dealt by stretches of ids, so a block of very many shapes is many groups
-    return rows.withColumn("stretch", F.floor(F.col("vec_id") / 256)).groupBy("label", "stretch").applyInPandas(run, "a long, b long, parts int, holes int, second_matters boolean, distance double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, e, j, f in zip(batch["a"], batch["e"], batch["b"], batch["f"]):
+                a, b = raster.from_vector(e), raster.from_vector(f)
+                whole, own = raster.topology(raster.stacked(a, b)), [raster.topology(x) for x in (a, b)]
+                rows.append((i, j, *(w - sum(o[k] for o in own) for k, w in enumerate(whole)), raster.emptiness_matters([a, b], 1), raster.structure_distance(a, b)))
+            yield pd.DataFrame(rows, columns=["a", "b", "parts", "holes", "second_matters", "distance"])
+
+    shape = F.struct("vec_id", "embedding").alias("shape")
+    rows = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 256).alias("stretch"), shape)
+    # blocks are dealt by stretches of ids, so a block of very many shapes is many groups; each takes over the first shape of the block's next one
+    heads = rows.groupBy("label", "stretch").agg(F.min("shape").alias("shape"))
+    carried = heads.withColumn("shape", F.lead("shape").over(Window.partitionBy("label").orderBy("stretch"))).filter("shape IS NOT NULL")
+    following = F.lead("shape").over(Window.partitionBy("label", "stretch").orderBy("shape"))
+    pairs = rows.unionByName(carried).withColumn("next", following).filter("next IS NOT NULL")
+    pairs = pairs.selectExpr("shape.vec_id AS a", "shape.embedding AS e", "next.vec_id AS b", "next.embedding AS f")
+    return pairs.mapInPandas(run, "a long, b long, parts int, holes int, second_matters boolean, distance double")
 
 
 @query("ramp_families")
