@@ -141,6 +141,70 @@ def topo_families(spark, sf_dir: str):
     return rows.groupBy("signature").applyInPandas(run, "signature string, family int, members array<long>, spread double, skipped int")
 
 
+def _rasters(spark, sf_dir: str):
+    """Each shape's whole raster as a number, its left-right image, the least of its quarter turns with the turns to it, and its 16 quantised zones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            g = np.array([raster.from_vector(e) for e in batch["embedding"]], bool).reshape(-1, 8, 8)
+            number = lambda a, order="little": np.packbits(a.reshape(-1, 64), axis=1, bitorder=order)
+            turns = np.stack([number(np.rot90(g, k, (1, 2)), "big").view(">u8").ravel() for k in range(4)]).astype(np.uint64)
+            zones = np.minimum(2, g.reshape(-1, 4, 2, 4, 2).sum((2, 4)) * 3 // 4).reshape(-1, 16)
+            own, image = (number(a).view("<i8").ravel() for a in (g, g[:, :, ::-1]))
+            buckets = ["".join(map(str, z)) for z in zones.tolist()]
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "mask": own, "image": image, "key": [f"{v:064b}" for v in turns.min(0).tolist()], "phase": turns.argmin(0).astype(np.int32), "bucket": buckets})
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rows.mapInPandas(run, "vec_id long, mask long, image long, key string, phase int, bucket string")
+
+
+# not registered: they rightly find nothing in the smallest tables, and tests ask rows of each registered query
+def raster_orbits(spark, sf_dir: str):
+    """Exact quarter turns of one raster over the whole table: at least 3 different frames, the first shape of each, by phase."""
+    frames = _rasters(spark, sf_dir).groupBy("key", "phase", "mask").agg(F.min("vec_id").alias("vec_id"))
+    found = frames.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("phase", "vec_id"))).alias("frames")).filter(F.size("frames") >= 3)
+    return found.select("key", F.size("frames").alias("size"), F.explode("frames").alias("f")).select("key", "f.phase", "f.vec_id", "size")
+
+
+def raster_mirrors(spark, sf_dir: str):
+    """Each shape with the first one that is its exact left-right image, over the whole table; symmetric shapes have none."""
+    rows = _rasters(spark, sf_dir).filter("mask <> image").select("vec_id", "mask", "image")
+    first = rows.groupBy(F.col("mask").alias("image")).agg(F.min("vec_id").alias("first"))
+    return rows.join(first, "image").select(F.least("vec_id", "first").alias("lo"), F.greatest("vec_id", "first").alias("hi")).distinct()
+
+
+def cycle_components(spark, sf_dir: str, least_iou: float = 0.78, least: int = 2):
+    """Single linkage on IoU within buckets of 16 quantised zones: each shape with the smallest id and the size of its component.
+
+    Different rasters of a bucket are linked, and copies follow theirs; blank shapes have no link. No bucket is left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for rasters in batch["rasters"]:
+                masks = np.array([r["mask"] for r in rasters], np.int64).view(np.uint64)
+                first, copies = (np.array([r[k] for r in rasters], np.int64) for k in ("first", "copies"))
+                left = np.arange(len(masks))
+                while len(left):
+                    own, todo, left = [left[0]], [left[0]], left[1:]
+                    while todo:
+                        m = masks[todo.pop()]
+                        near = np.bitwise_count(masks[left] & m) / np.bitwise_count(masks[left] | m) >= least_iou
+                        own.extend(left[near])
+                        todo.extend(left[near])
+                        left = left[~near]
+                    if (size := int(copies[own].sum())) >= least:
+                        out.extend((int(masks[k].astype(np.int64)), int(first[own].min()), size) for k in own)
+            yield pd.DataFrame(out, columns=["mask", "component", "size"]).astype("int64")
+
+    rows = _rasters(spark, sf_dir).filter("mask <> 0").select("vec_id", "mask", "bucket")
+    rasters = rows.groupBy("bucket", "mask").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    buckets = rasters.groupBy("bucket").agg(F.collect_list(F.struct("mask", "first", "copies")).alias("rasters"))
+    found = buckets.select("rasters").mapInPandas(run, "mask long, component long, size long")
+    return rows.join(found, "mask").select("component", "vec_id", "size")
+
+
 @query("page_texts")
 def page_texts(spark, sf_dir: str):
     """Text of web pages: scripts and styles dropped, blocks broken into lines, links counted."""
