@@ -13,7 +13,7 @@ from quern.operators import raster
 from quern.registry import query
 from quern.sources.tables import table
 
-#: A bucket of more shapes is left out, as its families would be noise; the query reports those buckets.
+#: A signature's bucket of more shapes is left out, as its families would be noise; the query reports those buckets.
 BUCKET_CAP = 500
 
 
@@ -92,12 +92,10 @@ def topology_delta(spark, sf_dir: str):
 
 @query("ramp_families")
 def ramp_families(spark, sf_dir: str):
-    """Ramps of ink within a block and a leading direction; larger buckets are reported as skipped."""
+    """Ramps of ink within a block and a leading direction; none is skipped, whatever its size."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         columns = ["label", "direction", "family", "members", "skipped"]
-        if len(group) > BUCKET_CAP:
-            return pd.DataFrame([(key[0], key[1], -1, [], len(group))], columns=columns)
         found = raster.ramps(group["vec_id"].tolist(), [raster.from_vector(e) for e in group["embedding"]], 0.55)
         return pd.DataFrame([(key[0], key[1], k, m, 0) for k, m in enumerate(found)], columns=columns)
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 from quern import registry
+from quern.operators import raster
 from quern.plans import objects
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -80,3 +81,13 @@ def test_families_of_whole_rasters(spark, tmp_path):
     want = sorted((h, i, head.count(h)) for i, h in enumerate(head) if head.count(h) > 1)
     got = objects.cycle_components(spark, sf).collect()
     assert len(want) >= 24 and sorted((r.component, r.vec_id, r.size) for r in got) == want
+
+
+def test_ramps_of_a_large_bin(spark, tmp_path):
+    grow = [np.zeros((8, 8), bool) for _ in range(3)]
+    for g, n in zip(grow, (4, 5, 6)):
+        g[2:5, 1 : 1 + n] = True
+    assert len({int(np.argmax(raster.orientation_shares(g))) for g in grow}) == 1
+    sf = shapes(spark, tmp_path, [(i, number(grow[i % 3]), 0) for i in range(630)])
+    (got,) = registry.QUERIES["ramp_families"](spark, sf).collect()
+    assert got.skipped == 0 and got.members == sorted(range(630), key=lambda i: (i % 3, i))
