@@ -1,18 +1,20 @@
 """BPE encoding and decoding as a streaming transducer with bounded lookahead.
 
 **Encoding.** For every prefix of a word there is one last token of its encoding: the token t that ends
-there such that (last token of what is before t, t) is a pair which BPE itself would leave standing. So
-reading one symbol adds one entry (``last token``), and an encoding is a walk back through the entries.
+there such that (last token of what is before t, t) is a pair which BPE itself would leave standing. An automaton over the
+vocabulary gives the tokens that end at a symbol, the longest first; so reading one symbol adds one entry (``last token``), and an
+encoding is a walk back through the entries.
 A later symbol can only undo a merge by a chain of merges of falling rank; ``Merges.lookahead`` is the
 length of the longest such chain of the merge list, in symbols. Tokens that end before the
 lookahead are stable: they are emitted, and their entries go. So memory doesn't grow with a word. (Before emitting, the
-walks of all live entries are held against each other; were the bound too small, tokens would wait.)
+walks of all live entries are held against each other; were the bound too small, tokens would wait.) Every word goes this way,
+whatever its length; the end of a word makes all its tokens stable.
 
-**Decoding.** A state machine takes tokens one by one: their bytes go through an incremental UTF-8
+**Decoding.** A state machine takes a document's tokens in order, some at a time: their bytes go through an incremental UTF-8
 decoder, which holds back at most three bytes of an unfinished character.
 
-A slice of texts is first cut into words with numpy, and each distinct word goes through the
-transducer once; what it gives is kept in a bounded cache, as natural text repeats its words.
+Texts are cut into units (words, digits, runs of signs) by the file's word pattern. A unit's tokens are kept in a bounded
+cache under its bytes, as natural text repeats its words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ import codecs
 import gc
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +33,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BYTE, LOWER, P, PINV, SPACE, as_bytes, as_text, documents, narrow, pieces, powers
+from quern.llm.common import as_bytes, as_text, documents, narrow, no_clash, pieces, stretches
 
-CACHE = 100_000  # words whose tokens a worker keeps
+CACHE = 200_000  # words whose tokens a worker keeps
 
 
 class Merges:
-    """A merge list: tokens by name, the two parts of each merged token, and its sufficient lookahead."""
+    """A merge list: tokens by name, the two parts of each merged token, and its sufficient lookahead.
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
+    A symbol is a character; with a ``suffix``, the last one of a word is another symbol than the same character within it.
+    """
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", first: list[str] = ()):
+        """``first``: symbols that have the numbers from 0, in this order."""
         self.vocab, self.suffix = vocab, suffix
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        self.made: list[int] = []  # the token that each merge makes
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}  # the rank of the merge that makes a token; -1: a single symbol
@@ -48,77 +55,63 @@ class Merges:
             left, right, both = vocab[a], vocab[b], vocab[a + b]
             if both in self.born:
                 raise ValueError(f"two merges make {a + b!r}")
-            self.made.append(both)
             self.rank[left, right], self.parts[both], self.born[both] = rank, (left, right), rank
-        # tokens that BPE can reach, by their symbols; a token that ends a word is under its name with the suffix
-        self.reach = {name: i for name, i in vocab.items() if i in self.born or self._single(name)}
-        self.length = {i: self._symbols(name) for name, i in self.reach.items()}
-        self.longest = max(self.length.values(), default=1)
-        # ends of tokens, with the suffix and without: the search for tokens that end somewhere stops where these do
-        self.inner, self.final = ({}, {}) if self.suffix else ({}, None)
-        for name, i in self.reach.items():
-            if self.suffix and name.endswith(self.suffix) and len(name) > len(self.suffix):
-                self._ends(self.final, name.removesuffix(self.suffix), i)
-            else:
-                self._ends(self.inner, name, i)
-        self.final = self.inner if self.final is None else self.final
+        # tokens that BPE can reach, by their symbols
+        spelt = {i: self._symbols(name) for name, i in vocab.items()}
+        spelt = {i: x for i, x in spelt.items() if i in self.born or len(x) == 1}
+        self.symbol = {x[0]: k for k, x in enumerate(dict.fromkeys([*((c,) for c in first), *((x[0],) for x in spelt.values() if len(x) == 1)]))}
+        self.length = [0] * (max(vocab.values(), default=0) + 1)
+        for i, x in spelt.items():
+            self.length[i] = len(x)
+        self.longest = max(map(len, spelt.values()), default=1)
+        self._automaton(spelt)
         self._fits: dict[int, bool] = {}
         self.lookahead = self._lookahead(pairs)
 
-    def _symbols(self, name: str) -> int:
-        return len(name.removesuffix(self.suffix) or name) if self.suffix else len(name)
-
-    @staticmethod
-    def _ends(table: dict[str, int], name: str, i: int) -> None:
-        for k in range(len(name) - 1, 0, -1):
-            table.setdefault(name[k:], -1)
-        table[name] = i
-
-    def last_tokens(self, text: str, last: list[int], before: int, start: int, stop: int, final: bool) -> None:
-        """Appends the last tokens of the prefixes of ``text`` up to ``stop``; -2: the symbol is in no token."""
-        fits, get, known = self.fits, (self.final if final else self.inner).get, self._fits.get
-        for end in range(start + 1, stop + 1):
-            size, found, longest = 1, [], -2
-            while size <= end and (t := get(text[end - size : end])) is not None:
-                if t >= 0:
-                    found.append((size, t))
-                size += 1
-            for size, t in reversed(found):
-                prior = last[end - size - 1] if end > size else before
-                if prior == -1 or prior >= 0 and (known(prior << 32 | t) or fits(prior, t)):
-                    longest = t
-                    break
-                if prior == -2 and size == 1:
-                    longest = t
-            last.append(longest)
-
-    def short(self, text: str) -> tuple[int, ...]:
-        """Tokens of a word that is no longer than the lookahead.
-
-        Nothing can go out before its end, so what the transducer would hold is merged in order of rank.
-        """
-        try:
-            ids = [self.vocab[c] for c in text[:-1]]
-            ids.append(self.vocab[text[-1] + self.suffix])
-        except (KeyError, IndexError):
-            return tuple(self.stream(text))
-        get, none = self.rank.get, len(self.made)
-        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
-            i = ranks.index(low)
-            ids[i : i + 2] = [new := self.made[low]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], new), none)
-            if i < len(ranks):
-                ranks[i] = get((new, ids[i + 1]), none)
-        return tuple(ids)
-
-    def _single(self, name: str) -> bool:
-        return self._symbols(name) == 1
+    def _symbols(self, name: str) -> list[str]:
+        base = name.removesuffix(self.suffix) if self.suffix else name
+        return list(name) if base == name or not base else [*base[:-1], base[-1] + self.suffix]
+
+    def _automaton(self, spelt: dict[int, list[str]]) -> None:
+        """States are beginnings of tokens; ``ending`` is the longest token that ends in a state, ``shorter`` the next one that ends with a token."""
+        self.width = len(self.symbol)
+        self.trie: dict[int, int] = {}
+        own, back = [-1], [0]
+        edges: list[list[tuple[int, int, int]]] = [[] for _ in range(self.longest)]
+        for i, x in spelt.items():
+            state = 0
+            for depth, c in enumerate(x):
+                key = state * self.width + self.symbol[c]
+                if key not in self.trie:
+                    self.trie[key] = len(own)
+                    edges[depth].append((state, self.symbol[c], len(own)))
+                    own.append(-1)
+                    back.append(0)
+                state = self.trie[key]
+            own[state] = i
+        self.back, self.ending, self.shorter = back, own, [-1] * len(self.length)
+        self.jump: dict[int, int] = {}
+        for level in edges:
+            for state, c, here in level:
+                back[here] = self.step(back[state], c) if state else 0
+                before = self.ending[back[here]]
+                if own[here] >= 0:
+                    self.shorter[own[here]] = before
+                else:
+                    own[here] = before
+        self.jump.clear()
+
+    def step(self, state: int, symbol: int) -> int:
+        """The longest beginning of a token that the text then ends with."""
+        key = state * self.width + symbol
+        if (out := self.jump.get(key)) is None:
+            at = state
+            while (out := self.trie.get(at * self.width + symbol)) is None and at:
+                at = self.back[at]
+            if len(self.jump) > 500_000:
+                self.jump.clear()
+            out = self.jump[key] = out or 0
+        return out
 
     def _lookahead(self, pairs: list) -> int:
         """Symbols beyond a token's end that can still change it.
@@ -131,13 +124,13 @@ class Merges:
         most = 0
         for a, b in pairs:
             left, right = self.vocab[a], self.vocab[b]
-            x, chain = right, 0
+            x, reach = right, 0
             while True:
-                chain = max(chain, far.get(x, 0))
+                reach = max(reach, far.get(x, 0))
                 if x not in self.parts:
                     break
                 x = self.parts[x][1]
-            reach = self.length[right] + chain
+            reach += self.length[right]
             far[left] = max(far.get(left, 0), reach)
             most = max(most, reach)
         return most + self.longest
@@ -167,45 +160,92 @@ class Merges:
         return out
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Tokens of one word, each as soon as no later symbol can change it.
-
-        Symbols outside the vocabulary give no token and stand between tokens as a border.
-        """
-        text, last, before = "", [], -1  # symbols whose tokens are not out yet, their last tokens, and the token before them
-
-        def walk(end: int) -> list[int]:
-            out = []
-            while end > 0:
-                out.append(last[end - 1])
-                end -= self.length[out[-1]] if out[-1] >= 0 else 1
-            return out[::-1]
-
-        held: str | None = None
-        most = self.lookahead + self.longest
+        """Tokens of one word, each as soon as no later symbol can change it. Symbols outside the vocabulary are passed over."""
+        run, held = Transducer(self), None
         for symbol in symbols:
-            if held is not None:
-                text += held
-                self.last_tokens(text, last, before, len(text) - 1, len(text), False)
-                if len(text) >= 2 * most:
-                    paths = [walk(len(text) - k) for k in range(min(self.longest, len(text)))]
-                    same = 0
-                    while all(len(p) > same and p[same] == paths[0][same] for p in paths):
-                        same += 1
-                    gone = 0
-                    for t in paths[0][:same]:
-                        size = self.length[t] if t >= 0 else 1
-                        if gone + size > len(text) - most:
-                            break
-                        gone += size
-                        before = t if t >= 0 else -1
-                        if t >= 0:
-                            yield t
-                    text, last = text[gone:], last[gone:]
+            if held is not None and (known := self.symbol.get(held)) is not None:
+                yield from run.push((known,))
             held = symbol
-        if held is not None:
-            text += held
-            self.last_tokens(text, last, before, len(text) - 1, len(text), bool(self.suffix))
-            yield from (t for t in walk(len(text)) if t >= 0)
+        if held is not None and (known := self.symbol.get(held + self.suffix)) is not None:
+            yield from run.push((known,))
+        yield from run.finish()
+
+    def word(self, text: str) -> list[int]:
+        """As ``stream``, for a word that is there whole; it is taken a lookahead's length at a time."""
+        get = self.symbol.get
+        symbols = list(map(get, text))
+        if symbols:
+            symbols[-1] = get(text[-1] + self.suffix)
+        return self.numbered([x for x in symbols if x is not None])
+
+    def numbered(self, symbols: list[int]) -> list[int]:
+        """Tokens of a word whose symbols are given by their numbers."""
+        run, most = Transducer(self), self.lookahead
+        if len(symbols) <= most:
+            return run.push(symbols) + run.finish()
+        out = [i for at in range(0, len(symbols), most) for i in run.push(symbols[at : at + most])]
+        return out + run.finish()
+
+
+class Transducer:
+    """Takes the symbols of one word and gives tokens that no later symbol can change."""
+
+    __slots__ = ("merges", "last", "before", "state")
+
+    def __init__(self, merges: Merges):
+        # the last token of each prefix that is not out yet, the token before these, and the automaton's state
+        self.merges, self.last, self.before, self.state = merges, [], -1, 0
+
+    def push(self, symbols: Iterable[int]) -> list[int]:
+        m, last, before, state = self.merges, self.last, self.before, self.state
+        jump, width, ending, length, shorter, known = m.jump.get, m.width, m.ending, m.length, m.shorter, m._fits.get
+        i = len(last)
+        for c in symbols:
+            if (to := jump(state * width + c)) is None:
+                to = m.step(state, c)
+            state = to
+            t = ending[to]
+            while True:
+                j = i - length[t]
+                prior = last[j] if j >= 0 else before
+                if prior < 0:
+                    break
+                if (fits := known(prior << 32 | t)) is None:
+                    fits = m.fits(prior, t)
+                if fits:
+                    break
+                t = shorter[t]
+            last.append(t)
+            i += 1
+        self.state = state
+        return self._stable() if i > 2 * (m.lookahead + m.longest) else []
+
+    def _walk(self, end: int) -> list[int]:
+        last, length, out = self.last, self.merges.length, []
+        while end > 0:
+            out.append(last[end - 1])
+            end -= length[out[-1]]
+        return out[::-1]
+
+    def _stable(self) -> list[int]:
+        m, last = self.merges, self.last
+        paths = [self._walk(len(last) - k) for k in range(m.longest)]
+        same = 0
+        while all(len(p) > same and p[same] == paths[0][same] for p in paths):
+            same += 1
+        out, gone, free = [], 0, len(last) - m.lookahead - m.longest
+        for t in paths[0][:same]:
+            if gone + m.length[t] > free:
+                break
+            gone += m.length[t]
+            out.append(t)
+        if out:
+            self.before = out[-1]
+            del last[:gone]
+        return out
+
+    def finish(self) -> list[int]:
+        return self._walk(len(self.last))
 
 
 class ByteToText:
@@ -216,11 +256,14 @@ class ByteToText:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
-        spell = self.spell
-        data = self.join.join([spell.get(i, b"") for i in ids])
-        if self.begun and ids:
+        return self.bytes([self.spell.get(i, b"") for i in ids])
+
+    def bytes(self, spelt: list[bytes]) -> str:
+        """As ``feed``, of tokens that are spelt already."""
+        data = self.join.join(spelt)
+        if self.begun and spelt:
             data = self.join + data
-        self.begun = self.begun or bool(ids)
+        self.begun = self.begun or bool(spelt)
         return self.state.decode(data)
 
     def end(self) -> str:
@@ -257,7 +300,12 @@ class Codec:
         if model["type"] != "BPE" or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
             raise ValueError("only plain BPE files are supported")
         self.lib = Tokenizer.from_file(path)
-        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+        self.letters, suffix = byte_letters(), model.get("end_of_word_suffix") or ""
+        # a byte within a word has its own value as number, one at the end 256 more
+        ends = [self.letters[b] + tail for tail in dict.fromkeys(("", suffix)) for b in range(256)]
+        self.bytewise = all(x in model["vocab"] for x in ends)
+        self.merges = Merges(model["vocab"], model["merges"], suffix, ends if self.bytewise else ())
+        self.at_end = 256 if suffix else 0
         self.names = {i: name for name, i in model["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: name for name, i in self.added.items()}
@@ -265,7 +313,6 @@ class Codec:
         text = json.dumps(spec.get("pre_tokenizer"))
         self.fast = json.dumps(self.PATTERN)[1:-1] in text and [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.words = regex.compile(self.PATTERN)
-        self.letters = byte_letters()
         if spec.get("decoder") is None:
             self.spell, self.join = {i: name.encode() for i, name in self.names.items()}, b" "
         elif spec["decoder"]["type"] == "ByteLevel":
@@ -274,22 +321,27 @@ class Codec:
         else:
             raise ValueError(f"unknown decoder {spec['decoder']['type']}")
 
-    def word(self, symbols: str) -> Iterable[int]:
-        return self.merges.stream(symbols) if len(symbols) > self.merges.lookahead else self.merges.short(symbols)
-
     def plain(self, text: str) -> list[int]:
         """Tokens of a text without special tokens."""
         out: list[int] = []
         if self.fast and self.LATIN.fullmatch(text):
             table = self.letters
             for word in self.words.findall("".join(map(str.lower, text)) if not text.isascii() else text.lower()):
-                out.extend(self.word(word if word.isascii() else "".join([table[b] for b in word.encode()])))
+                out.extend(self.merges.word(word if word.isascii() else "".join([table[b] for b in word.encode()])))
         else:
             text = self.lib.normalizer.normalize_str(text) if self.lib.normalizer else text
             for word, _ in self.lib.pre_tokenizer.pre_tokenize_str(text):
-                out.extend(self.word(word))
+                out.extend(self.merges.word(word))
         return out
 
+    def unit(self, unit: bytes) -> tuple[int, ...]:
+        """Tokens of a unit as ``units`` gives it."""
+        if self.fast and self.bytewise and unit.isalpha():  # ASCII letters: one word, which is only lower-cased
+            symbols = list(unit.lower())
+            symbols[-1] += self.at_end
+            return tuple(self.merges.numbered(symbols))
+        return tuple(self.encode(unit.decode("utf-8", "replace")))
+
     def encode(self, text: str) -> list[int]:
         if self.marks is None or "<" not in text and not any(x in text for x in self.added):
             return self.plain(text)
@@ -303,48 +355,20 @@ class Codec:
         return state.feed(list(ids)) + state.end()
 
 
-#: Byte kinds for the cut: 0 white space, 1 letter, 2 digit, 3 other, 4 to be left to the slow path.
-_KIND = np.full(256, 3, np.uint8)
-_KIND[list(SPACE)] = 0
-_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-_KIND[48:58] = 2
-_KIND[[*range(0, 9), *range(14, 32), 127, ord("'"), ord("<"), *range(0xC0, 0xC3), *range(0xC6, 256)]] = 4
+#: Signs that stand apart from letters and digits; what is in none of the classes makes a stretch that is left whole.
+_ODD = bytes([*range(9), *range(14, 32), 127, ord("'"), ord("<"), *range(0xC0, 0xC3), *range(0xC6, 256)])
+_PLAIN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+_MIXED = re.compile(rb"[^ \t-\r]*(?:[\x00-\x08\x0e-\x1f\x7f'<\xc0-\xc2\xc6-\xff]|\xc3[\x97\xb7])[^ \t-\r]*|" + _PLAIN.pattern)
 
 
-def units(texts: list[bytes]):
-    """Cuts texts into words as the known pattern does: (distinct units, number of each unit in reading order, units of each text).
+def units(text: bytes) -> list[bytes]:
+    """Cuts a text into units as the known pattern does: a run of letters, a digit, or a run of other signs, each as it stands.
 
-    A unit is a lower-cased run of letters, a digit, or a run of other signs. A stretch between white
-    space with anything but ASCII and Latin letters (or with a quote or a possible special token) stays
-    whole and as it is, for the slow path.
+    A stretch between white space with anything but ASCII and Latin letters (or with a quote or a possible
+    special token) stays whole, for the slow path.
     """
-    data = b" ".join(texts) + b" "
-    raw = np.frombuffer(data, np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    kind = _KIND[raw]
-    twin = np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))  # two signs among the letters
-    kind[twin] = 4
-    low = LOWER[raw]
-    if len(odd := np.flatnonzero(kind == 4)):
-        chunk = np.cumsum(kind == 0)
-        whole = np.zeros(int(chunk[-1]) + 1, bool)
-        whole[chunk[odd]] = True
-        whole = whole[chunk] & (kind > 0)
-        kind[whole] = 4
-        low[whole] = raw[whole]
-    edge = np.ones(len(raw) + 1, bool)
-    edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-    at = np.flatnonzero(edge)
-    live = kind[at[:-1]] > 0
-    start, stop = at[:-1][live], at[1:][live]
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[low] * powers(P, len(raw)), out=total[1:])
-    code = (total[stop] - total[start]) * powers(PINV, len(raw) + 1)[start]
-    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-    data = low.tobytes()
-    found = [data[x:y] for x, y in zip(start[first].tolist(), stop[first].tolist())]
-    counts = np.diff(np.searchsorted(start, ends), prepend=0)
-    return found, inverse.reshape(-1), counts
+    odd = len(text.translate(None, _ODD)) < len(text) or b"\xc3\x97" in text or b"\xc3\xb7" in text
+    return (_MIXED if odd else _PLAIN).findall(text)
 
 
 class Known(dict):
@@ -364,45 +388,47 @@ class Known(dict):
         return out
 
 
-_codecs: dict[str, tuple[Codec, Known]] = {}
+def ids_of(text: bytes, cache: Known) -> np.ndarray:
+    """All ids of a text, by its units; of a very long text a part at a time."""
+    get, out = cache.__getitem__, []
+    for part in stretches(text):
+        out.append(np.array(list(chain.from_iterable(map(get, units(part)))), np.int64))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
-def codec(path: str) -> tuple[Codec, Known]:
-    """This worker's codec, and its units' (number of tokens, ids in decimal, decoded text)."""
-    if path not in _codecs:
-        own = Codec(path)
-        state = ByteToText(own.spell, own.join)
+_codecs: dict[str, tuple[Codec, Known, np.ndarray, np.ndarray]] = {}
 
-        def make(unit: bytes) -> tuple[int, bytes, bytes]:
-            ids = own.encode(unit.decode("utf-8", "replace"))
-            return len(ids), " ".join(map(str, ids)).encode(), (state.feed(ids) + state.end()).encode()
 
+def codec(path: str) -> tuple[Codec, Known, np.ndarray, np.ndarray]:
+    """This worker's codec, its units' ids, and the decimals and spellings of ids."""
+    if path not in _codecs:
+        own = Codec(path)
+        size = max(own.names) + 1
+        decimal, spelt = np.empty(size, object), np.empty(size, object)
+        decimal[:] = [b"%d" % i for i in range(size)]
+        spelt[:] = [own.spell.get(i, b"") for i in range(size)]
         gc.set_threshold(1_000_000, 100, 100)  # the cache holds many tuples, none in a cycle
-        _codecs[path] = own, Known(make)
+        _codecs[path] = own, Known(own.unit), decimal, spelt
     return _codecs[path]
 
 
+FEED = 1 << 16  # ids that the decoder takes at a time
+
+
 def _encode(path: str, names: list[str], decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = codec(path)
-        apart = own.join
+        own, cache, decimal, spelt = codec(path)
         for batch in pieces(batches):
-            found, inverse, counts = units(as_bytes(batch.column("text")))
-            known = [cache[x] for x in found]
-            size = np.fromiter((x[0] for x in known), np.int64, len(known))
-            spelt = np.empty((2, len(known)), object)
-            spelt[0], spelt[1] = [x[1] for x in known], [x[2] for x in known]
-            live = size[inverse] > 0  # a unit may give no token at all
-            ends = np.cumsum(counts)
-            gone = np.concatenate([[0], np.cumsum(live)])
-            cuts = [0, *gone[ends].tolist()]
-            inverse = inverse[live]
-            tokens = np.concatenate([[0], np.cumsum(size[inverse])])
-            made = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(tokens[cuts]), pa.int64())}
-            for k, name in enumerate(["ids", "decoded"][: 1 + decode]):
-                every = spelt[k][inverse].tolist()
-                joint = (b" ", apart)[k]
-                made[name] = as_text([joint.join(every[x:y]) for x, y in zip(cuts, cuts[1:])])
+            sizes, joined, decoded = [], [], []
+            for text in as_bytes(batch.column("text")):
+                ids = ids_of(text, cache)
+                sizes.append(len(ids))
+                joined.append(b" ".join(decimal[ids].tolist()))
+                if decode:
+                    state = ByteToText({}, own.join)
+                    parts = [state.bytes(spelt[ids[at : at + FEED]].tolist()) for at in range(0, len(ids), FEED)]
+                    decoded.append("".join([*parts, state.end()]).encode())
+            made = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()), "ids": as_text(joined)} | ({"decoded": as_text(decoded)} if decode else {})
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
 
     return run
@@ -417,11 +443,12 @@ def _require_spaces(path: str) -> None:
 def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Encodes each text and decodes the tokens again.
 
-    Returns doc_id, n_tokens, ids (decimal, joined by one space), decoded, and the carried columns (which
-    must not have these names). Special tokens' strings in a text become their ids; truncation and
+    Returns doc_id, n_tokens, ids (decimal, joined by one space), decoded, and the carried columns, which
+    may not have these names (``ValueError``). Special tokens' strings in a text become their ids; truncation and
     padding of the file are not used. A null or empty text has no tokens and decodes to an empty text. Rows stand for
     themselves: null ids, ties and repeated rows stay as they are; an empty table gives an empty result.
     """
+    no_clash(carry, ("doc_id", "text", "n_tokens", "ids", "decoded"))
     _require_spaces(path)
     rows = narrow(docs, id_col, text_col, carry)
     names = ["doc_id", *[c for c in rows.columns if c not in ("doc_id", "text")], "n_tokens", "ids", *["decoded"] * decode]

@@ -1,18 +1,18 @@
-"""What the training-data operators share: Arrow batches, hashes of words and shingles."""
+"""What the training-data operators share: Arrow batches, words by their bytes, 128-bit hashes of words and shingles."""
 
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space of the contracts, [\x20\x09-\x0D].
-SPACE = b" \t\n\v\f\r"
 #: Bytes of text that a task takes into its numpy work at once.
 SLICE_BYTES = 1 << 20
 
@@ -71,80 +71,111 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_rng = np.random.default_rng(20240607)
-BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-P, PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[list(SPACE)] = True
+P = 0x9E3779B97F4A7C15
+_GAP = re.compile(rb"[ \t\n\v\f\r]")
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        have[1:] = np.uint64(base)
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+class Numbers(dict):
+    """Numbers of words by their bytes, in the order in which they come: two words are one only if all bytes agree."""
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-def words(texts: list[bytes], lower: bool = True, apart: np.ndarray = IS_SPACE, last: int | None = None):
-    """Words of all texts at once: (hash of each word, number of words of each text).
 
-    A word is a longest run of bytes that ``apart`` does not mark. Texts are joined by a space, so no
-    word crosses a text. With ``last``, each text gets one more word of that hash at its end.
+def stretches(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes that end at white space, so that a very long text is not cut into words at once."""
+    at = 0
+    while len(text) - at > most:
+        gap = _GAP.search(text, at + most)
+        if gap is None:
+            break
+        yield text[at : gap.end()]
+        at = gap.end()
+    yield text[at:] if at else text
+
+
+def words(texts: list[bytes], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, Numbers]:
+    """Words of all texts, A-Z lower-cased: (number of each word, words of each text, the numbers by word).
+
+    Words stand apart at ASCII white space; with ``table`` bytes are first translated by it.
     """
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    if lower:
-        raw = LOWER[raw]
-    inside = ~apart[raw]
-    # a separator that joins two texts never stands in a word
-    inside[ends - 1] = False
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, stop = edge[::2], edge[1::2]
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[raw] * powers(P, len(raw)), out=total[1:])
-    code = mix((total[stop] - total[start]) * powers(PINV, len(raw) + 1)[start])
-    counts = np.diff(np.searchsorted(start, ends), prepend=0)
-    if last is not None:
-        code = np.insert(code, np.cumsum(counts), np.uint64(last))
-        counts = counts + 1
-    return code, counts, start, stop
-
-
-def shingles(code: np.ndarray, counts: np.ndarray, size: int):
-    """Hashes of all windows of ``size`` words: (hash, text number); a shorter text is one window."""
+    known = Numbers()
+    get, found = known.__getitem__, []
+    counts = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        for part in stretches(text):
+            own = (part.lower() if table is None else part.translate(table)).split()
+            counts[k] += len(own)
+            found.append(np.fromiter(map(get, own), np.int32, len(own)))
+    return np.concatenate(found) if found else np.empty(0, np.int32), counts, known
+
+
+def codes(known: Numbers) -> np.ndarray:
+    """The 128-bit hash of each known word, as two lanes."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), "<u8").astype(np.uint64).reshape(-1, 2)
+
+
+def shingles(which: np.ndarray, counts: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of all windows of ``size`` words: (hash in two lanes, text number); a shorter text is one window."""
     owner = np.repeat(np.arange(len(counts)), counts)
     first = np.cumsum(counts) - counts
-    place = np.arange(len(code)) - first[owner]
-    whole = place + size <= counts[owner]
-    at = np.flatnonzero(whole)
-    out = np.zeros(len(at), np.uint64)
-    for k in range(size):
-        out = mix(out * np.uint64(P) + code[at + k] + np.uint64(k + 1))
-    owners = owner[at]
+    place = np.arange(len(which)) - first[owner]
+    at = np.flatnonzero(place + size <= counts[owner])
     short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        lone = np.zeros(len(short), np.uint64)
-        for k in range(size - 1):
+    out = np.zeros((2, len(at) + len(short)), np.uint64)
+    for lane in (0, 1):
+        own = np.ascontiguousarray(code[:, lane])[which]
+        whole, lone = np.zeros(len(at), np.uint64), np.zeros(len(short), np.uint64)
+        for k in range(size):
+            whole = mix(whole * np.uint64(P) + own[at + k] + np.uint64(k + 1))
             live = counts[short] > k
-            lone[live] = mix(lone[live] * np.uint64(P) + code[first[short[live]] + k] + np.uint64(k + 101))
-        out, owners = np.concatenate([out, lone]), np.concatenate([owners, short])
-    return out, owners
-
-
-def sets(hashes: np.ndarray, owners: np.ndarray, n: int):
-    """Distinct hashes of each text: (hash sorted within the text, number of each text)."""
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
-    keep = np.ones(len(hashes), bool)
-    keep[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-    return hashes[keep], np.bincount(owners[keep], minlength=n)
+            lone[live] = mix(lone[live] * np.uint64(P) + own[first[short[live]] + k] + np.uint64(k + 101))
+        out[lane, : len(at)], out[lane, len(at) :] = whole, lone
+    return out, np.concatenate([owner[at], short])
+
+
+def sets(hashes: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text: (hash in two lanes, sorted within the text; number of each text)."""
+    order = np.lexsort((hashes[0], owners))
+    (one, two), own = hashes[:, order], owners[order]
+    twin = (one[1:] == one[:-1]) & (own[1:] == own[:-1])
+    if (two[1:] != two[:-1])[twin].any():  # equal in one lane only: the other one decides the order too
+        order = np.lexsort((hashes[1], hashes[0], owners))
+        (one, two), own = hashes[:, order], owners[order]
+        twin = (one[1:] == one[:-1]) & (own[1:] == own[:-1])
+    keep = np.ones(len(one), bool)
+    keep[1:] = ~(twin & (two[1:] == two[:-1]))
+    return np.stack([one[keep], two[keep]]), np.bincount(own[keep], minlength=n)
+
+
+def find_pairs(high: np.ndarray, low: np.ndarray, want_high: np.ndarray, want_low: np.ndarray) -> np.ndarray:
+    """Places of 128-bit keys in arrays sorted by their high lane, -1 for those that are not there.
+
+    Keys that share a high lane stand in one run; it is searched to its end.
+    """
+    out = np.full(len(want_high), -1, np.int64)
+    at, live = np.searchsorted(high, want_high), np.arange(len(want_high))
+    while len(live):
+        live = live[at[live] < len(high)]
+        live = live[high[at[live]] == want_high[live]]
+        hit = low[at[live]] == want_low[live]
+        out[live[hit]] = at[live[hit]]
+        live = live[~hit]
+        at[live] += 1
+    return out
+
+
+def no_clash(carry: list[str] | None, made: tuple[str, ...]) -> None:
+    """Carried columns may not have the names of the columns that an operator makes."""
+    if clash := {c.lower() for c in carry or []} & set(made):
+        raise ValueError(f"carried columns have names of results: {sorted(clash)}")
+
+
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """Ids must be integers, as the smallest one has a meaning."""
+    if (kind := df.schema[id_col].dataType.typeName()) not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"the ids in {id_col} are no integers but of type {kind}")
 
 
 def crc_text(col) -> "F.Column":

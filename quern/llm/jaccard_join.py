@@ -17,7 +17,8 @@ group). A pair that shares a signature lies in the star of its smallest set. A s
 in blocks: a star of at most ``BLOCK`` sets is one task's group; a larger one is dealt into blocks, and each two
 blocks meet in a group of their own. First by parity maps of a bit or two a token, whose distance never exceeds the sets'
 difference; what remains is verified exactly on the whole sets. Within a group all links are found by counting common tokens over postings; what
-goes out is a spanning forest, so never more rows than sets. Equal sets are one class throughout, and carried by their hash.
+goes out is a spanning forest, so never more rows than sets. Tokens are 128-bit hashes of the words' bytes, and equal sets are one
+class throughout, under a 128-bit hash of their tokens.
 
 **Components** are found over the forests by alternating large and small stars, each round written
 to the shared folder.
@@ -31,17 +32,19 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import store
-from quern.llm.common import as_bytes, documents, mix, narrow, pieces, sets, shingles, words
+from quern.llm.common import as_bytes, codes, documents, mix, narrow, no_clash, pieces, sets, shingles, whole_ids, words
 
 GROWTH = 1.5  # from one band's largest size to the next one's
-SIG_BYTES, SET_BYTES = 14, 16  # shuffled for a signature, and for a token of a set that is in a star
+SIG_BYTES, SET_BYTES = 14, 24  # shuffled for a signature, and for a token of a set that is in a star
 BLOCK = 512  # sets of a verified block
 SLICE = 1 << 20  # bytes of text at once
 BLOCK_TOKENS = 1_000_000  # and tokens that a group may have before it is dealt into blocks
+SALTS = 16  # parts of a large star's rows
 
 
 class Bands:
@@ -156,23 +159,18 @@ class Bands:
 
 
 def token_sets(texts: list[bytes], size: int):
-    """(tokens sorted in each set, set number of each, size of each set)."""
-    code, counts, _, _ = words(texts)
-    tokens, n = sets(*shingles(code, counts, size), len(texts))
+    """(tokens in two lanes, sorted in each set; set number of each; size of each set)."""
+    which, counts, known = words(texts)
+    tokens, n = sets(*shingles(which, counts, codes(known), size), len(texts))
     return tokens, np.repeat(np.arange(len(texts)), n), n
 
 
-def set_hash(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set; 0 for the empty set only."""
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    sums = []
-    for salt in (0x1D, 0x9D3F):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(salt)), dtype=np.uint64)])
-        sums.append(total[ends[1:]] - total[ends[:-1]])
-    out = mix(sums[0] ^ mix(sums[1] + sizes.astype(np.uint64)))
-    out[out == 0] = 1
-    out[sizes == 0] = 0
-    return out
+def set_names(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each set, as two rows of signed numbers; it is 0, 0 for the empty set."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    data = np.ascontiguousarray(tokens.T).tobytes()
+    out = [xxhash.xxh3_128_digest(data[16 * a : 16 * b]) if b > a else bytes(16) for a, b in zip(ends, ends[1:])]
+    return np.ascontiguousarray(np.frombuffer(b"".join(out), "<i8").reshape(-1, 2).T)
 
 
 def parity_maps(tokens: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -190,12 +188,19 @@ def parity_maps(tokens: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> li
     return [data[a // 8 : (a + n) // 8] for a, n in zip(start.tolist(), bits.tolist())]
 
 
-def _sizes(shingle: int):
+_SIZED = {"n_shingles": "long", "class": "long", "twin": "long", "map": "binary"}
+
+
+_GROUP = "struct<linked: boolean, one: bigint, two: bigint>"
+
+
+def _sizes(shingle: int, passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=SLICE):
             tokens, owners, n = token_sets(as_bytes(batch.column("text")), shingle)
-            made = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n).view(np.int64)), pa.array(parity_maps(tokens, owners, n), pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "class", "map"])
+            names = set_names(tokens, n)
+            made = [pa.array(n.astype(np.int64)), pa.array(names[0]), pa.array(names[1]), pa.array(parity_maps(tokens[0], owners, n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *made], [*passed, *_SIZED])
 
     return run
 
@@ -205,33 +210,39 @@ def _signatures(shingle: int, bands: Bands):
         sent: set[int] = set()  # classes that this task has sent already: copies go no further
         for batch in pieces(batches, most=SLICE):
             tokens, owners, n = token_sets(as_bytes(batch.column("text")), shingle)
-            names = set_hash(tokens, n)
+            names = set_names(tokens, n)[0]
             fresh = np.zeros(len(n), bool)
             for k, name in enumerate(names.tolist()):
-                if name and name not in sent:
+                if n[k] and name not in sent:
                     sent.add(name)
                     fresh[k] = True
             if len(sent) > 2_000_000:
                 sent.clear()
             live = fresh[owners]
-            sig, who = bands.signatures(tokens[live], owners[live], np.where(fresh, n, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[who].view(np.int64))], ["sig", "class"])
+            sig, who = bands.signatures(tokens[0][live], owners[live], np.where(fresh, n, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[who])], ["sig", "class"])
 
     return run
 
 
 def _set_rows(shingle: int):
-    keys = ["star", "x", "y", "sub", "class", "side"]
+    keys = ["star", "x", "y", "sub", "node", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple] = set()  # rows that repeat wholly go no further
         for batch in pieces(batches, most=SLICE):
             tokens, _, n = token_sets(as_bytes(batch.column("text")), shingle)
             # another row of the same id may have another text: the class says which one is meant
-            same = pa.array(set_hash(tokens, n).view(np.int64) == batch.column("class").to_numpy())
+            names = set_names(tokens, n)
+            same = (names[0] == batch.column("class").to_numpy()) & (names[1] == batch.column("twin").to_numpy())
+            who = list(zip(*(batch.column(c).to_pylist() for c in ("star", "x", "y", "node", "side"))))
+            for k in np.flatnonzero(same):
+                same[k] = who[k] not in done
+                done.add(who[k])
             ends = np.concatenate([[0], np.cumsum(n)])
-            data = tokens.tobytes()
-            made = [batch.column(c) for c in keys] + [pa.array([data[8 * a : 8 * b] for a, b in zip(ends, ends[1:])], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, [*keys, "tokens"]).filter(same)
+            data = np.ascontiguousarray(tokens.T).tobytes()
+            made = [batch.column(c) for c in keys] + [pa.array([data[16 * a : 16 * b] for a, b in zip(ends, ends[1:])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, [*keys, "tokens"]).filter(pa.array(same))
 
     return run
 
@@ -290,7 +301,7 @@ def _sift(num: int, den: int):
                 roots.join(a, b)
                 live.update((a, b))
         keep = sorted(live)
-        return group.select(["doc_id", "star", "x", "y", "class", "side"]).take(pa.array(keep, pa.int64())).append_column("sub", pa.array([roots.top(k) for k in keep], pa.int32()))
+        return group.select(["star", "x", "y", "node", "side", "class", "twin", "anon", "key"]).take(pa.array(keep, pa.int64())).append_column("sub", pa.array([roots.top(k) for k in keep], pa.int32()))
 
     return run
 
@@ -316,10 +327,24 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den:
             yield i, int(j), int(common[j])
 
 
+def numbered(data: list[bytes]) -> list[np.ndarray]:
+    """Numbers for the 128-bit tokens of a group's sets: equal tokens have one number, sorted within each set."""
+    both = np.frombuffer(b"".join(data), "<u8").reshape(-1, 2)
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    both = both[order]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(np.concatenate([[0], (both[1:] != both[:-1]).any(1)])) if len(order) else 0
+    ends = np.cumsum([len(x) // 16 for x in data])
+    return [number[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _verify(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
-        name, side = group.column("class").to_pylist(), group.column("side").to_pylist()
-        tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        # a set stands once in a group, also where the rows of one id were dealt to two tasks
+        first_of = {(n, s): k for k, (n, s) in reversed(list(enumerate(zip(group.column("node").to_pylist(), group.column("side").to_pylist()))))}
+        rows = sorted(first_of.values())
+        name, side = ([group.column(c)[k].as_py() for k in rows] for c in ("node", "side"))
+        tokens = numbered([group.column("tokens")[k].as_py() for k in rows])
         first, second = ([k for k, s in enumerate(side) if s == which] for which in (0, 1))
         within = group.column("x")[0].as_py() == group.column("y")[0].as_py()
         roots = Roots(name)
@@ -353,60 +378,76 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links of a Jaccard similarity of at least num / den reach.
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 8, den: int = 10, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, group and the carried columns: the smallest doc_id that links of a Jaccard similarity of at least num / den reach.
 
     A set has the distinct windows of ``shingle`` words (A-Z lower-cased, words apart at ASCII white space) of the whole text;
     a shorter text is one window; a null or empty text has none and links with nothing. Documents with equal
-    sets are linked. A null id is a row of its own with a null component. Repeated rows are rows of their own with the
-    same component. An empty table gives an empty result.
+    sets are linked. A row with a null id links as any other and has its component's smallest id, which is null if none of its rows
+    has an id; ``group`` is a name of the component whatever its ids (null for a row without words). Repeated rows are rows of their own with the same component. An empty table gives an empty result. Ids must be
+    integers; carried columns may not have the names of results (``ValueError``).
     """
+    no_clash(carry, ("doc_id", "text", "anon", "key", "component_id", "group", *_SIZED))
+    whole_ids(docs, id_col)
     spark = docs.sparkSession
     folder = store.new_dir(spark, "jaccard")
-    rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sized = store.table(rows.mapInArrow(_sizes(shingle), "doc_id long, n_shingles long, class long, map binary"), f"{folder}/sizes")
+    # a row is found again by its id; one without an id by its text
+    rows = narrow(docs, id_col, text_col, carry).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = rows.withColumn("anon", F.col("doc_id").isNull()).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    passed = [c for c in rows.columns if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | _SIZED
+    sized = store.table(rows.mapInArrow(_sizes(shingle, passed), ", ".join(f"`{c}` {kinds[c]}" for c in [*passed, *_SIZED])), f"{folder}/sizes")
     # sizes that differ by little share a row: the histogram has a bounded number of rows
     scale = F.floor(F.log(F.col("n_shingles").cast("double")) * 20)
     spread = sized.filter("n_shingles > 0").groupBy(scale.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("most")).collect()
     if not spread:
-        return sized.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return sized.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast(_GROUP).alias("group"), *(carry or []))
     bands = Bands(num, den, max(r.most for r in spread), {max(1, round(math.exp(r["size"] / 20))): r.n for r in spread})
 
+    # a signature goes with the first half of its set's name: sets that share it meet in the same stars, so no link is lost
     sent = rows.select("text").mapInArrow(_signatures(shingle, bands), "sig long, class long")
     low = F.min("class").over(Window.partitionBy("sig"))
     stars = sent.withColumn("star", low).filter(F.col("class") != F.col("star")).select("star", "class").distinct()
     stars = store.table(stars, f"{folder}/stars")
-    # each class by one row of its own: of the copies, the one with the smallest id
-    heads = sized.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    maps = sized.join(heads, ["doc_id", "class"]).select("doc_id", "class", "n", "map")
-    full = stars.union(stars.select("star", F.col("star").alias("class")).distinct()).join(heads, "class")
+    # each class by one row of its own: of the copies, the one with the smallest id; its number is fixed as the table is written
+    heads = sized.filter("n_shingles > 0").groupBy("class", "twin").agg(F.min(F.struct("anon", "key")).alias("who"), F.first("n_shingles").alias("n"), F.first("map").alias("map"))
+    heads = store.table(heads.select("class", "twin", "who.anon", "who.key", "n", "map", F.monotonically_increasing_id().alias("node")), f"{folder}/heads")
+    shared = heads.groupBy("class").count().filter("count > 1").select(F.col("class").alias("star"), "class")
+    members = stars.union(stars.select("star", F.col("star").alias("class")).distinct()).union(shared)
+    full = members.distinct().join(heads, "class")
     total = full.groupBy("star").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("sets") / F.lit(BLOCK)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS))).cast("int")
-    full = full.join(total.select("star", blocks.alias("blocks")), "star")
-    full = full.withColumn("block", F.pmod(F.xxhash64("class", "star"), F.col("blocks")).cast("int"))
+    # stars of several blocks are few; their rows meet the number of blocks by a salt too, so no star is one task's
+    large = total.select("star", blocks.alias("blocks")).filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    full = full.withColumn("salt", F.pmod(F.col("node"), F.lit(SALTS)).cast("int")).join(large, ["star", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    full = full.withColumn("block", F.pmod(F.xxhash64("node", "star"), F.col("blocks")).cast("int"))
     # block x meets itself and all others, once each: group (x, y), side 0 for the lower one
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    dealt = full.select("star", "class", F.explode(meets).alias("m")).select("star", "class", "m.x", "m.y", F.col("m.side").alias("side"))
+    dealt = full.withColumn("m", F.explode(meets)).select("star", "m.x", "m.y", "node", F.col("m.side").alias("side"), "class", "twin", "anon", "key", "n", "map")
     # first by their parity maps, which are small; whole sets go only where a pair may be linked
-    sifted = dealt.join(maps, "class").groupBy("star", "x", "y").applyInArrow(_sift(num, den), "doc_id long, star long, x int, y int, class long, side int, sub int")
-    dealt = store.table(sifted, f"{folder}/dealt")
-    groups = rows.join(dealt.hint("shuffle_hash"), "doc_id").select("star", "x", "y", "sub", "class", "side", "text")
-    groups = groups.mapInArrow(_set_rows(shingle), "star long, x int, y int, sub int, class long, side int, tokens binary")
+    found = "star long, x int, y int, node long, side int, class long, twin long, anon boolean, key long, sub int"
+    dealt = store.table(dealt.groupBy("star", "x", "y").applyInArrow(_sift(num, den), found), f"{folder}/dealt")
+    texts = rows.filter("NOT anon").select("anon", "key", "text").union(rows.filter("anon").select("anon", "key", "text").distinct())
+    groups = texts.join(dealt.hint("shuffle_hash"), ["anon", "key"]).select("star", "x", "y", "sub", "node", "side", "class", "twin", "text")
+    groups = groups.mapInArrow(_set_rows(shingle), "star long, x int, y int, sub int, node long, side int, tokens binary")
     forest = groups.groupBy("star", "x", "y", "sub").applyInArrow(_verify(num, den), "a long, b long")
     found = components(forest, folder)
 
     # classes to components, then a component's smallest document
-    roots = sized.join(found, sized["class"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
+    found = found.union(found.select(F.col("root").alias("node"), "root").distinct())
+    found = heads.select("class", "twin", "node").join(found, "node").select("class", "twin", F.lit(True).alias("linked"), "root")
+    name = F.struct(F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("root", "class").alias("one"), F.when(F.col("linked"), F.lit(0).cast("long")).otherwise(F.col("twin")).alias("two"))
+    roots = sized.join(found, ["class", "twin"], "left").select("doc_id", "n_shingles", name.alias("root"), *(carry or []))
     roots = store.table(roots, f"{folder}/roots")
     least = roots.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     least = store.table(least, f"{folder}/least")  # both sides are then dealt anew, and a component with very many rows is split
     out = roots.join(least, "root", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("least").isNotNull() & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("group"), *(carry or []))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similar_documents(documents(spark, sf_dir), shingle=3, num=90, den=100)
+    return similar_documents(documents(spark, sf_dir), shingle=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 OP7_SQL = r"""

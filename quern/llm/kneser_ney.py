@@ -1,9 +1,10 @@
 """An interpolated modified Kneser-Ney model of word pairs, counted in Spark and memory-mapped for scoring.
 
-1. Words are counted by hash: each task sums up, sends sorted arrays by hash range, and a task per range
-   writes one sorted array of hashes with counts. The rank of a word's hash in the whole order is its number.
+1. Words are counted by the 128-bit hash of their bytes: each task sums up, sends sorted arrays by hash range, and a task per range
+   writes sorted arrays of hashes with counts. The rank of a word's hash in the whole order is its number.
 2. Pairs of numbers (context, word) are counted likewise, dealt by context; a context with more than a fourth of a
-   shard's share of tokens is dealt by the word too, so no shard is hot. A shard is a sorted array of pairs with counts.
+   shard's share of tokens is dealt by the word too, so no shard is hot. A shard is a sorted array of pairs with counts. There are as
+   many shards as the input's bytes ask for.
 3. From the pairs come, by ranges of numbers again, each context's total and how many of its words were seen
    once, twice, more often, and each word's number of different contexts (its continuation count).
 4. Discounts are the usual ones from counts of counts. Workers map the arrays and score texts:
@@ -27,18 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import store
-from quern.llm.common import as_bytes, documents, mix, narrow, pieces, words
+from quern.llm.common import P, as_bytes, codes, documents, find_pairs, mix, narrow, pieces, words
 
 BEGIN, END, FIRST = 0, 1, 2  # numbers of the beginning, the end token and the first word
-END_HASH = np.uint64(0)  # words of this hash don't occur (it is moved by one)
 FLUSH = 3_000_000
 SMOOTH = 0.1
-
-
-def text_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    code, counts, _, _ = words(texts)
-    code[code == END_HASH] = 1
-    return code, counts
+SHARD_BYTES = 64 << 20  # of the input, for each shard of the model
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -60,52 +55,60 @@ def _expand(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(plain.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[head], np.add.reduceat(n, head) if len(head) else n
+def summed(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different keys of two lanes and the sums of their counts."""
+    order = np.lexsort((low, high))
+    high, low, n = high[order], low[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(n) else np.empty(0, np.int64)
+    return high[head], low[head], np.add.reduceat(n, head) if len(head) else n
 
 
-def _send(keys: np.ndarray, n: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted keys by shard."""
-    order = np.argsort(shard, kind="stable")
-    keys, n, shard = keys[order], n[order], shard[order]
+def _send(high: np.ndarray, low: np.ndarray, n: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted keys by shard; the shard rises with the high lane."""
     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
     ends = np.append(cuts[1:], len(shard))
-    rows = [(int(shard[a]), _pack(keys[a:b]), _squeeze(n[a:b])) for a, b in zip(cuts, ends)]
+    rows = [(int(shard[a]), _pack(high[a:b]), _pack(low[a:b]), _squeeze(n[a:b])) for a, b in zip(cuts, ends)]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "high", "low", "n"])
 
 
-_SENT = "shard int, keys binary, n binary"
+_SENT = "shard int, high binary, low binary, n binary"
 
 
 def _counting(slices, shard_of):
-    """A task that sums up what ``slices`` gives for each slice of texts and sends it when much is held."""
+    """A task that sums up the keys of two lanes that ``slices`` gives for each slice of texts, and sends them when much is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
+
+        def merged():
+            return summed(*(np.concatenate([x[k] for x in held]) for k in range(3)))
+
         for batch in pieces(batches):
-            keys, n = np.unique(slices(as_bytes(batch.column("text"))), return_counts=True)
-            held.append((keys, n))
-            many += len(keys)
+            held.append(slices(as_bytes(batch.column("text"))))
+            many += len(held[-1][0])
             if many >= FLUSH:
-                keys, n = summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-                held, many = [(keys, n)], len(keys)
+                held = [merged()]
+                many = len(held[0][0])
                 if many >= FLUSH // 2:
-                    yield from _send(keys, n, shard_of(keys))
+                    yield from _send(*held[0], shard_of(held[0][0]))
                     held, many = [], 0
         if held:
-            keys, n = summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            yield from _send(keys, n, shard_of(keys))
+            out = merged()
+            yield from _send(*out, shard_of(out[0]))
 
     return run
 
 
-def _gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(_unpack(k), _expand(n)) for k, n in zip(group.column("keys").to_pylist(), group.column("n").to_pylist())]
-    return summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+def _gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [(_unpack(h), _unpack(k), _expand(n)) for h, k, n in zip(*(group.column(c).to_pylist() for c in ("high", "low", "n")))]
+    return summed(*(np.concatenate([x[k] for x in parts]) for k in range(3)))
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    which, _, known = words(texts)
+    code = codes(known)
+    return code[:, 0], code[:, 1], np.bincount(which, minlength=len(known))
 
 
 def hash_shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -116,24 +119,13 @@ def hash_shard(keys: np.ndarray, shards: int) -> np.ndarray:
 def _vocabulary(folder: str):
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        keys, n = _gathered(group)
-        store.put(f"{folder}/words-{shard}", keys.tobytes(), n.astype("<i8").tobytes())
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64())})
+        high, low, n = _gathered(group)
+        store.put(f"{folder}/words-{shard}", high.tobytes(), low.tobytes(), n.astype("<i8").tobytes())
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(n)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64())})
 
     return run
 
 
-_opened: dict[str, np.ndarray] = {}
-
-
-def _open(path: str, dtype: str) -> np.ndarray:
-    if path not in _opened:
-        if len(_opened) > 20_000:
-            _opened.clear()
-        _opened[path] = store.mapped(path, dtype)
-    return _opened[path]
-
-
 class Vocabulary:
     """Numbers and counts of words, over the mapped arrays. ``base``: words in the ranges before each."""
 
@@ -141,54 +133,73 @@ class Vocabulary:
         self.folder, self.base, self.docs = folder, np.array(base, np.int64), docs
         self.shards, self.size = len(base) - 1, base[-1]
 
-    def _arrays(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        data = _open(f"{self.folder}/words-{shard}", "u8")
-        half = len(data) // 2
-        return data[:half], data[half:].view(np.int64)
+    def _arrays(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        high, low, n = store.kept(f"{self.folder}/words-{shard}", "u8").reshape(3, -1)
+        return high, low, n.view(np.int64)
 
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, count) of each hash."""
-        number, count = np.full(len(codes), -1, np.int64), np.zeros(len(codes), np.int64)
-        shard = hash_shard(codes, self.shards)
-        order = np.argsort(codes)
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        number, count = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
+        order = np.argsort(code[:, 0])
+        cuts = np.searchsorted(hash_shard(code[order, 0], self.shards), np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[s] : cuts[s + 1]]
-            keys, n = self._arrays(int(s))
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, codes[at]), len(keys) - 1)
-                hit = keys[i] == codes[at]
-                number[at[hit]] = FIRST + self.base[s] + i[hit]
-                count[at[hit]] = n[i[hit]]
+            high, low, n = self._arrays(int(s))
+            i = find_pairs(high, low, code[at, 0], code[at, 1])
+            hit = i >= 0
+            number[at[hit]] = FIRST + self.base[s] + i[hit]
+            count[at[hit]] = n[i[hit]]
         return number, count
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(number of each token, its count, context of each token, tokens of each text); the end token is the last of each."""
-        code, counts = text_codes(texts)
-        each, inverse = np.unique(code, return_inverse=True)
-        number, count = self.find(each)
-        ends = np.cumsum(counts)
-        token = np.insert(number[inverse], ends, END)
-        seen = np.insert(count[inverse], ends, self.docs)
+    def read(self, texts: list[bytes]):
+        """(numbers, counts) of the slice's different tokens; each token and its context among these; tokens of each text, whose last one is the end."""
+        which, counts, known = words(texts)
+        number, count = self.find(codes(known))
+        here = len(known)  # the end has this place, the beginning the next one
+        number, count = np.append(number, [END, BEGIN]), np.append(count, [self.docs, 0])
+        token = np.insert(which.astype(np.int64), np.cumsum(counts), here)
         n = counts + 1
         context = np.empty(len(token), np.int64)
         context[1:] = token[:-1]
-        context[np.cumsum(n) - n] = BEGIN
-        return token, seen, context, n
+        context[np.cumsum(n) - n] = here + 1
+        return number, count, token, context, n
 
 
-def pair_shard(keys: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    context = keys >> np.uint64(32)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        context = np.where(hot[at] == context, mix(keys + np.uint64(9)), context)
-    return (mix(context + np.uint64(3)) >> np.uint64(33)).astype(np.int64) % shards
+class PairKeys:
+    """Shards and keys of (context, token). The shard takes a part of the context's number, and the rest and the token are the key.
 
+    A hot context is dealt by its tokens; its key has the context's place in the list of hot ones instead, and the highest bit.
+    """
 
-def _pairs(vocabulary: Vocabulary):
-    def slices(texts: list[bytes]) -> np.ndarray:
-        token, _, context, _ = vocabulary.read(texts)
-        return context.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)
+    def __init__(self, shards: int, size: int, hot: np.ndarray):
+        self.shards, self.hot, self.bits = shards, hot, int(size + FIRST).bit_length()
+        if self.bits + max(((size + FIRST) // shards).bit_length(), len(hot).bit_length()) > 63:
+            raise ValueError(f"{size} different words need more than {shards} shards")
+
+    def split(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, key) of each pair."""
+        shard, rest = context % self.shards, context // self.shards
+        if len(self.hot):
+            place = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            hot = self.hot[place] == context
+            spread = (mix(token.astype(np.uint64) + context.astype(np.uint64) * np.uint64(P)) >> np.uint64(33)).astype(np.int64) % self.shards
+            shard, rest = np.where(hot, spread, shard), np.where(hot, place + (1 << 63 - self.bits), rest)
+        return shard.astype(np.uint64), rest.astype(np.uint64) << np.uint64(self.bits) | token.astype(np.uint64)
+
+    def parts(self, shard: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, token) of the keys of a shard."""
+        rest, token = (key >> np.uint64(self.bits)).astype(np.int64), (key & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        context = rest * self.shards + shard
+        hot = rest >= 1 << 63 - self.bits
+        context[hot] = self.hot[rest[hot] - (1 << 63 - self.bits)]
+        return context, token
+
+
+def _pairs(vocabulary: Vocabulary, keys: PairKeys):
+    def slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number, _, token, context, _ = vocabulary.read(texts)
+        both, n = np.unique(context << 32 | token, return_counts=True)  # by their places in the slice
+        return *keys.split(number[both >> 32], number[both & 0xFFFFFFFF]), n
 
     return slices
 
@@ -196,14 +207,14 @@ def _pairs(vocabulary: Vocabulary):
 _STATS = "part int, kind int, ids binary, stats binary, c1 long, c2 long, c3 long, c4 long, pairs long"
 
 
-def _pair_arrays(folder: str, width: int):
+def _pair_arrays(folder: str, width: int, pairs: PairKeys):
     """Writes a shard of pairs, and sends on what it adds to contexts (kind 0) and to words (kind 1), by range of numbers."""
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        keys, n = _gathered(group)
+        _, keys, n = _gathered(group)
         store.put(f"{folder}/pairs-{shard}", keys.tobytes(), n.astype("<i8").tobytes())
-        context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        context, word = pairs.parts(shard, keys)
         rows = []
 
         def send(kind: int, ids: np.ndarray, stats: np.ndarray) -> None:
@@ -212,7 +223,7 @@ def _pair_arrays(folder: str, width: int):
             for a, b in zip(cuts, np.append(cuts[1:], len(ids))):
                 rows.append((int(part[a]), kind, _pack(ids[a:b].astype(np.uint64)), _squeeze(np.ascontiguousarray(stats[:, a:b]).reshape(-1)), 0, 0, 0, 0, 0))
 
-        head = np.flatnonzero(np.diff(context, prepend=-1))
+        head = np.flatnonzero(np.diff(context, prepend=-1))  # in order of their numbers, and then those of the hot list
         send(0, context[head], np.stack([np.add.reduceat(x, head) for x in (n, n == 1, n == 2, n > 2)]).astype(np.int64))
         ids, k = np.unique(word, return_counts=True)
         send(1, ids, k.reshape(1, -1))
@@ -250,8 +261,8 @@ def discounts(c: list[int]) -> tuple[float, float, float]:
 class Model:
     """What a worker needs to score texts; arrays are mapped from the folder when they are first used."""
 
-    def __init__(self, folder, vocabulary, shards, width, hot, total, types, pairs, pair_discounts, word_discounts, word_kinds):
-        self.folder, self.vocabulary, self.shards, self.width, self.hot = folder, vocabulary, shards, width, hot
+    def __init__(self, folder, vocabulary, keys, width, total, types, pairs, pair_discounts, word_discounts, word_kinds):
+        self.folder, self.vocabulary, self.keys, self.width = folder, vocabulary, keys, width
         self.total, self.types, self.pairs = total, types, pairs
         self.pair_discounts, self.word_discounts = np.array([0.0, *pair_discounts]), np.array([0.0, *word_discounts])
         self.left = sum(d * n for d, n in zip(word_discounts, word_kinds))  # what the words' discounts leave
@@ -261,19 +272,19 @@ class Model:
         part = np.where(ids >= 0, ids // self.width, -1)
         for p in np.unique(part[part >= 0]):
             at = np.flatnonzero(part == p)
-            data = _open(f"{self.folder}/{name}-{p}", "<i8")
+            data = store.kept(f"{self.folder}/{name}-{p}", "<i8")
             if len(data):
                 out[:, at] = data.reshape(lines, -1)[:, ids[at] - p * self.width]
         return out
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        shard = pair_shard(keys, self.shards, self.hot)
+    def count(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(token), np.int64)
+        shard, keys = self.keys.split(context, token)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        cuts = np.searchsorted(shard[order], np.arange(self.keys.shards + 1, dtype=np.uint64))
         for s in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[s] : cuts[s + 1]]
-            data = _open(f"{self.folder}/pairs-{s}", "u8")
+            data = store.kept(f"{self.folder}/pairs-{s}", "u8")
             have, n = data[: len(data) // 2], data[len(data) // 2 :].view(np.int64)
             if len(have):
                 i = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
@@ -290,34 +301,34 @@ class Model:
 
     def score(self, texts: list[bytes]):
         """(tokens, known tokens, base score, score) of each text, scores as log10."""
-        token, seen, context, n = self.vocabulary.read(texts)
+        number, seen, token, context, n = self.vocabulary.read(texts)
         owner = np.repeat(np.arange(len(n)), n)
-        base = np.log10((seen + SMOOTH) / (self.total + SMOOTH * (self.types + 1)))
-        each, inverse = np.unique(token, return_inverse=True)
-        plain = self.word(each)[inverse]
-        both = (token >= 0) & (context >= 0)
-        keys, where = np.unique(context[both].astype(np.uint64) << np.uint64(32) | token[both].astype(np.uint64), return_inverse=True)
-        c = np.zeros(len(token), np.int64)
-        c[both] = self.count(keys)[where]
-        each, inverse = np.unique(context, return_inverse=True)
-        total, *kinds = self._dense("contexts", each, 4)
+        base = np.log10((seen + SMOOTH) / (self.total + SMOOTH * (self.types + 1)))[token]
+        plain = self.word(number)[token]
+        each, where = np.unique(context << 32 | token, return_inverse=True)  # pairs by their places in the slice
+        before, after = number[each >> 32], number[each & 0xFFFFFFFF]
+        c = np.zeros(len(each), np.int64)
+        both = (before >= 0) & (after >= 0)
+        c[both] = self.count(before[both], after[both])
+        c = c[where]
+        total, *kinds = self._dense("contexts", number, 4)
         d = self.pair_discounts
-        rest = (d[1] * kinds[0] + d[2] * kinds[1] + d[3] * kinds[2])[inverse]
-        total = total[inverse]
+        rest = (d[1] * kinds[0] + d[2] * kinds[1] + d[3] * kinds[2])[context]
+        total = total[context]
         some = np.maximum(total, 1)
         p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0.0) / some + rest / some * plain, plain)
         # a context whose counts lose nothing leaves nothing: the plain probability then keeps the sum finite
         p = np.where(p > 0, p, plain / (some + 1))
         sums = [np.bincount(owner, x, len(n)) for x in (base, np.log10(p))]
-        return n, np.bincount(owner, seen > 0, len(n)).astype(np.int64), *sums
+        return n, np.bincount(owner, (seen > 0)[token], len(n)).astype(np.int64), *sums
 
 
 def train(docs: DataFrame, folder: str, *, text_col: str = "text") -> Model:
     """Counts the model over whole texts. A null or empty text has the end token alone; an empty table gives a model without counts."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = store.slices_for(docs, SHARD_BYTES)
     rows = docs.select(docs[text_col].cast("string").alias("text"))
-    sent = rows.mapInArrow(_counting(lambda texts: text_codes(texts)[0], lambda keys: hash_shard(keys, shards)), _SENT)
+    sent = rows.mapInArrow(_counting(_words, lambda high: hash_shard(high, shards)), _SENT)
     found = {r["shard"]: r for r in sent.groupBy("shard").applyInArrow(_vocabulary(folder), "shard int, n long, total long").collect()}  # a row for each shard
     n_docs = rows.count()
     base = [0]
@@ -326,29 +337,27 @@ def train(docs: DataFrame, folder: str, *, text_col: str = "text") -> Model:
     total = sum(r["total"] for r in found.values()) + n_docs
     types = base[-1] + (n_docs > 0)
     vocabulary = Vocabulary(folder, base, n_docs)
-    if base[-1] + FIRST >= 1 << 32:
-        raise ValueError("more than 4 billion different words")
 
     most = max(1, total // (4 * shards))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column("id").to_pylist():
-                _, n = vocabulary._arrays(s)
+                n = vocabulary._arrays(s)[2]
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n > most) + vocabulary.base[s] + FIRST)], ["id"])
 
     hot = [r["id"] for r in spark.range(shards, numPartitions=min(shards, 64)).mapInArrow(frequent, "id long").collect()]  # fewer than 4 x shards
-    hot = np.array(sorted({*hot, *([BEGIN] if n_docs > most else [])}), np.uint64)
+    keys = PairKeys(shards, base[-1], np.array(sorted({*hot, *([BEGIN] if n_docs > most else [])}), np.int64))
 
-    sent = rows.mapInArrow(_counting(_pairs(vocabulary), lambda keys: pair_shard(keys, shards, hot)), _SENT)
+    sent = rows.mapInArrow(_counting(_pairs(vocabulary, keys), lambda high: high.astype(np.int64)), _SENT)
     width = max(1 << 10, -(-(base[-1] + FIRST) // shards))
-    stats = store.table(sent.groupBy("shard").applyInArrow(_pair_arrays(folder, width), _STATS), f"{folder}/stats")
+    stats = store.table(sent.groupBy("shard").applyInArrow(_pair_arrays(folder, width, keys), _STATS), f"{folder}/stats")
     c = stats.filter("kind = -1").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c1", "c2", "c3", "c4", "pairs")]).first()
     arrays = stats.filter("kind >= 0").groupBy("part", "kind").applyInArrow(_stat_arrays(folder, width), "c1 long, c2 long, c3 long, c4 long, more long")
     k = arrays.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c1", "c2", "c3", "c4", "more")]).first()
     store.remove(f"{folder}/stats")
     word_discounts = discounts([k.c1, k.c2, k.c3, k.c4])
-    return Model(folder, vocabulary, shards, width, hot, total, types, c.pairs, discounts([c.c1, c.c2, c.c3, c.c4]), word_discounts, (k.c1, k.c2, k.more))
+    return Model(folder, vocabulary, keys, width, total, types, c.pairs, discounts([c.c1, c.c2, c.c3, c.c4]), word_discounts, (k.c1, k.c2, k.more))
 
 
 def _score(model: Model):

@@ -1,10 +1,11 @@
 """Line dedup with two Bloom filters, of once-seen and twice-seen line hashes.
 
-1. Each task hashes the keys of its lines (distinct within a document) and sends 32-bit prints, dealt
-   into slices; a print that two of its documents share goes along as twice-seen.
-2. A task per slice puts the prints into two Bloom filters: one that is in the once-seen filter already
-   goes into the twice-seen filter too. The twice-seen filters are files in the shared folder; their
-   size follows the prints of the slice, and readers map them into memory.
+1. Each task makes its own pair of filters over the keys of its lines (distinct within a document): the 32-bit prints that it has
+   seen once and those that it has seen twice, by slices of the hash space. It sends them in sparse form, sorted and delta-coded, as a
+   task sets few of all bits; no line and no whole hash goes out.
+2. A task per slice merges them into two Bloom filters: what is in the once-seen filter already, or twice in a task, goes into the
+   twice-seen filter. The twice-seen filters are files in the shared folder; there are as many slices as the input's bytes
+   ask for, a filter's size follows the prints of its slice, and readers map them into memory.
 3. A second scan tests its lines. Only suspected repeats are counted (in the task first) and shuffled, as
    128-bit hashes with their number of documents and smallest document: this confirms exactly which keys
    stand in ``min_docs`` documents and which document is the first.
@@ -20,14 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import store
-from quern.llm.common import as_bytes, as_text, documents, narrow
+from quern.llm.common import as_bytes, as_text, documents, find_pairs, narrow, no_clash, whole_ids
 
-KEY_SLICES = 32
-_mapped: dict[str, np.ndarray] = {}
+SLICE_BYTES = 64 << 20  # of the input, for each slice of the hash space
 
 
 def _digests(text: bytes, min_chars: int) -> tuple[list[bytes], list[int]]:
@@ -82,6 +83,16 @@ class Bloom:
         return found
 
 
+def sparse(prints: np.ndarray) -> bytes:
+    """Sorted prints by their differences, byte by byte, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(prints, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def dense(data: bytes) -> np.ndarray:
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(plain.reshape(4, -1).T).view(np.uint32).reshape(-1), dtype=np.uint32)
+
+
 def _prints(slices: int, min_chars: int, flush: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held: list[bytes]) -> pa.RecordBatch:
@@ -94,8 +105,8 @@ def _prints(slices: int, min_chars: int, flush: int = 1_000_000):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(part[cuts].astype(np.int32)),
-                    pa.array([prints[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                    pa.array([prints[a:b][twice[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                    pa.array([sparse(prints[a:b]) for a, b in zip(cuts, ends)], pa.binary()),
+                    pa.array([sparse(prints[a:b][twice[a:b]]) for a, b in zip(cuts, ends)], pa.binary()),
                 ],
                 ["slice", "seen", "twice"],
             )
@@ -118,8 +129,8 @@ def _prints(slices: int, min_chars: int, flush: int = 1_000_000):
 def _merge(folder: str):
     def run(group: pa.Table) -> pa.Table:
         part = group.column("slice")[0].as_py()
-        seen = [np.frombuffer(x, np.uint32) for x in group.column("seen").to_pylist()]
-        twice = [np.frombuffer(x, np.uint32) for x in group.column("twice").to_pylist()]
+        seen = [dense(x) for x in group.column("seen").to_pylist()]
+        twice = [dense(x) for x in group.column("twice").to_pylist()]
         bits = _bloom_bits(sum(map(len, seen)))
         first, second = Bloom(bits), Bloom(bits)
         for one, two in zip(seen, twice):
@@ -133,14 +144,6 @@ def _merge(folder: str):
     return run
 
 
-def _blob(path: str, dtype: str = "u1") -> np.ndarray:
-    if path not in _mapped:
-        if len(_mapped) > 4096:
-            _mapped.clear()
-        _mapped[path] = store.mapped(path, dtype)
-    return _mapped[path]
-
-
 def _suspected(folder: str, slices: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     part, prints = (hi % np.uint64(slices)).astype(np.int64), (lo >> np.uint64(32)).astype(np.uint32)
     out = np.zeros(len(hi), bool)
@@ -148,7 +151,7 @@ def _suspected(folder: str, slices: int, hi: np.ndarray, lo: np.ndarray) -> np.n
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(order)]):
         at = order[a:b]
-        array = _blob(f"{folder}/twice-{part[at[0]]}")
+        array = store.kept(f"{folder}/twice-{part[at[0]]}")
         if len(array):
             out[at] = Bloom(int(len(array) * 8).bit_length() - 1, array).has(prints[at])
     return out
@@ -193,34 +196,30 @@ def _count(folder: str, slices: int, min_chars: int, flush: int = 400_000):
 def _keys(folder: str):
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        lo, hi, first = (group.column(c).combine_chunks().fill_null(-(1 << 63)).to_numpy() for c in ("lo", "hi", "first"))
-        order = np.argsort(lo.view(np.uint64), kind="stable")
-        store.put(f"{folder}/keys-{part}", np.stack([lo[order], hi[order], first[order]]).tobytes())
+        hi, lo, first = (group.column(c).combine_chunks().fill_null(-(1 << 63)).to_numpy() for c in ("hi", "lo", "first"))
+        order = np.lexsort((lo.view(np.uint64), hi.view(np.uint64)))
+        store.put(f"{folder}/keys-{part}", np.stack([hi[order], lo[order], first[order]]).tobytes())
         return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(lo)], pa.int64())})
 
     return run
 
 
-def _confirmed(folder: str, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _confirmed(folder: str, slices: int, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each key is a confirmed one, and its first document."""
     found, first = np.zeros(len(hi), bool), np.zeros(len(hi), np.int64)
-    part = (hi % np.uint64(KEY_SLICES)).astype(np.int64)
-    for p in np.unique(part):
-        table = _blob(f"{folder}/keys-{p}", "i8")
-        if not len(table):
-            continue
-        klo, khi, kfirst = table.reshape(3, -1)
-        at = np.flatnonzero(part == p)
-        low = np.searchsorted(klo.view(np.uint64), lo[at])
-        for step in range(3):  # equal low halves stand side by side
-            i = np.minimum(low + step, len(klo) - 1)
-            same = (klo.view(np.uint64)[i] == lo[at]) & (khi.view(np.uint64)[i] == hi[at])
-            found[at[same]] = True
-            first[at[same]] = kfirst[i[same]]
+    part = (hi % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        at = order[a:b]
+        high, low, ids = store.kept(f"{folder}/keys-{part[at[0]]}", "u8").reshape(3, -1)
+        i = find_pairs(high, low, hi[at], lo[at])
+        found[at] = i >= 0
+        first[at[i >= 0]] = ids.view(np.int64)[i[i >= 0]]
     return found, first
 
 
-def _drop(folder: str, min_chars: int, keep_first: bool, names: list[str]):
+def _drop(folder: str, slices: int, min_chars: int, keep_first: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -236,7 +235,7 @@ def _drop(folder: str, min_chars: int, keep_first: bool, names: list[str]):
                         where.append((d, k))
             n_lines, gone = [len(x) for x in every], [0] * len(every)
             if keys:
-                hit, first = _confirmed(folder, *_split(keys))
+                hit, first = _confirmed(folder, slices, *_split(keys))
                 spared: set[tuple] = set()
                 for at in np.flatnonzero(hit):
                     d, k = where[at]
@@ -258,28 +257,30 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased; keys under
     ``min_chars`` code points never count. ``keep="none"`` drops such lines everywhere, ``"first"``
     spares one in the document with the smallest id. Returns doc_id, text (the other lines joined by
-    newlines), n_lines, n_dropped, and the carried columns (which must not have these names).
+    newlines), n_lines, n_dropped, and the carried columns, which may not have these names (``ValueError``). Ids must be integers.
 
     A null or empty text has one empty line. A null id is a document of its own; it is the first one
     only if no other document has the line, and then none is spared. Repeated rows count as documents of their own.
     An empty table gives an empty result.
     """
+    no_clash(carry, ("doc_id", "text", "n_lines", "n_dropped"))
+    whole_ids(docs, id_col)
     spark = docs.sparkSession
     rows = narrow(docs, id_col, text_col, carry)
     slim = rows.select("doc_id", "text")
     folder = store.new_dir(spark, "lines")
-    slices = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices = max(64, 2 * store.slices_for(slim, SLICE_BYTES))
     prints = slim.select("text").mapInArrow(_prints(slices, min_chars), "slice int, seen binary, twice binary")
     prints.groupBy("slice").applyInArrow(_merge(folder), "slice int, prints long").agg(F.sum("prints")).collect()
     counts = slim.mapInArrow(_count(folder, slices, min_chars), "hi long, lo long, n long, first long")
     counts = counts.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= min_docs)
     # the slice by the unsigned high half, as the readers take it
-    part = F.pmod(F.shiftrightunsigned("hi", 32) * F.lit((1 << 32) % KEY_SLICES) + F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(KEY_SLICES)).cast("int")
+    part = F.pmod(F.shiftrightunsigned("hi", 32) * F.lit((1 << 32) % slices) + F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slices)).cast("int")
     counts.withColumn("part", part).groupBy("part").applyInArrow(_keys(folder), "part int, n long").agg(F.sum("n")).collect()
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = [*rows.columns, "n_lines", "n_dropped"]
     schema = ", ".join(f"`{c}` {kinds.get(c, 'long')}" for c in names)
-    return rows.mapInArrow(_drop(folder, min_chars, keep == "first", names), schema)
+    return rows.mapInArrow(_drop(folder, slices, min_chars, keep == "first", names), schema)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -288,13 +289,14 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, u.pos AS pos, u.line AS line,
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents),
+lines AS (
+  SELECT row_no, doc_id, u.pos AS pos, u.line AS line,
          translate(trim(u.line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+  FROM (SELECT row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM docs) d,
        LATERAL (SELECT unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos) u),
-hot AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+hot AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT row_no) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(h.k) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN h.k IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM lines LEFT JOIN hot h ON lines.k = h.k GROUP BY doc_id
+FROM lines LEFT JOIN hot h ON lines.k = h.k GROUP BY row_no, doc_id
 """

@@ -1,7 +1,7 @@
 """Files that every executor can see: raw blobs and Parquet tables under the shared folder.
 
-The shared folder is ``spark.checkpoint.dir``; only where the session has none (tests on one
-machine) is a temporary folder made.  Tasks write a blob under a private name and rename it, so a
+The shared folder is ``spark.checkpoint.dir``; only where the session has none and is on one machine
+(as in tests) is a temporary folder made.  Tasks write a blob under a private name and rename it, so a
 task that runs twice leaves one whole file.
 """
 
@@ -12,6 +12,7 @@ import mmap
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
@@ -19,12 +20,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Blobs that a worker keeps: so many maps, and so many bytes of those that it had to read.
+KEEP_MAPS, KEEP_BYTES = 4096, 256 << 20
+_kept: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="quern-")
     return _FALLBACK["dir"]
@@ -160,3 +166,30 @@ def mapped(path: str, dtype: str = "u1") -> np.ndarray:
     if found.get_file_info(inner).size is None:
         return np.empty(0, dtype)
     return np.frombuffer(get(path), dtype)
+
+
+def kept(path: str, dtype: str = "u1") -> np.ndarray:
+    """A blob that this worker may ask for again. Maps need no memory of its own; of blobs that were read, the longest unused go first."""
+    if path in _kept:
+        _kept.move_to_end(path)
+        return _kept[path]
+    out = _kept[path] = mapped(path, dtype)
+    plain = _local(path) is not None
+    held = 0 if plain else sum(x.nbytes for x in _kept.values())
+    while len(_kept) > KEEP_MAPS or held > KEEP_BYTES and len(_kept) > 1:
+        held -= _kept.popitem(last=False)[1].nbytes
+    return out
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the planner reckons a table has: files for a scan. It runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def slices_for(df: DataFrame, each: int) -> int:
+    """So many slices that one has about ``each`` bytes of the input, and at least one for each shuffle partition.
+
+    Where the planner doesn't know the size (it then gives an absurd one), the shuffle partitions alone decide.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return max(least, -(-size // each)) if size < 1 << 52 else least

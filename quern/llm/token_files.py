@@ -32,7 +32,7 @@ _encoders: dict = {}
 
 
 def encoder(path: str) -> bpe.Known:
-    """This worker's units and their ids (uint32 bytes), as the tokenizers library encodes them."""
+    """This worker's units and their ids, as the tokenizers library encodes them."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
@@ -43,15 +43,13 @@ def encoder(path: str) -> bpe.Known:
         model, letters = lib.model, own.letters
         usual = own.LATIN
 
-        def make(unit: bytes) -> bytes:
+        def make(unit: bytes) -> tuple[int, ...]:
             text = unit.decode("utf-8", "replace")
             if own.fast and "'" not in text and "<" not in text and usual.fullmatch(text):
                 # a word of letters, a digit or a run of signs: the normaliser only lower-cases it, the pre-tokeniser leaves it whole
                 word = "".join(map(str.lower, text)).encode()
-                ids = [t.id for t in model.tokenize("".join([letters[b] for b in word]))]
-            else:
-                ids = lib.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
+                return tuple([t.id for t in model.tokenize("".join([letters[b] for b in word]))])
+            return tuple(lib.encode(text, add_special_tokens=False).ids)
 
         _encoders[path] = bpe.Known(make)
     return _encoders[path]
@@ -59,21 +57,10 @@ def encoder(path: str) -> bpe.Known:
 
 def encode_slice(texts: list[bytes], path: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, number of ids of each text), with ``end`` after each text."""
-    cache = encoder(path)
-    found, inverse, counts = bpe.units([*texts])
-    known = [cache[x] for x in found]
-    if end is not None:  # one more unit at the end of each text
-        known.append(np.array([end], "<u4").tobytes())
-        inverse = np.insert(inverse, np.cumsum(counts), len(known) - 1)
-        counts = counts + 1
-    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    pool = np.frombuffer(b"".join(known), "<u4")
-    base = np.cumsum(size) - size
-    lengths = size[inverse]
-    out = np.cumsum(lengths)
-    where = np.repeat(base[inverse] - (out - lengths), lengths) + np.arange(int(out[-1]) if len(out) else 0)
-    ends = np.concatenate([[0], out])[np.concatenate([[0], np.cumsum(counts)])]
-    return pool[where], np.diff(ends)
+    cache, last = encoder(path), np.array([] if end is None else [end], np.int64)
+    found = [x for text in texts for x in (bpe.ids_of(text, cache), last)]
+    sizes = np.fromiter(map(len, found), np.int64, len(found)).reshape(-1, 2).sum(1)
+    return np.concatenate(found).astype("<u4"), sizes
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32(), False)))])

@@ -89,6 +89,25 @@ def test_proximity(spark):
         assert {(s["first"], s["last"]) for s in r.spans} == want
 
 
+def test_odd_rows(spark):
+    """Rows without an id and repeated rows stay; items without an id hit words; words that a polynomial hash confuses are apart."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    other = word.translate({97: 98, 98: 97})
+    rows = spark.createDataFrame([(1, word), (2, other), (None, word), (3, "x y"), (3, "x y"), (None, None)], "doc_id long, text string")
+    found = dc.find_items(rows, bench(spark, [(5, word), (None, "x y")])).collect()
+    got = [(r.doc_id or 0, r.n_words, r.n_hit, list(r["items"])) for r in found]
+    assert sorted(got) == [(0, 0, 0, []), (0, 1, 1, ["5"]), (1, 1, 1, ["5"]), (2, 1, 0, []), (3, 2, 2, []), (3, 2, 2, [])]
+    with pytest.raises(ValueError):
+        dc.find_items(rows.withColumn("spans", rows.text), bench(spark, []), carry=["spans"])
+
+
+def test_long_item(spark):
+    """An item of many windows goes in parts, and each window of it is found."""
+    w = [f"w{k}" for k in range(500)]
+    out = dc.find_items(documents(spark, [" ".join(w[k : k + 10]) for k in range(491)]), bench(spark, [(1, " ".join(w))]), chunk=37).collect()
+    assert all(r.n_hit == 10 and list(r["items"]) == ["1"] for r in out)
+
+
 def test_pack():
     x = np.array([5, 0, 7, 1 << 20])
     assert (dc.unpack(dc.pack(x)) == x).all()

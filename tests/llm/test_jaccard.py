@@ -70,6 +70,33 @@ def test_op7(spark, tmp_path):
     assert jj.op7_jaccard_join(spark, folder(spark, tmp_path / "n", [None, ""])).count() == 2
 
 
+def test_odd_rows(spark):
+    """Links run through rows without an id; repeated ids with other texts are told apart; an id's repeated rows stay."""
+    w = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(w), " ".join([*w[:59], "x"]), " ".join([*w[:57], "y", "z", "x"])
+    rows = [(1, a), (None, b), (2, c), (2, "other words stand here"), (None, None), (None, "lone row"), (None, "lone row"), (7, "lone row"), (1, a)]
+    got = jj.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, num=90, den=100).collect()
+    want = brute([(10**6 + k if i is None else i, t) for k, (i, t) in enumerate(rows)], 3, 90, 100)
+    assert want[2][1] != 1  # a and c are no link by themselves, or the case would test nothing
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == sorted([(1, 58, 1), (0, 58, 1), (2, 58, 1), (2, 2, 2), (0, 0, 0), (0, 1, 7), (0, 1, 7), (7, 1, 7), (1, 58, 1)])
+
+
+def test_words_of_one_polynomial_hash(spark):
+    """Thue-Morse words and their complements agree under any polynomial modulo 2 ** 64."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    rows = [word, word.translate({97: 98, 98: 97}), word]
+    got = {r.doc_id: r.component_id for r in jj.similar_documents(documents(spark, rows), shingle=3, num=90, den=100).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_wrong_columns_are_refused(spark):
+    rows = spark.createDataFrame([("a", "b", 1)], "doc_id string, text string, n_shingles long")
+    with pytest.raises(ValueError):
+        jj.similar_documents(rows)
+    with pytest.raises(ValueError):
+        jj.similar_documents(documents(spark).withColumnRenamed("n", "map"), carry=["map"])
+
+
 @pytest.mark.parametrize("kind", ["plain", "many sets", "spare", "deletions"])
 def test_signatures_lose_no_link(kind):
     """Linked pairs share a signature, by every kind of allocation."""

@@ -77,6 +77,30 @@ def test_empty_and_flush(spark, monkeypatch):
     assert kn.score_documents(odd).filter("held_out").count() == 1
 
 
+def test_words_of_one_polynomial_hash(spark):
+    word = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    trained, held = (next(i for i in range(1, 99) if (zlib.crc32(str(i).encode()) % 10 == 0) is h) for h in (False, True))
+    rows = spark.createDataFrame([(trained, word), (held, word.translate({97: 98, 98: 97}))], "doc_id long, text string")
+    assert {r.doc_id: r.n_known for r in kn.score_documents(rows).collect()} == {trained: 2, held: 1}
+
+
+def test_pair_keys_are_unique():
+    """Every (context, token) has a shard and key of its own, from which both come back, whatever the number of words."""
+    rng = np.random.default_rng(4)
+    for shards, size in ((3, 50), (1000, 1 << 34)):
+        hot = np.array([0, 7, 11], np.int64)
+        keys = kn.PairKeys(shards, size, hot)
+        context, token = (np.append(rng.integers(0, min(size, 1 << 40), 4000), rng.choice(12, 4000)) for _ in range(2))
+        shard, key = keys.split(context, token)
+        assert len(set(zip(shard.tolist(), key.tolist()))) == len(set(zip(context.tolist(), token.tolist())))
+        for s in np.unique(shard)[:50]:
+            at = shard == s
+            back = keys.parts(int(s), key[at])
+            assert (back[0] == context[at]).all() and (back[1] == token[at]).all()
+    with pytest.raises(ValueError):
+        kn.PairKeys(2, 1 << 40, hot)
+
+
 def test_arrays_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (kn._unpack(kn._pack(x)) == x).all() and (kn._expand(kn._squeeze(x.view(np.int64))) == x.view(np.int64)).all()

@@ -103,6 +103,61 @@ def test_long_words_stream(library):
     assert next(feed) is not None
 
 
+def test_words_of_one_polynomial_hash(spark, library):
+    word = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    rows = [word, word.translate({97: 98, 98: 97})]
+    want = [library.encode(x, add_special_tokens=False).ids for x in rows]
+    got = {r.doc_id: r for r in bpe.encode_documents(documents(spark, rows).coalesce(1), bpe.word_tokenizer()).collect()}
+    assert [list(map(int, got[k].ids.split())) for k in (0, 1)] == want and want[0] != want[1]
+    assert [got[k].decoded for k in (0, 1)] == [library.decode(x, skip_special_tokens=False) for x in want]
+    files = token_files.write_tokens(documents(spark, rows), bpe.word_tokenizer(), store.new_dir(spark, "test"))
+    assert {r.doc_id: r.ids for r in token_files.read_tokens(files).collect()} == {k: [*want[k], 2] for k in (0, 1)}
+
+
+def test_every_word_streams(library):
+    """Short words and long ones, symbol by symbol and whole, give what the library gives; entries stay bounded."""
+    import random
+
+    rng, own = random.Random(9), bpe.codec(bpe.word_tokenizer())[0]
+    for n in [*range(1, 40), 570, 571, 572, 573, 574, 1300, 9000]:
+        for letters in ("thean", "ab", "abcdefghijklmnopqrstuvwxyz"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            want = library.encode(word, add_special_tokens=False).ids
+            assert own.merges.word(word) == want and list(own.merges.stream(word)) == want
+    run = bpe.Transducer(own.merges)
+    most = own.merges.lookahead + own.merges.longest
+    for _ in range(60):
+        run.push([own.merges.symbol[c] for c in rng.choices("thean", k=most)])
+        assert len(run.last) <= 3 * most
+
+
+def test_odd_rows(spark):
+    rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, "c"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in bpe.encode_documents(rows, bpe.word_tokenizer()).collect()) == [0, 1, 2, 2, 2]
+    files = token_files.write_tokens(rows, bpe.word_tokenizer(), store.new_dir(spark, "test"))
+    assert sorted(r.n_tokens for r in token_files.read_tokens(files).collect()) == [1, 2, 3, 3, 3]
+    out = line_dedup.dedup_lines(rows, min_docs=3, keep="none").collect()
+    assert sorted((r.doc_id or 0, r.n_dropped, r.text) for r in out) == [(0, 0, ""), (0, 1, ""), (1, 0, "c"), (1, 1, ""), (1, 1, "")]
+    out = line_dedup.dedup_lines(rows, min_docs=3, keep="first").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, ""), (0, ""), (1, "a b"), (1, "a b"), (1, "c")]
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(rows.withColumn("n_lines", rows.doc_id), carry=["n_lines"])
+    with pytest.raises(ValueError):
+        bpe.encode_documents(rows.withColumn("ids", rows.doc_id), bpe.word_tokenizer(), carry=["ids"])
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(rows.selectExpr("string(doc_id) doc_id", "text"))
+
+
+def test_keys_that_share_a_half():
+    """A run of keys with one high lane is searched to its end."""
+    from quern.llm.common import find_pairs
+
+    high, low = np.repeat(np.array([3, 5, 9], np.uint64), 40), np.tile(np.arange(40, dtype=np.uint64) * 2, 3)
+    want = np.arange(100, dtype=np.uint64)
+    found = find_pairs(high, low, np.full(100, 5, np.uint64), want)
+    assert [int(x) for x in found] == [40 + k // 2 if k < 80 and k % 2 == 0 else -1 for k in range(100)]
+
+
 def test_decoder_holds_back_unfinished_characters():
     state = bpe.ByteToText({1: "é".encode()[:1], 2: "é".encode()[1:], 3: b"x"})
     assert state.feed([3, 1]) == "x" and state.feed([2]) == "é" and state.end() == ""
@@ -118,12 +173,8 @@ def test_any_text_as_the_library(library):
     @given(st.lists(st.text(max_size=40), min_size=1, max_size=4))
     def same(many):
         many = [x.encode("utf-8", "replace").decode() for x in many]
-        found, inverse, counts = bpe.units([x.encode() for x in many])
-        ids = [own.encode(x.decode()) for x in found]
-        at = 0
-        for text, n in zip(many, counts):
-            got = [i for k in inverse[at : at + n] for i in ids[k]]
-            assert got == library.encode(text, add_special_tokens=False).ids
-            at += n
+        for text in many:
+            cut = bpe.units(text.encode())
+            assert [i for x in cut for i in own.encode(x.decode())] == library.encode(text, add_special_tokens=False).ids
 
     same()
