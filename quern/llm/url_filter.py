@@ -76,8 +76,8 @@ def grow(leaves: DataFrame, folder: str, *, depth: int, fan: int, min_labels: in
 def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, bad: F.Column | None = None, depth: int = 8, fan: int = 20, min_labels: int = 5, z: float = 2.0, weight: float = 4.0, threshold: float = 0.5) -> DataFrame:
     """Judges every url: page_id, host, path, rule, template, labels, purity, verdict (``allow`` or ``block``).
 
-    ``bad`` is a column of ``pages`` with labels (1 bad, 0 good, null none); without it, the urls that a rule decides are the
-    labelled ones. A null url, or one without ``://``, has empty host and path; they form a template of their own. A template
+    ``bad`` is a column of ``pages`` with labels (1 bad, 0 good, null none), which count whether a rule decides the url or not;
+    without it, the urls that a rule decides are the labelled ones. A null url, or one without ``://``, has empty host and path; they form a template of their own. A template
     without enough labels is allowed. Null ids, ties and repeated rows stay rows of their own; an empty table gives an empty result.
     """
     folder = store.new_dir(pages.sparkSession, "urls")
@@ -103,5 +103,18 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     return out.select("page_id", "host", "path", "rule", "template", "labels", "purity", verdict.alias("verdict"))
 
 
+def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds ``bad`` to pages: 1 if the document whose id is the first number of the url's path is labelled as toxic or of low quality, 0 if it has
+    other labels, null if it has none. A document with several labels is bad by any of them."""
+    path = host_and_path(F.col("url").cast("string"))[1]
+    number = F.regexp_extract(path, "([0-9]{1,18})", 1)
+    # urls without a number get keys of their own below 0, so they are not one key of the join
+    number = F.when(number != "", number.cast("long")).otherwise(F.lit(-1) - F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)))
+    known = labels.filter("doc_id >= 0").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    return pages.withColumn("doc_no", number).join(known, F.col("doc_no") == known["doc_id"], "left").select(*pages.columns, "bad")
+
+
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rows = labelled_pages(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge_urls(rows, bad=F.col("bad")).select("page_id", "host", "path", "rule", "verdict")
