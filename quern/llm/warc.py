@@ -7,7 +7,7 @@ frame and offset within the decompressed frame, so a record is read with the see
 
 Records with equal payloads: the smallest id stands as ``response``; the others are ``revisit`` records that refer to
 it. Digests are computed in the JVM and the smallest id by digest is a grouped minimum (summed up before
-the shuffle), so a payload with very many copies is no hot spot. Bundles are written under a private name and
+the shuffle); the rows of a payload meet it by a salt too, so a payload with very many copies is no hot spot. Bundles are written under a private name and
 renamed to the number of their partition.
 """
 
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import store
-from quern.llm.common import as_bytes
+from quern.llm.common import as_bytes, whole_ids
 
 FRAME_BYTES = 256 << 10
+SALTS = 8  # parts of the rows of one payload
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed values of WARC 1.1.
@@ -147,19 +148,21 @@ def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     """Writes a record for each row and returns the index (page_id, bundle, frame, at, length).
 
     Of records with equal payloads of at least ``min_bytes`` bytes the smallest id is the response and the
-    others revisit it; a row that repeats the smallest id is a response too, as is one with a null id. A null payload is
-    empty. An empty table gives no bundle.
+    others, also those with a null id, revisit it; a row that repeats the smallest id is a response too, and so are all
+    rows of a payload of which no row has an id. A null payload is empty. An empty table gives no bundle. Ids must be integers.
     """
-    spark = pages.sparkSession
+    whole_ids(pages, id_col)
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).alias("html"))
     small = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
-    groups = small.filter((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
-    # copies only: few and narrow rows, whatever the payloads
-    copies = small.filter(F.col("n") >= min_bytes).join(groups.filter("low < high"), "digest").filter(F.col("page_id") > F.col("low"))
+    groups = small.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.bool_or(F.col("page_id").isNull()).alias("anon"))
+    # copies only: few and narrow rows, whatever the payloads; the salt deals a payload of very many copies
+    groups = groups.filter("low < high OR anon").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = small.filter(F.col("n") >= min_bytes).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    copies = salted.join(groups, ["digest", "salt"]).filter((F.col("page_id") > F.col("low")) | F.col("page_id").isNull() & F.col("low").isNotNull())
     copies = copies.select(F.col("page_id").alias("copy"), F.col("digest").alias("copied"), F.col("low").alias("refers_to")).distinct()
     # the digest decides too: a repeated id with another payload is no copy
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    rows = rows.join(copies, (F.col("page_id") == F.col("copy")) & (F.col("digest") == F.col("copied")), "left")
+    rows = rows.join(copies, F.col("page_id").eqNullSafe(F.col("copy")) & (F.col("digest") == F.col("copied")), "left")
     index = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(folder), INDEX)
     return store.table(index, f"{folder}/index")
 
@@ -218,9 +221,8 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
-m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id > low THEN low END AS refers_to
-FROM m
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM d),
+c AS (SELECT *, payload_bytes >= 100 AND low IS NOT NULL AND (page_id IS NULL OR page_id > low) AS copy FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN copy THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN copy THEN low END AS refers_to
+FROM c
 """

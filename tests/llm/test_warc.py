@@ -23,7 +23,7 @@ def test_round_trip(spark, tmp_path):
     for i, _, h, _ in rows():
         r = next(x for x in got if x.page_id == i)
         data = (h or "").encode()
-        other = low[h] if h in low and i is not None and i > low[h] else None
+        other = low[h] if h in low and (i is None or i > low[h]) else None
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if other is not None else "response", other)
         assert bytes(r.payload or b"") == (b"" if other is not None else data)
     # one record by its place, without reading the others
@@ -32,6 +32,13 @@ def test_round_trip(spark, tmp_path):
         assert fields.get("Page-ID") == (None if place.page_id is None else str(place.page_id))
 
 
+def test_payload_without_ids(spark):
+    """Rows without an id revisit the smallest one; where no row has an id, all are responses."""
+    pages = spark.createDataFrame([(None, "u", HTML), (None, "u", HTML), (None, "v", HTML + "x"), (7, "w", HTML + "x")], "page_id long, url string, html string")
+    got = warc.read_archive(warc.write_archive(pages, store.new_dir(spark, "test"))).collect()
+    assert sorted((r.payload_bytes - len(HTML), r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (0, "response", 0), (1, "response", 0), (1, "revisit", 7)]
+
+
 def test_whole_file_is_plain_zstd(spark):
     import io
 
