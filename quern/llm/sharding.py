@@ -9,8 +9,8 @@ shard is full go on clockwise to the next node with room.
 Which shard a key gets depends on the number of keys at each place and on its rank at its place alone. So one
 grouped count (at most ``SLOTS`` rows, which no input makes larger) is collected, the ring is walked over counts in
 the driver, and the result is a small table of rank ranges (at most one for each place and one more for each
-shard that fills up), joined by place. Ranks come from a window per place: no task has more than the rows of a
-place, a 16,384th of distinct keys. Adding a shard takes arcs from all shards evenly, and what moves beyond
+shard that fills up), joined by place. Ranks come from a window per place over rows that were counted by all that the result tells of them:
+no task has more than the different rows of a place, a 16,384th of them. Adding a shard takes arcs from all shards evenly, and what moves beyond
 those is the overflow alone; the test measures it.
 """
 
@@ -26,6 +26,7 @@ from quern.llm.common import crc_text, documents
 
 SLOTS = 1 << 14
 NODES = 64
+CHUNK = 1 << 16  # equal rows that one row stands for
 
 
 def _mix(*values: int) -> int:
@@ -109,16 +110,23 @@ def shard_rows(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", tex
     rows = docs.select(docs[id_col].alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8)).alias("size"), crc_text(text).alias("text_crc32"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text_crc32"))
     rows = rows.withColumn("place", F.pmod("hash", F.lit(SLOTS)).cast("int"))
-    counts = {r.place: r["n"] for r in rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}  # SLOTS rows at most
+    # rows that repeat wholly can't be told apart: they are counted, get one range of ranks, and are dealt out again in chunks
+    rows = rows.groupBy("place", "hash", "doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("copies"))
+    counts = {r.place: r["n"] for r in rows.groupBy("place").agg(F.sum("copies").alias("n")).collect()}  # SLOTS rows at most
     names = ("at", "low", "high", "shard", "base")
     ranges = json.dumps([dict(zip(names, x)) for x in walk(counts, shards, nodes)])
     kind = "array<struct<at: int, low: long, high: long, shard: int, base: long>>"
     pieces = spark.range(1).select(F.inline(F.from_json(F.lit(ranges), kind)))
-    order = Window.partitionBy("place").orderBy("hash", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - F.lit(1))
+    order = Window.partitionBy("place").orderBy("hash", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("first", F.coalesce(F.sum("copies").over(order), F.lit(0)))
     # SLOTS + shards rows of 32 bytes at most: the bound is a constant of the ring
-    found = ranked.join(F.broadcast(pieces), (F.col("place") == F.col("at")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    return found.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"))
+    found = ranked.join(F.broadcast(pieces), (F.col("place") == F.col("at")) & (F.col("first") < F.col("high")) & (F.col("first") + F.col("copies") > F.col("low")))
+    found = found.select("doc_id", "size", "text_crc32", "shard", F.greatest("first", "low").alias("start"), F.least(F.col("first") + F.col("copies"), F.col("high")).alias("stop"), (F.col("base") - F.col("low")).alias("base"))
+    few = found.filter(F.col("stop") - F.col("start") <= CHUNK)
+    many = found.filter(F.col("stop") - F.col("start") > CHUNK).withColumn("start", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(CHUNK).cast("long"))))
+    many = many.withColumn("stop", F.least("stop", F.col("start") + CHUNK)).repartition("shard", "start")
+    ranks = F.explode(F.sequence("start", F.col("stop") - 1)).alias("rank")
+    return few.union(many).select("doc_id", "size", "text_crc32", "shard", "base", ranks).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).alias("slot"))
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

@@ -64,7 +64,13 @@ def test_op6(spark, tmp_path, base):
     assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n[s])) for s in n)
 
 
-def test_repeated_rows_and_null_ids(spark):
+def test_repeated_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 3)
+    hot = spark.range(400).selectExpr("cast(null as long) as doc_id", "'same' as text")
+    rows = sharding.shard_rows(hot.union(spark.range(100).selectExpr("id as doc_id", "'same' as text")), 7).collect()
+    assert len(rows) == 500 and len({(r.shard, r.slot) for r in rows}) == 500
+    n = Counter(r.shard for r in rows)
+    assert max(n.values()) - min(n.values()) <= 1 and sum(r.doc_id is None for r in rows) == 400
     docs = documents(spark).selectExpr("cast(null as long) as doc_id", "text").union(documents(spark).select("doc_id", "text"))
     rows = sharding.shard_rows(docs.union(docs), 5).collect()
     assert len(rows) == 4 * len(texts()) and len({(r.shard, r.slot) for r in rows}) == len(rows)
