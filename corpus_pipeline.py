@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, jaccard_join, line_dedup, quality, store
 
+MIN_WORDS = 3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -22,10 +23,10 @@ def _shaped(docs: DataFrame) -> DataFrame:
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go; documents that fail the base rules or lose too much go. Others keep their other lines.
 
-    Rows without an id go too: no later stage's decision could name them.
+    A short text is no bad one: only those under ``MIN_WORDS`` words, in which lines have nothing to be judged by, fail for their length.
     """
-    out = quality.clean_documents(docs, carry=["lang", "source"])
-    return _shaped(out.filter("kept and doc_id is not null"))
+    out = quality.clean_documents(docs, min_words=MIN_WORDS, carry=["lang", "source"])
+    return _shaped(out.filter("kept"))
 
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +35,41 @@ def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _shaped(out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """A row's own name beside its id, which may be null or stand with several texts: the digest of its text."""
+    return docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows whose id and text are not (with ``left_semi``: are) among those of ``gone``."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_md5"))
+    return _named(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_md5") == F.col("gone_md5")), how)
+
+
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that a similarity of 0.8 over five-word shingles links, the one with the smallest id stays."""
-    groups = jaccard_join.similar_documents(docs, shingle=5, num=8, den=10)
-    # repeated rows of one id are one document
-    later = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of documents that a similarity of 0.8 over five-word shingles links, one row stays.
+
+    It is the one with the smallest id (a null id comes last), ties by the text's digest. Of rows that repeat an id and its text, one stays.
+    """
+    folder = store.new_dir(spark, "near")
+    groups = jaccard_join.similar_documents(_named(docs), shingle=5, num=8, den=10, carry=["text_md5"])
+    groups = store.table(groups.filter("n_shingles > 0").drop("n_shingles"), f"{folder}/groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))  # one row of a group, unless an id stands with several texts or rows
+    several = groups.filter(first).groupBy("group", "doc_id").agg(F.min("text_md5").alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    several = store.table(several, f"{folder}/several")
+    other = groups.filter(first).join(several.select("group", "best"), "group").filter("text_md5 <> best")
+    gone = groups.filter(~first).select("doc_id", "text_md5").union(other.select("doc_id", "text_md5")).distinct()
+    best = several.select("doc_id", F.col("best").alias("text_md5"))
+    gone = store.table(gone.withColumn("stays", F.lit(False)).union(best.withColumn("stays", F.lit(True))), f"{folder}/gone")
+    again = _without(docs, gone.filter("stays"), "left_semi").dropDuplicates(["doc_id", "text_md5"])
+    return _without(docs, gone).select(*COLUMNS).union(again.select(*COLUMNS))
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark passage (ten words and more in a row) stands go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_items(docs, benchmark, size=10)
-    return docs.join(found.filter("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    found = decontaminate.find_items(_named(docs), benchmark, size=10, carry=["text_md5"])
+    return _without(docs, found.filter("n_hit > 0").select("doc_id", "text_md5").distinct()).select(*COLUMNS)
 
 
 def encoding(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
