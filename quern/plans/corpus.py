@@ -21,20 +21,20 @@ def _both(name: str, text: str) -> None:
 
 
 # Counts of glyphs, and of pages by mode
-plan("glyph_counts", "WITH @chars SELECT ch, count(*) AS n, count(DISTINCT page) AS pages FROM chars GROUP BY ch")
+plan("glyph_counts", "WITH @chars, one AS (SELECT ch, page, count(*) AS n FROM chars GROUP BY ch, page) SELECT ch, CAST(sum(n) AS BIGINT) AS n, count(*) AS pages FROM one GROUP BY ch", "WITH @chars SELECT ch, count(*) AS n, count(DISTINCT page) AS pages FROM chars GROUP BY ch")
 plan("page_counts", "SELECT source AS slug, lang AS stratum, count(*) AS pages, CAST(sum(n_chars) AS BIGINT) AS glyphs FROM {documents} GROUP BY source, lang")
 # Classes of glyphs and their shares
 _both("glyph_class_shares", "WITH @chars, c AS (SELECT stratum, %CLASS% AS class, count(*) AS n FROM chars GROUP BY 1, 2) SELECT stratum, class, n, round(n / CAST(sum(n) OVER (PARTITION BY stratum) AS DOUBLE), 6) AS share FROM c")
 # Touching pairs and triples within tokens, with their coverage
 plan("bigrams", "WITH @bigr SELECT g, count(*) AS n FROM bigr GROUP BY g")
 plan("bigram_coverage", "WITH @bigr, one AS (SELECT g, slug, page, count(*) AS n FROM bigr GROUP BY g, slug, page) SELECT g, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS slugs FROM one GROUP BY g")
-plan("trigrams", "WITH @trig SELECT g, count(*) AS n, count(DISTINCT page) AS pages FROM trig GROUP BY g")
-# Runs of tone, named by their shortest period
+plan("trigrams", "WITH @trig, one AS (SELECT g, page, count(*) AS n FROM trig GROUP BY g, page) SELECT g, CAST(sum(n) AS BIGINT) AS n, count(*) AS pages FROM one GROUP BY g", "WITH @trig SELECT g, count(*) AS n, count(DISTINCT page) AS pages FROM trig GROUP BY g")
+# Runs of four tone glyphs and more, named by their shortest period
 _UNIT = "CASE WHEN b = repeat(substr(b, 1, 1), length(b)) THEN substr(b, 1, 1) WHEN b = substr(repeat(substr(b, 1, 2), length(b)), 1, length(b)) THEN substr(b, 1, 2) WHEN b = substr(repeat(substr(b, 1, 3), length(b)), 1, length(b)) THEN substr(b, 1, 3) ELSE '(aperiodic)' END"
 plan(
     "tone_bands",
-    f"WITH @lines, bands AS (SELECT slug, page, b FROM lines LATERAL VIEW explode($all(line; '{TONE}{{3,}}'$)) t AS b) SELECT {_UNIT} AS unit, count(*) AS n, count(DISTINCT page) AS pages, CAST(max(length(b)) AS INT) AS longest FROM bands GROUP BY 1",
-    f"WITH @lines, bands AS (SELECT slug, page, unnest($all(line; '{TONE}{{3,}}'$)) AS b FROM lines) SELECT {_UNIT} AS unit, count(*) AS n, count(DISTINCT page) AS pages, max(length(b))::INT AS longest FROM bands GROUP BY 1",
+    f"WITH @lines, bands AS (SELECT slug, page, b FROM lines LATERAL VIEW explode($all(line; '{TONE}{{4,}}'$)) t AS b) SELECT {_UNIT} AS unit, count(*) AS n, count(DISTINCT page) AS pages, CAST(max(length(b)) AS INT) AS longest FROM bands GROUP BY 1",
+    f"WITH @lines, bands AS (SELECT slug, page, unnest($all(line; '{TONE}{{4,}}'$)) AS b FROM lines) SELECT {_UNIT} AS unit, count(*) AS n, count(DISTINCT page) AS pages, max(length(b))::INT AS longest FROM bands GROUP BY 1",
 )
 # Spellings of white space within lines, and its laws
 plan(
@@ -47,12 +47,12 @@ plan("whitespace_law", "WITH @lines SELECT slug, count(*) AS rows_read, CAST(sum
 plan("idiom_counts", f"WITH i AS (SELECT * FROM (VALUES {_IDIOMS}) v(idiom)), c AS (SELECT idiom, source AS slug, doc_id AS page, CAST((length(text) - length(replace(text, idiom, ''))) / length(idiom) AS BIGINT) AS n FROM {{documents}} CROSS JOIN i) SELECT idiom, CAST(sum(n) AS BIGINT) AS n, count(*) AS pages, count(DISTINCT slug) AS slugs FROM c WHERE n > 0 GROUP BY idiom")
 plan(
     "idiom_strata",
-    f"WITH i AS (SELECT * FROM (VALUES {_IDIOMS}) v(idiom)), c AS (SELECT idiom, lang AS stratum, CAST((length(text) - length(replace(text, idiom, ''))) / length(idiom) AS BIGINT) AS n FROM {{documents}} CROSS JOIN i), s AS (SELECT idiom, stratum, CAST(sum(n) AS BIGINT) AS n, count(*) AS pieces FROM c GROUP BY idiom, stratum HAVING count(*) >= 50), k AS (SELECT *, row_number() OVER (PARTITION BY idiom ORDER BY n * 1.0 / pieces DESC, stratum) AS rk FROM s) SELECT idiom, stratum, n, pieces, CAST(rk AS INT) AS rk FROM k WHERE rk <= 4",
+    f"WITH i AS (SELECT * FROM (VALUES {_IDIOMS}) v(idiom)), c AS (SELECT idiom, lang AS stratum, CAST((length(text) - length(replace(text, idiom, ''))) / length(idiom) AS BIGINT) AS n FROM {{documents}} CROSS JOIN i), s AS (SELECT idiom, stratum, CAST(sum(n) AS BIGINT) AS n, count(*) AS pieces FROM c GROUP BY idiom, stratum HAVING count(*) >= 500), k AS (SELECT *, row_number() OVER (PARTITION BY idiom ORDER BY n * 1.0 / pieces DESC, stratum) AS rk FROM s) SELECT idiom, stratum, n, pieces, CAST(rk AS INT) AS rk FROM k WHERE rk <= 4",
 )
 # N-grams that hold an idiom, or are held by one, are none of their own
 plan("idiom_subtraction", f"WITH @trig, i AS (SELECT * FROM (VALUES {_IDIOMS}) v(idiom)), c AS (SELECT g, count(*) AS n FROM trig GROUP BY g) SELECT g, n FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE instr(g, idiom) > 0 OR instr(idiom, g) > 0)")
 # Strokes over strokes in the next row, centres at most 3 pixels apart
-_STACK = """laid AS (SELECT slug, page, r, p, ch, CAST(3 + ascii(ch) % 9 AS DOUBLE) AS adv, sum(CAST(3 + ascii(ch) % 9 AS DOUBLE)) OVER (PARTITION BY page, r ORDER BY p ROWS UNBOUNDED PRECEDING) AS pen FROM chars),
+_STACK = """laid AS (SELECT slug, page, r, p, ch, CAST($adv(ch$) AS DOUBLE) AS adv, sum(CAST($adv(ch$) AS DOUBLE)) OVER (PARTITION BY page, r ORDER BY p ROWS UNBOUNDED PRECEDING) AS pen FROM chars),
 s AS (SELECT slug, page, r, ch, pen - adv / 2 AS c FROM laid WHERE ch >= 'A' AND ch <= 'Z' AND length(ch) = 1)"""
 plan(
     "stacks",
@@ -82,7 +82,7 @@ plan(
 plan("plate_stacked", "WITH @pchars SELECT a.ch AS upper_ch, b.ch AS lower_ch, count(*) AS n, count(DISTINCT a.item_id) AS sources FROM pchars a JOIN pchars b ON a.item_id = b.item_id AND b.r = a.r + 1 AND b.p = a.p WHERE a.ch <> ' ' AND b.ch <> ' ' GROUP BY 1, 2")
 plan("blocks_2x2", "WITH @pchars, w AS (SELECT item_id, r, p, concat(ch, lead(ch) OVER (PARTITION BY item_id, r ORDER BY p)) AS two FROM pchars) SELECT concat(a.two, '/', b.two) AS block, count(*) AS n, count(DISTINCT a.item_id) AS sources FROM w a JOIN w b ON a.item_id = b.item_id AND b.r = a.r + 1 AND b.p = a.p WHERE length(a.two) = 2 AND length(b.two) = 2 GROUP BY 1")
 # Lattice cells of 16 pixels and windows of n by m cells, anchored on all borders
-_CELLS = """laid AS (SELECT slug, page, r, p, ch, CAST(floor((sum(3 + ascii(ch) % 9) OVER (PARTITION BY page, r ORDER BY p ROWS UNBOUNDED PRECEDING) - (3 + ascii(ch) % 9)) / 16) AS INT) AS c FROM chars),
+_CELLS = """laid AS (SELECT slug, page, r, p, ch, CAST(floor((sum($adv(ch$)) OVER (PARTITION BY page, r ORDER BY p ROWS UNBOUNDED PRECEDING) - $adv(ch$)) / 16) AS INT) AS c FROM chars),
 cells AS (SELECT slug, page, r, c, $cat(ch; ''; p$) AS code, CAST(max(CASE WHEN ch <> ' ' THEN 1 ELSE 0 END) AS INT) AS ink FROM laid GROUP BY slug, page, r, c)"""
 plan("lattice_cells", f"WITH @chars, {_CELLS} SELECT code, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS slugs FROM cells WHERE ink = 1 GROUP BY code HAVING count(*) >= 3")
 plan(
@@ -96,8 +96,8 @@ SELECT k, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS
 # Glyphs whose extents overlap by a pixel and more in adjacent rows
 plan(
     "vertical_continuation",
-    """WITH @pchars, laid AS (SELECT item_id, r, p, ch, CAST(sum(3 + ascii(ch) % 9) OVER (PARTITION BY item_id, r ORDER BY p ROWS UNBOUNDED PRECEDING) AS INT) AS x1 FROM pchars),
-e AS (SELECT *, x1 - CAST(3 + ascii(ch) % 9 AS INT) AS x0 FROM laid WHERE ch <> ' '),
+    """WITH @pchars, laid AS (SELECT item_id, r, p, ch, CAST(sum($adv(ch$)) OVER (PARTITION BY item_id, r ORDER BY p ROWS UNBOUNDED PRECEDING) AS INT) AS x1 FROM pchars),
+e AS (SELECT *, x1 - CAST($adv(ch$) AS INT) AS x0 FROM laid WHERE ch <> ' '),
 o AS (SELECT a.ch AS above, b.ch AS below, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS overlap FROM e a JOIN e b ON a.item_id = b.item_id AND b.r = a.r + 1 AND a.x0 < b.x1 AND b.x0 < a.x1)
 SELECT above, below, count(*) AS n, round(avg(CAST(overlap AS DOUBLE)), 6) AS mean_overlap FROM o GROUP BY above, below HAVING count(*) >= 2""",
 )
@@ -115,5 +115,16 @@ plan(
     f"WITH sub AS (SELECT DISTINCT n_name, substr(n_name, i, l) AS s FROM {{nation}} LATERAL VIEW explode(sequence(1, length(n_name))) a AS i LATERAL VIEW explode(sequence(2, greatest(length(n_name), 2))) b AS l WHERE i + l - 1 <= length(n_name)), {_SHARED}",
     f"WITH i AS (SELECT n_name, unnest(range(1, length(n_name) + 1)) AS i FROM {{nation}}), l AS (SELECT *, unnest(range(2, length(n_name) + 1)) AS l FROM i), sub AS (SELECT DISTINCT n_name, substr(n_name, i, l) AS s FROM l WHERE i + l - 1 <= length(n_name)), {_SHARED}",
 )
-plan("fragment_containment", "WITH f AS (SELECT item_id, substr(text, 1, 12) AS fragment FROM {benchmark}) SELECT item_id, count(*) AS pages FROM f JOIN {documents} ON instr(text, fragment) > 0 GROUP BY item_id")
+# a fragment's longest inner token stands in a text as a whole token, so it leads to the texts that can hold the fragment; the rest is
+# held against all texts, which are few: fragments of one or two tokens
+ANCHORED = """f AS (SELECT item_id, text AS fragment, regexp_extract_all(text, '[^ \\n]+', 0) AS ts FROM {benchmark} WHERE length(text) > 0),
+a AS (SELECT item_id, fragment, array_max(transform(slice(ts, 2, size(ts) - 2), t -> struct(length(t) AS n, t AS t))).t AS anchor FROM f WHERE size(ts) > 2),
+w AS (SELECT doc_id, t FROM {documents} LATERAL VIEW explode(array_distinct(regexp_extract_all(text, '[^ \\n]+', 0))) x AS t),
+near AS (SELECT DISTINCT doc_id, item_id, fragment FROM w JOIN a ON w.t = a.anchor),
+hits AS (SELECT d.doc_id, item_id, instr(d.text, fragment) AS place FROM near JOIN {documents} d ON near.doc_id = d.doc_id WHERE instr(d.text, fragment) > 0
+ UNION ALL SELECT d.doc_id, item_id, instr(d.text, fragment) FROM f JOIN {documents} d ON instr(d.text, fragment) > 0 WHERE size(ts) <= 2)"""
+_HITS = "hits AS (SELECT doc_id, item_id, instr(d.text, b.text) AS place FROM {documents} d JOIN {benchmark} b ON instr(d.text, b.text) > 0 WHERE length(b.text) > 0)"
+plan("fragment_containment", f"WITH {ANCHORED} SELECT item_id, count(*) AS pages FROM hits GROUP BY item_id", f"WITH {_HITS} SELECT item_id, count(*) AS pages FROM hits GROUP BY item_id")
+# where the whole text of an item stands
+plan("slice_check", f"WITH {ANCHORED} SELECT doc_id, item_id, CAST(place AS INT) AS found_at FROM hits", f"WITH {_HITS} SELECT doc_id, item_id, CAST(place AS INT) AS found_at FROM hits")
 plan("missing_from_alphabet", "WITH @pchars SELECT item_id, $cat(ch; ''; ch$) AS missing FROM (SELECT DISTINCT item_id, ch FROM pchars WHERE ch NOT IN ('a', 'e', 'i', 'o', 'u', 'n', 't', 'h', 's', 'r', 'd', 'l', ' ')) t GROUP BY item_id")

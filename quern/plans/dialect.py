@@ -2,18 +2,37 @@
 
 ``@name`` in a text stands for a base relation (a common table expression) that each dialect writes in its own
 way; ``{table}`` stands for an input table; ``$cat(x; sep; order)`` joins strings of a group in order and ``$all(s; pattern)``
-gives all matches. The rest is ANSI SQL.
+gives all matches; ``$adv(ch$)`` is a character's advance and ``$wide(ch$)`` whether it takes two columns. The rest is ANSI SQL.
 """
 
 from __future__ import annotations
 
 import re
 
-from quern.registry import query
+from quern.registry import QUERIES, query
 from quern.sources.tables import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Widths of the printable ASCII characters, from the space on, of a common proportional face, in thousandths of an em.
+WIDTHS = (
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
+    1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556,
+    333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+)
+EM = 16
+#: Ranges of code points that take two columns.
+WIDE = ((4352, 4447), (11904, 12350), (12353, 42191), (44032, 55203), (63744, 64255), (65072, 65135), (65280, 65376), (65504, 65510), (127744, 129791), (131072, 262141))
+_IS_WIDE = " OR ".join(f"ascii(%s) BETWEEN {a} AND {b}" for a, b in WIDE)
+_PIXELS = ", ".join(str(round(w * EM / 1000)) for w in WIDTHS)
+#: A character's advance in pixels: from the table, a whole em for wide ones, a letter's for others.
+_ADVANCE = (
+    f"CASE WHEN ascii(%s) BETWEEN 32 AND 126 THEN get(array({_PIXELS}), ascii(%s) - 32) WHEN {_IS_WIDE} THEN {EM} ELSE 9 END",
+    f"CASE WHEN ascii(%s) BETWEEN 32 AND 126 THEN ([{_PIXELS}])[ascii(%s) - 31] WHEN {_IS_WIDE} THEN {EM} ELSE 9 END",
+)
+#: Components by the spread of the smallest pixel number, as a recursive query.
+_PARTS = "ink AS (SELECT vec_id, (k // 8)::INT AS y, (k % 8)::INT AS x FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS e FROM {embeddings}) WHERE e > 0), reach(vec_id, y, x, r) AS (SELECT vec_id, y, x, y * 8 + x FROM ink UNION SELECT p.vec_id, p.y, p.x, q.r FROM reach q JOIN ink p ON p.vec_id = q.vec_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 AND q.r < p.y * 8 + p.x), lows AS (SELECT vec_id, y, x, min(r) AS r FROM reach GROUP BY ALL), parts AS (SELECT v.vec_id, count(DISTINCT r) AS parts FROM {embeddings} v LEFT JOIN lows l ON v.vec_id = l.vec_id GROUP BY v.vec_id)"
+
 #: Base relations: name -> (Spark, oracle).
 BASE: dict[str, tuple[str, str]] = {
     # pixels of the 8 by 8 bitmaps
@@ -37,7 +56,7 @@ BASE: dict[str, tuple[str, str]] = {
         "lines AS (SELECT source AS slug, doc_id AS page, lang AS stratum, unnest(range(len(ls)))::INT AS r, unnest(ls) AS line FROM (SELECT *, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM {documents}))",
     ),
     "chars": (
-        "@lines, chars AS (SELECT slug, page, stratum, r, CAST(p AS INT) AS p, substr(line, p, 1) AS ch FROM lines LATERAL VIEW explode(sequence(1, length(line))) t AS p WHERE length(line) > 0)",
+        "@lines, chars AS (SELECT slug, page, stratum, r, CAST(p + 1 AS INT) AS p, ch FROM lines LATERAL VIEW posexplode(split(line, '')) t AS p, ch WHERE length(line) > 0)",
         "@lines, chars AS (SELECT slug, page, stratum, r, p::INT AS p, substr(line, p, 1) AS ch FROM (SELECT *, unnest(range(1, length(line) + 1)) AS p FROM lines WHERE length(line) > 0))",
     ),
     # tokens between spaces
@@ -46,11 +65,11 @@ BASE: dict[str, tuple[str, str]] = {
         "@lines, toks AS (SELECT slug, page, stratum, r, unnest(regexp_extract_all(line, '[^ ]+')) AS tok FROM lines)",
     ),
     "bigr": (
-        "@toks, bigr AS (SELECT slug, page, stratum, substr(tok, i, 2) AS g FROM toks LATERAL VIEW explode(sequence(1, length(tok) - 1)) t AS i WHERE length(tok) >= 2)",
+        "@toks, bigr AS (SELECT slug, page, stratum, concat(a, b) AS g FROM (SELECT slug, page, stratum, split(tok, '') AS c FROM toks WHERE length(tok) >= 2) LATERAL VIEW inline(arrays_zip(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1))) t AS a, b)",
         "@toks, bigr AS (SELECT slug, page, stratum, substr(tok, i, 2) AS g FROM (SELECT *, unnest(range(1, length(tok))) AS i FROM toks WHERE length(tok) >= 2))",
     ),
     "trig": (
-        "@toks, trig AS (SELECT slug, page, stratum, substr(tok, i, 3) AS g FROM toks LATERAL VIEW explode(sequence(1, length(tok) - 2)) t AS i WHERE length(tok) >= 3)",
+        "@toks, trig AS (SELECT slug, page, stratum, concat(a, b, d) AS g FROM (SELECT slug, page, stratum, split(tok, '') AS c FROM toks WHERE length(tok) >= 3) LATERAL VIEW inline(arrays_zip(slice(c, 1, size(c) - 2), slice(c, 2, size(c) - 2), slice(c, 3, size(c) - 2))) t AS a, b, d)",
         "@toks, trig AS (SELECT slug, page, stratum, substr(tok, i, 3) AS g FROM (SELECT *, unnest(range(1, length(tok) - 1)) AS i FROM toks WHERE length(tok) >= 3))",
     ),
     # small plates: benchmark texts, tabs as spaces
@@ -59,17 +78,29 @@ BASE: dict[str, tuple[str, str]] = {
         "plate AS (SELECT item_id, unnest(range(len(ls)))::INT AS r, unnest(ls) AS line FROM (SELECT item_id, string_split(replace(text, chr(9), ' '), chr(10)) AS ls FROM {benchmark}))",
     ),
     "pchars": (
-        "@plate, pchars AS (SELECT item_id, r, CAST(p AS INT) AS p, substr(line, p, 1) AS ch FROM plate LATERAL VIEW explode(sequence(1, length(line))) t AS p WHERE length(line) > 0)",
+        "@plate, pchars AS (SELECT item_id, r, CAST(p + 1 AS INT) AS p, ch FROM plate LATERAL VIEW posexplode(split(line, '')) t AS p, ch WHERE length(line) > 0)",
         "@plate, pchars AS (SELECT item_id, r, p::INT AS p, substr(line, p, 1) AS ch FROM (SELECT *, unnest(range(1, length(line) + 1)) AS p FROM plate WHERE length(line) > 0))",
     ),
+    # parts of ink of each shape; Spark gets it as a table that is made per shape
+    "parts": ("parts AS (SELECT vec_id, parts FROM {ncomp})", _PARTS),
+    # pixels of plates: the shape whose id is a character's code point stands at the character's pen position
+    "plated": (
+        "@pchars, @pix, plated AS (SELECT DISTINCT item_id, r, x0 + x AS x, r * 8 + y AS y FROM (SELECT item_id, r, ch, CAST(sum($adv(ch$)) OVER (PARTITION BY item_id, r ORDER BY p ROWS UNBOUNDED PRECEDING) - $adv(ch$) AS INT) AS x0 FROM pchars) c JOIN pix ON vec_id = ascii(ch) AND v = 1)",
+    )
+    * 2,
     # one row per integer 0..63
     "nums": ("nums AS (SELECT CAST(id AS INT) AS i FROM range(64))", "nums AS (SELECT range::INT AS i FROM range(64))"),
 }
 
 
 def _text(body: str, which: int) -> str:
+    recursive = which == 1 and "@parts" in body
     for _ in range(4):
         body = re.sub(r"@(\w+)", lambda m: BASE[m[1]][which], body)
+    body = re.sub(r"\$adv\(([^$]*)\$\)", lambda m: "(" + _ADVANCE[which].replace("%s", m[1]) + ")", body)
+    body = re.sub(r"\$wide\(([^$]*)\$\)", lambda m: "(" + _IS_WIDE.replace("%s", m[1]) + ")", body)
+    if recursive:
+        body = body.replace("WITH ", "WITH RECURSIVE ", 1)
     if which == 0:
         body = re.sub(r"\$cat\(([^;]*); ([^;]*); ([^;]*)\$\)", r"listagg(\1, \2) WITHIN GROUP (ORDER BY \3)", body)
         body = re.sub(r"\$all\(([^;]*); ([^;]*)\$\)", r"regexp_extract_all(\1, \2, 0)", body)
@@ -81,13 +112,13 @@ def _text(body: str, which: int) -> str:
 def plan(name: str, body: str, oracle: str | None = None):
     """Registers a plan text under a name; ``oracle`` replaces the text for the oracle where the two must differ."""
     text = _text(body, 0)
-    used = [t for t in TABLES if "{" + t + "}" in text]
+    used = [t for t in (*TABLES, "ncomp") if "{" + t + "}" in text]
     text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace("{{" + t + "}}", "{" + t + "}")
 
     def run(spark, sf_dir):
-        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+        return spark.sql(text, **{t: QUERIES["ncomp"](spark, sf_dir) if t == "ncomp" else table(spark, sf_dir, t) for t in used})
 
     run.__name__ = name
     run.__doc__ = f"The plan text ``{name}``."

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import raster
-from quern.registry import query
+from quern.registry import QUERIES, query
 from quern.sources.tables import table
 
-#: A signature's bucket of more shapes is left out, as its families would be noise; the query reports those buckets.
-BUCKET_CAP = 500
-
 
 def _each(columns, make):
     """A map over batches: ``make`` gives the values of a bitmap's row, or several rows."""
@@ -112,7 +110,10 @@ def _directed(spark, sf_dir: str):
 
 @query("topo_families")
 def topo_families(spark, sf_dir: str):
-    """Skeletons alike at every pair, within buckets of their counts and proportions, from sharp to soft."""
+    """Skeletons alike at every pair, within buckets of their counts and proportions, from sharp to soft; no bucket is left out.
+
+    Families of over 16 are no sequences and are dropped, as the operator is defined.
+    """
 
     @F.pandas_udf("string")
     def signature(vectors: pd.Series) -> pd.Series:
@@ -126,12 +127,10 @@ def topo_families(spark, sf_dir: str):
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         columns = ["signature", "family", "members", "spread", "skipped"]
-        if len(group) > BUCKET_CAP:
-            return pd.DataFrame([(key[0], -1, [], 0.0, len(group))], columns=columns)
         prints = {i: raster.fingerprint(raster.from_vector(e)) for i, e in zip(group["vec_id"], group["embedding"])}
         soft = {i: raster.softness(f["turn"]) for i, f in prints.items()}
         order = sorted(prints, key=lambda i: (soft[i], i))
-        found = raster.complete_linkage(order, lambda a, b: raster.fingerprint_distance(prints[a], prints[b]) <= 1.5, 2)
+        found = [[order[k] for k in c] for c in raster.alike_prints([prints[i] for i in order]) if len(c) > 1]
         rows = [(key[0], k, m, soft[m[-1]] - soft[m[0]], 0) for k, m in enumerate(sorted(c, key=lambda i: (soft[i], i)) for c in found) if len(m) <= 16]
         return pd.DataFrame(rows, columns=columns)
 
@@ -156,7 +155,11 @@ def _rasters(spark, sf_dir: str):
     return rows.mapInPandas(run, "vec_id long, mask long, image long, key string, phase int, bucket string")
 
 
-# not registered: they rightly find nothing in the smallest tables, and tests ask rows of each registered query
+_GRID = "pix AS (SELECT vec_id, (k // 8)::INT AS y, (k % 8)::INT AS x, CASE WHEN e > 0 THEN '1' ELSE '0' END AS v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS e FROM embeddings))"
+_TURNED = "t AS (SELECT vec_id, 0 AS k, y, x, v FROM pix UNION ALL SELECT vec_id, 1, 7 - x, y, v FROM pix UNION ALL SELECT vec_id, 2, 7 - y, 7 - x, v FROM pix UNION ALL SELECT vec_id, 3, x, 7 - y, v FROM pix), s AS (SELECT vec_id, k, string_agg(v, '' ORDER BY y, x) AS grid FROM t GROUP BY vec_id, k)"
+
+
+@query("raster_orbits", f"WITH {_GRID}, {_TURNED}, m AS (SELECT vec_id, min(grid) AS key FROM s GROUP BY vec_id), p AS (SELECT m.vec_id, key, min(k)::INT AS phase FROM m JOIN s ON m.vec_id = s.vec_id AND s.grid = m.key GROUP BY m.vec_id, key), o AS (SELECT p.vec_id, key, phase, min(p.vec_id) OVER (PARTITION BY s.grid) AS least FROM p JOIN s ON p.vec_id = s.vec_id AND s.k = 0), f AS (SELECT key, phase, vec_id, count(*) OVER (PARTITION BY key) AS size FROM o WHERE vec_id = least) SELECT key, phase, vec_id, size FROM f WHERE size >= 3")
 def raster_orbits(spark, sf_dir: str):
     """Exact quarter turns of one raster over the whole table: at least 3 different frames, the first shape of each, by phase."""
     frames = _rasters(spark, sf_dir).groupBy("key", "phase", "mask").agg(F.min("vec_id").alias("vec_id"))
@@ -164,6 +167,7 @@ def raster_orbits(spark, sf_dir: str):
     return found.select("key", F.size("frames").alias("size"), F.explode("frames").alias("f")).select("key", "f.phase", "f.vec_id", "size")
 
 
+@query("raster_mirrors", f"WITH {_GRID}, g AS (SELECT vec_id, string_agg(v, '' ORDER BY y, x) AS own, string_agg(v, '' ORDER BY y, 7 - x) AS image FROM pix GROUP BY vec_id), f AS (SELECT own, min(vec_id) AS first FROM g WHERE own <> image GROUP BY own) SELECT DISTINCT least(vec_id, first) AS lo, greatest(vec_id, first) AS hi FROM g JOIN f ON g.image = f.own")
 def raster_mirrors(spark, sf_dir: str):
     """Each shape with the first one that is its exact left-right image, over the whole table; symmetric shapes have none."""
     rows = _rasters(spark, sf_dir).filter("mask <> image").select("vec_id", "mask", "image")
@@ -171,6 +175,7 @@ def raster_mirrors(spark, sf_dir: str):
     return rows.join(first, "image").select(F.least("vec_id", "first").alias("lo"), F.greatest("vec_id", "first").alias("hi")).distinct()
 
 
+@query("cycle_components", f"WITH RECURSIVE {_GRID}, z AS (SELECT vec_id, y // 2 AS zy, x // 2 AS zx, least(2, sum(v::INT) * 3 // 4) AS q FROM pix GROUP BY ALL), b AS (SELECT vec_id, string_agg(q::VARCHAR, '' ORDER BY zy, zx) AS bucket FROM z GROUP BY vec_id), n AS (SELECT vec_id, bucket, y, x, v::INT AS v FROM b JOIN pix USING (vec_id)), pr AS (SELECT p.vec_id AS i, q.vec_id AS j FROM n p JOIN n q ON p.bucket = q.bucket AND p.y = q.y AND p.x = q.x GROUP BY p.vec_id, q.vec_id HAVING sum(greatest(p.v, q.v)) > 0 AND sum(p.v * q.v)::DOUBLE / sum(greatest(p.v, q.v)) >= 0.78), r(vec_id, root) AS (SELECT i, j FROM pr UNION SELECT pr.i, r.root FROM r JOIN pr ON pr.j = r.vec_id AND r.root < pr.i), c AS (SELECT vec_id, min(root) AS component FROM r GROUP BY vec_id) SELECT component, vec_id, count(*) OVER (PARTITION BY component) AS size FROM c QUALIFY size >= 2")
 def cycle_components(spark, sf_dir: str, least_iou: float = 0.78, least: int = 2):
     """Single linkage on IoU within buckets of 16 quantised zones: each shape with the smallest id and the size of its component.
 
@@ -203,6 +208,81 @@ def cycle_components(spark, sf_dir: str, least_iou: float = 0.78, least: int = 2
     return rows.join(found, "mask").select("component", "vec_id", "size")
 
 
+_RECORD = ("kind string", "heading int", "hand string", "stable boolean", "symmetry string", "softness double", "density double", "fill string", "ends int", "branches int", "strokes int", "bends int", "inflections int")
+_shapes("stroke_records", ", ".join(_RECORD), lambda m: tuple(raster.stroke_record(raster.crop_fit(m, 48)).values()))
+_shapes("part_axes", "size long, degrees double, ratio double", lambda m: [(n, d, r) for n, d, r in raster.part_axes(m)])
+
+
+@query("topo_search")
+def topo_search(spark, sf_dir: str, seed: int = 0, pool: int = 400, k: int = 24):
+    """The shapes whose skeletons are nearest to a seed's: a pool of the nearest by moments, ranked anew by fingerprints.
+
+    The seed is one row, and its measures go to the tasks. Without a usable skeleton of it nothing is near.
+    """
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    own = rows.filter(F.col("vec_id") == seed).first()
+    mask = raster.from_vector(own.embedding if own else np.zeros(64))
+    moments, print_ = raster.log_moments(mask), raster.fingerprint(mask)
+
+    def by_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            far = [float(np.linalg.norm(raster.log_moments(raster.from_vector(e)) - moments)) for e in batch["embedding"]]
+            yield batch.assign(moments=far)
+
+    def by_print(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, h, raster.fingerprint(raster.from_vector(e))) for i, e, h in zip(batch["vec_id"], batch["embedding"], batch["moments"])]
+            found = [(i, h, raster.fingerprint_distance(print_, f)) for i, h, f in found if f["ok"] and print_["ok"]]
+            yield pd.DataFrame(found, columns=["vec_id", "moments", "distance"]).astype({"vec_id": "int64", "moments": float, "distance": float})
+
+    near = rows.filter(F.col("vec_id") != seed).mapInPandas(by_moments, "vec_id long, embedding array<float>, moments double").orderBy("moments", "vec_id").limit(pool)
+    return near.mapInPandas(by_print, "vec_id long, moments double, distance double").orderBy("distance", "vec_id").limit(k)
+
+
+@query("all_families")
+def all_families(spark, sf_dir: str, per_mode: int = 600, largest: int = 16):
+    """Families of every mode in one table: 2 to ``largest`` members, none a control character, at most ``per_mode`` of a mode."""
+    members = lambda df, keys, mode, order="vec_id": df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), "vec_id"))).alias("m")).select(F.lit(mode).alias("mode"), F.col("m.vec_id").alias("members"))
+    found = [
+        members(raster_orbits(spark, sf_dir), ["key"], "spin", "phase"),
+        raster_mirrors(spark, sf_dir).select(F.lit("mirror").alias("mode"), F.array("lo", "hi").alias("members")),
+        members(cycle_components(spark, sf_dir, 0.72, 4).filter(F.col("size") <= largest), ["component"], "cycle"),
+        ramp_families(spark, sf_dir).select(F.lit("ramp").alias("mode"), "members"),
+        topo_families(spark, sf_dir).select(F.lit("topo").alias("mode"), "members"),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b), found).withColumn("size", F.size("members").cast("int")).filter(F.col("size").between(2, largest))
+    every = every.filter(~F.exists("members", lambda i: (i < 32) | i.between(127, 159) | (i == 173)))
+    # ramps and skeletons with few frames first, the others with many; a mode has a bounded number of families after its limit
+    first = F.when(F.col("mode") == "ramp", F.col("size")).otherwise(-F.col("size"))
+    place = F.row_number().over(Window.partitionBy("mode").orderBy(first, F.col("members")[0], F.col("members")[1]))
+    return every.withColumn("place", place).filter(F.col("place") <= per_mode).select("mode", "place", "size", "members")
+
+
+@query("consumed_families")
+def consumed_families(spark, sf_dir: str):
+    """Families with only the members that are admitted, at least two, each with its weight: its share of the raster."""
+    admitted = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id")), "vec_id", "left_semi")
+    weight = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + F.when(e > 0, 1.0).otherwise(0.0)) / 64
+    rows = all_families(spark, sf_dir).select("mode", "place", F.posexplode("members").alias("at", "vec_id")).join(admitted.select("vec_id", F.round(weight, 6).alias("weight")), "vec_id")
+    out = rows.groupBy("mode", "place").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "weight"))).alias("m")).filter(F.size("m") >= 2)
+    return out.select("mode", "place", F.col("m.vec_id").alias("members"), F.col("m.weight").alias("weights"))
+
+
+@query("pair_records")
+def pair_records(spark, sf_dir: str):
+    """All that is measured of a shape over the next one of its block: gaps, port, topology, distance, and the slope of the composite."""
+    gaps, ports = (QUERIES[n](spark, sf_dir) for n in ("seam_gap_profile", "port_overlap"))
+
+    @F.pandas_udf("double")
+    def slope(upper: pd.Series, lower: pd.Series) -> pd.Series:
+        return pd.Series([raster.dominant_degrees(raster.stacked(raster.from_vector(a), raster.from_vector(b))) for a, b in zip(upper, lower)], dtype=float)
+
+    shapes = table(spark, sf_dir, "embeddings")
+    named = lambda i, e: shapes.select(F.col("vec_id").alias(i), F.col("embedding").alias(e))
+    out = topology_delta(spark, sf_dir).join(ports, ["a", "b"], "left").join(gaps, ["a", "b"], "left")
+    return out.join(named("a", "upper"), "a").join(named("b", "lower"), "b").withColumn("slope", slope("upper", "lower")).drop("upper", "lower")
+
+
 @query("page_texts")
 def page_texts(spark, sf_dir: str):
     """Text of web pages: scripts and styles dropped, blocks broken into lines, links counted."""
@@ -253,7 +333,7 @@ def bootstrap_interval(spark, sf_dir: str, rounds: int = 300):
     u = F.pmod(F.xxhash64("lang", "source", "round"), F.lit(1_000_003)) / 1_000_003.0
     times = sum(F.when(u >= c, 1).otherwise(0) for c in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340))
     drawn = pages.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", times)
-    means = drawn.groupBy("lang", "round").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean")).filter("mean IS NOT NULL")
+    means = drawn.groupBy("lang", "round").agg(F.try_divide(F.sum(F.col("s") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("mean")).filter("mean IS NOT NULL")
     low, high = int(rounds * 0.025), int(rounds * 0.975)
     sorted_means = F.sort_array(F.collect_list("mean"))
     return means.groupBy("lang").agg(F.get(sorted_means, F.lit(low)).alias("low"), F.get(sorted_means, F.least(F.lit(high), F.count(F.lit(1)) - 1).cast("int")).alias("high"))

@@ -23,10 +23,21 @@ plan(
     f"""WITH {CELLS}, a AS (SELECT b_bottom AS ma, 7 - i_bottom AS da, count(*) AS na FROM cells WHERE b_bottom <> 0 GROUP BY 1, 2), b AS (SELECT b_top AS mb, i_top AS db, count(*) AS nb FROM cells WHERE b_top <> 0 GROUP BY 1, 2)
 SELECT 'band' AS kind, CAST(sum(na * nb) AS BIGINT) AS pairs FROM a JOIN b ON 2 * bit_count(ma & mb) >= bit_count(ma | mb) AND da + db <= 4""",
 )
-# The best half of a quota by similarity and gap, port before band
-plan("seam_capped", f"WITH {PORT}, k AS (SELECT *, row_number() OVER (PARTITION BY ia ORDER BY j DESC, gap, ib) AS rk FROM pairs) SELECT ia, ib, round(j, 6) AS j, gap, CAST(rk AS INT) AS rk FROM k WHERE rk <= 12")
-_NEAR_BAND = "band AS (SELECT a.vec_id AS ia, b.vec_id AS ib, CAST(bit_count(a.b_bottom & b.b_top) AS DOUBLE) / bit_count(a.b_bottom | b.b_top) AS j FROM cells a JOIN cells b ON a.label = b.label AND a.b_bottom <> 0 AND b.b_top <> 0 AND 7 - a.i_bottom + b.i_top <= 1 AND 10 * bit_count(a.b_bottom & b.b_top) >= 9 * bit_count(a.b_bottom | b.b_top))"
-plan("seam_merged", f"WITH {PORT}, {_NEAR_BAND}, u AS (SELECT ia, ib, j, 0 AS kind FROM pairs WHERE j >= 0.9 UNION ALL SELECT ia, ib, j, 1 FROM band), k AS (SELECT *, row_number() OVER (PARTITION BY ia, ib ORDER BY j DESC, kind) AS rk FROM u) SELECT ia, ib, round(j, 6) AS j, CASE WHEN kind = 0 THEN 'port' ELSE 'band' END AS kind FROM k WHERE rk = 1 ORDER BY round(j, 6) DESC, ia, ib LIMIT 300")
+# Half of a quota goes to the best by similarity and gap, the other half to those that a hash of the pair picks; port before band
+_DRAW = "sha2(concat(CAST(ia AS VARCHAR(20)), '-', CAST(ib AS VARCHAR(20))), 256)"
+_HALVES = "k AS (SELECT *, row_number() OVER (%PART%ORDER BY j DESC, gap, ia, ib) AS rk FROM {src}), h AS (SELECT *, row_number() OVER (%PART%ORDER BY CASE WHEN rk <= {half} THEN 0 ELSE 1 END, CASE WHEN rk > {half} THEN %DRAW% END, rk) AS place FROM k)"
+
+
+def _drawn(name: str, text: str) -> None:
+    plan(name, text.replace("%DRAW%", _DRAW), text.replace("%DRAW%", _DRAW.replace("sha2(", "sha256(").replace(", 256)", ")")))
+
+
+_drawn("seam_capped", f"WITH {PORT}, " + _HALVES.format(src="pairs", half=6).replace("%PART%", "PARTITION BY ia ") + " SELECT ia, ib, round(j, 6) AS j, gap, rk <= 6 AS best FROM h WHERE place <= 12")
+_NEAR_BAND = "band AS (SELECT a.vec_id AS ia, b.vec_id AS ib, CAST(bit_count(a.b_bottom & b.b_top) AS DOUBLE) / bit_count(a.b_bottom | b.b_top) AS j, CAST(7 - a.i_bottom + b.i_top AS INT) AS gap FROM cells a JOIN cells b ON a.label = b.label AND a.b_bottom <> 0 AND b.b_top <> 0 AND 7 - a.i_bottom + b.i_top <= 1 AND 10 * bit_count(a.b_bottom & b.b_top) >= 9 * bit_count(a.b_bottom | b.b_top))"
+_MERGED = f"{PORT}, {_NEAR_BAND}, u AS (SELECT ia, ib, j, gap, 0 AS kind FROM pairs WHERE j >= 0.9 UNION ALL SELECT ia, ib, j, gap, 1 FROM band), m AS (SELECT *, row_number() OVER (PARTITION BY ia, ib ORDER BY j DESC, kind) AS rm FROM u), one AS (SELECT ia, ib, j, gap, kind FROM m WHERE rm = 1)"
+# the best half by a limit, then the other one by a limit of what is left: no window over all pairs
+_CAP = "head AS (SELECT * FROM one ORDER BY j DESC, gap, ia, ib LIMIT 150), tail AS (SELECT o.* FROM one o LEFT JOIN head h ON o.ia = h.ia AND o.ib = h.ib WHERE h.ia IS NULL), drawn AS (SELECT * FROM tail ORDER BY %DRAW%, ia, ib LIMIT 150), both AS (SELECT *, TRUE AS best FROM head UNION ALL SELECT *, FALSE FROM drawn)".replace("both", "capped")
+_drawn("seam_merged", f"WITH {_MERGED}, {_CAP} SELECT ia, ib, round(j, 6) AS j, CASE WHEN kind = 0 THEN 'port' ELSE 'band' END AS kind, best FROM capped")
 # Composites of a shape over the next one of its block, their gaps and ports
 _NEXT = f"{CELLS}, pr AS (SELECT vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM cells)"
 plan("seam_gap_profile", f"WITH {_NEXT}, lo AS (SELECT vec_id, x, max(CASE WHEN v = 1 THEN y END) AS last_y, min(CASE WHEN v = 1 THEN y END) AS first_y FROM pix GROUP BY vec_id, x), g AS (SELECT pr.a, pr.b, lo.x, 7 - lo.last_y + hi.first_y AS gap FROM pr JOIN lo ON lo.vec_id = pr.a JOIN lo hi ON hi.vec_id = pr.b AND hi.x = lo.x) SELECT a, b, CAST(min(gap) AS INT) AS least, CAST(max(gap) AS INT) AS most, count(gap) AS lines, round(CAST(median(gap) AS DOUBLE), 6) AS middle, min(gap) = 0 AS connected FROM g GROUP BY a, b")
@@ -34,14 +45,14 @@ plan("port_overlap", f"WITH {_NEXT} SELECT a, b, round(CASE WHEN bit_count(x.m_b
 plan("stacked_composite", f"WITH {_NEXT}, g AS (SELECT a, b, y, x, v FROM pr JOIN pix ON vec_id = a WHERE b IS NOT NULL UNION ALL SELECT a, b, y + 8, x, v FROM pr JOIN pix ON vec_id = b) SELECT a, b, $cat(CAST(v AS VARCHAR(1)); ''; y * 8 + x$) AS grid FROM g GROUP BY a, b")
 plan("half_block_rows", "WITH @pix SELECT a.vec_id, CAST(a.y / 2 AS INT) AS line, $cat(CASE WHEN a.v = 1 AND b.v = 1 THEN '#' WHEN a.v = 1 THEN 'u' WHEN b.v = 1 THEN 'l' ELSE '.' END; ''; a.x$) AS packed FROM pix a JOIN pix b ON a.vec_id = b.vec_id AND a.x = b.x AND b.y = a.y + 1 WHERE a.y % 2 = 0 GROUP BY a.vec_id, a.y")
 
-# Run edges. Bands of the axis make equalities of the range conditions.
-_NODES = f"{CELLS}, node AS (SELECT vec_id AS id, label, i_left AS a0, i_right AS a1, i_top AS c0, i_bottom AS c1, i_bottom - i_top + 1 AS size, cen, b_right, b_left, CAST((vec_id * 37) % 180 AS DOUBLE) AS dom FROM cells)"
+# Run edges within a block. The direction of a mark is the axis of its ink, by second moments.
+_NODES = f"{CELLS}, axis AS (SELECT vec_id, sum((x - mx) * (x - mx)) AS sxx, sum((y - my) * (y - my)) AS syy, sum((x - mx) * (y - my)) AS sxy FROM pix JOIN (SELECT vec_id, avg(CAST(x AS DOUBLE)) AS mx, avg(CAST(y AS DOUBLE)) AS my FROM pix WHERE v = 1 GROUP BY vec_id) m USING (vec_id) WHERE v = 1 GROUP BY vec_id), node AS (SELECT vec_id AS id, label, i_left AS a0, i_right AS a1, i_top AS c0, i_bottom AS c1, i_bottom - i_top + 1 AS size, cen, b_right, b_left, CAST(round(degrees(0.5 * atan2(2.0 * sxy, sxx - syy)) + CASE WHEN round(2.0 * sxy, 9) < 0 THEN 180 ELSE 0 END, 9) AS DOUBLE) AS dom FROM cells JOIN axis USING (vec_id))"
 EDGES = f"""{_NODES},
 contact AS (SELECT a.id AS src, b.id AS dst, 'contact' AS rule, CAST(7 - a.a1 + b.a0 AS DOUBLE) + 1.0 - CASE WHEN a.b_right <> 0 AND b.b_left <> 0 THEN CAST(bit_count(a.b_right & b.b_left) AS DOUBLE) / bit_count(a.b_right | b.b_left) ELSE 0.0 END AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND 7 - a.a1 + b.a0 <= 4 AND least(a.c1, b.c1) >= greatest(a.c0, b.c0)),
 rep AS (SELECT id AS src, id AS dst, 'repeat' AS rule, CAST(0.5 AS DOUBLE) AS cost FROM node),
-step AS (SELECT a.id AS src, b.id AS dst, 'step' AS rule, CAST(0.5 AS DOUBLE) AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND a.size <= 7 AND b.size <= 7 AND abs(a.cen - b.cen) <= 1),
+step AS (SELECT a.id AS src, b.id AS dst, 'step' AS rule, CAST(0.5 AS DOUBLE) AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND a.size <= 5 AND b.size <= 5 AND abs(a.cen - b.cen) <= 1),
 turn AS (SELECT a.id AS src, b.id AS dst, 'turn' AS rule, 1.0 + least(abs(a.dom - b.dom), 180 - abs(a.dom - b.dom)) / 45 AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND least(abs(a.dom - b.dom), 180 - abs(a.dom - b.dom)) <= 45 AND a.size >= 4 AND b.size >= 4 AND least(a.c1, b.c1) >= greatest(a.c0, b.c0)),
-ends AS (SELECT a.id AS src, b.id AS dst, 'end' AS rule, 1.0 + least(abs(a.c0 - b.c0), abs(a.c1 - b.c1), abs(a.c0 - b.c1), abs(a.c1 - b.c0)) / CAST(4 AS DOUBLE) AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND least(a.c1, b.c1) < greatest(a.c0, b.c0) AND greatest(a.size, b.size) > 5),
+ends AS (SELECT a.id AS src, b.id AS dst, 'end' AS rule, 1.0 + least(abs(a.c0 - b.c0), abs(a.c1 - b.c1), abs(a.c0 - b.c1), abs(a.c1 - b.c0)) / CAST(4 AS DOUBLE) AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND least(a.c1, b.c1) < greatest(a.c0, b.c0) AND greatest(a.size, b.size) > 5 AND least(abs(a.c0 - b.c0), abs(a.c1 - b.c1), abs(a.c0 - b.c1), abs(a.c1 - b.c0)) <= 4),
 edges AS (SELECT * FROM contact UNION ALL SELECT * FROM rep UNION ALL SELECT * FROM step UNION ALL SELECT * FROM turn UNION ALL SELECT * FROM ends)"""
 plan("run_edges", f"WITH {EDGES} SELECT rule, count(*) AS n, round(min(cost), 6) AS least, round(max(cost), 6) AS most, round(avg(cost), 6) AS mean FROM edges GROUP BY rule")
 _QUOTA = f"{EDGES}, b AS (SELECT *, floor(cost) AS bucket FROM edges), r1 AS (SELECT *, row_number() OVER (PARTITION BY src, rule, bucket ORDER BY cost, dst) AS rb, row_number() OVER (PARTITION BY src, rule ORDER BY cost, dst) AS ra FROM b), nb AS (SELECT src, rule, greatest(1, CAST(floor(3.0 / count(DISTINCT bucket)) AS INT)) AS quota FROM b GROUP BY src, rule), o AS (SELECT r1.*, row_number() OVER (PARTITION BY r1.src, r1.rule ORDER BY CASE WHEN rb <= quota THEN 0 ELSE 1 END, ra) AS place FROM r1 JOIN nb ON r1.src = nb.src AND r1.rule = nb.rule), kept AS (SELECT src, dst, rule, cost FROM o WHERE place <= 3)"
@@ -59,16 +70,19 @@ plan("topk_length_diverse", f"WITH {_QUOTA}, r AS (SELECT 2 AS length, src AS s,
 _COARSE = "@pix, co AS (SELECT vec_id, label, CAST(floor(y / 4) AS INT) AS y, CAST(floor(x / 4) AS INT) AS x, CASE WHEN sum(v) >= 8 THEN 1 ELSE 0 END AS v FROM pix GROUP BY vec_id, label, floor(y / 4), floor(x / 4)), g AS (SELECT vec_id, label, max(CASE WHEN y = 0 AND x = 0 THEN v END) AS a, max(CASE WHEN y = 0 AND x = 1 THEN v END) AS b, max(CASE WHEN y = 1 AND x = 0 THEN v END) AS c, max(CASE WHEN y = 1 AND x = 1 THEN v END) AS d FROM co GROUP BY vec_id, label)"
 plan("spin_orbits", f"WITH {_COARSE}, t AS (SELECT vec_id, label, concat(a, b, c, d) AS f0, concat(b, d, a, c) AS f1, concat(d, c, b, a) AS f2, concat(c, a, d, b) AS f3 FROM g), k AS (SELECT vec_id, label, f0, least(f0, f1, f2, f3) AS key, CASE least(f0, f1, f2, f3) WHEN f0 THEN 0 WHEN f1 THEN 1 WHEN f2 THEN 2 ELSE 3 END AS phase FROM t), u AS (SELECT label, key, f0, phase, min(vec_id) AS vec_id FROM k GROUP BY label, key, f0, phase), n AS (SELECT *, count(*) OVER (PARTITION BY label, key) AS frames FROM u) SELECT label, key, CAST(phase AS INT) AS phase, vec_id, frames FROM n WHERE frames >= 3")
 plan("mirror_pairs", f"WITH {_COARSE}, k AS (SELECT vec_id, label, concat(a, b, c, d) AS own, concat(b, a, d, c) AS mirrored FROM g), f AS (SELECT label, own, mirrored, min(vec_id) AS vec_id FROM k GROUP BY label, own, mirrored) SELECT a.label, least(a.vec_id, b.vec_id) AS lo, greatest(a.vec_id, b.vec_id) AS hi FROM f a JOIN f b ON a.label = b.label AND a.mirrored = b.own AND a.own < b.own")
-plan("fill_pairs", f"WITH {CELLS}, r AS (SELECT vec_id, label, ink, concat(i_top, '-', i_bottom, '-', i_left, '-', i_right, '-', m_top) AS silhouette FROM cells), n AS (SELECT *, count(*) OVER (PARTITION BY label, silhouette) AS bucket FROM r), c AS (SELECT a.vec_id AS outline, b.vec_id AS filled, sum(p.v * q.v) AS common, max(a.ink) AS ia, max(b.ink) AS ib FROM n a JOIN n b ON a.label = b.label AND a.silhouette = b.silhouette AND a.vec_id <> b.vec_id AND b.ink > a.ink AND a.bucket <= 600 JOIN pix p ON p.vec_id = a.vec_id JOIN pix q ON q.vec_id = b.vec_id AND q.y = p.y AND q.x = p.x GROUP BY a.vec_id, b.vec_id) SELECT outline, filled, round(CAST(common AS DOUBLE) / ia, 6) AS cover FROM c WHERE common * 1.0 / ia >= 0.5")
+plan("fill_pairs", f"WITH {CELLS}, r AS (SELECT vec_id, label, ink, concat(i_top, '-', i_bottom, '-', i_left, '-', i_right, '-', m_top) AS silhouette FROM cells), c AS (SELECT a.vec_id AS outline, b.vec_id AS filled, sum(p.v * q.v) AS common, max(a.ink) AS ia, max(b.ink) AS ib FROM r a JOIN r b ON a.label = b.label AND a.silhouette = b.silhouette AND a.vec_id <> b.vec_id AND b.ink > a.ink JOIN pix p ON p.vec_id = a.vec_id JOIN pix q ON q.vec_id = b.vec_id AND q.y = p.y AND q.x = p.x GROUP BY a.vec_id, b.vec_id) SELECT outline, filled, round(CAST(common AS DOUBLE) / ia, 6) AS cover FROM c WHERE common * 1.0 / ia >= 0.5")
 plan("zoning_buckets", "WITH @pix, z AS (SELECT vec_id, label, floor(y / 4) * 2 + floor(x / 4) AS zone, least(2, CAST(floor(avg(CAST(v AS DOUBLE)) * 3) AS INT)) AS q FROM pix GROUP BY vec_id, label, floor(y / 4), floor(x / 4)), k AS (SELECT vec_id, label, $cat(CAST(q AS VARCHAR(2)); ''; zone$) AS bucket FROM z GROUP BY vec_id, label) SELECT label, bucket, count(*) AS size, min(vec_id) AS least FROM k GROUP BY label, bucket HAVING count(*) >= 2")
 
+#: Letters and decimal digits among the first code points, which shapes have as their ids; and the first letters beyond.
+_ALNUM = "(i.vec_id BETWEEN 48 AND 57 OR i.vec_id BETWEEN 65 AND 90 OR i.vec_id BETWEEN 97 AND 122 OR i.vec_id IN (170, 181, 186) OR i.vec_id BETWEEN 192 AND 705 AND i.vec_id NOT IN (215, 247) OR i.vec_id BETWEEN 880 AND 1791 OR i.vec_id BETWEEN 2304 AND 8191 OR i.vec_id BETWEEN 12353 AND 42191 OR i.vec_id BETWEEN 44032 AND 55203)"
 # Distraction of glyphs within their block
 _MED = "@pix, i AS (SELECT vec_id, label, CAST(sum(v) AS INT) AS ink, sum(v) / CAST(64 AS DOUBLE) AS density FROM pix GROUP BY vec_id, label), m AS (SELECT label, median(density) AS med FROM i GROUP BY label)"
 plan("block_median_density", f"WITH {_MED} SELECT label, round(med, 6) AS median_density FROM m")
-_DIS = f"{_MED}, t AS (SELECT i.*, med, CASE WHEN i.vec_id % 3 = 0 THEN CAST(0.55 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS alnum, CAST(0.25 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), density / CAST(0.5 AS DOUBLE)) AS ink_term, CAST(0.1 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), greatest((i.vec_id % 8) - 1, 0) / CAST(6.0 AS DOUBLE)) AS parts, CAST(0.1 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE), density - med) / greatest(med, 1 / CAST(64 AS DOUBLE))) AS contrast FROM i JOIN m ON i.label = m.label), w AS (SELECT *, round(CAST(alnum AS DOUBLE) + ink_term + CAST(parts AS DOUBLE) + contrast, 6) AS weight FROM t)"
-plan("distraction_rank", f"WITH {_DIS} SELECT vec_id, label, weight, CAST(row_number() OVER (ORDER BY weight DESC, vec_id) AS INT) AS place FROM w ORDER BY weight DESC, vec_id LIMIT 40")
+_DIS = f"{_MED}, @parts, t AS (SELECT i.*, med, CASE WHEN {_ALNUM} THEN CAST(0.55 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS alnum, CAST(0.25 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), density / CAST(0.5 AS DOUBLE)) AS ink_term, CAST(0.1 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), greatest(parts.parts - 1, 0) / CAST(6.0 AS DOUBLE)) AS part_term, CAST(0.1 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE), density - med) / greatest(med, 1 / CAST(64 AS DOUBLE))) AS contrast FROM i JOIN m ON i.label = m.label JOIN parts ON i.vec_id = parts.vec_id), w AS (SELECT *, round(CAST(alnum AS DOUBLE) + ink_term + CAST(part_term AS DOUBLE) + contrast, 6) AS weight FROM t)"
+plan("distraction_rank", f"WITH {_DIS} SELECT vec_id, label, weight, CAST(row_number() OVER (ORDER BY weight DESC, vec_id) AS INT) AS place FROM (SELECT * FROM w ORDER BY weight DESC, vec_id LIMIT 40) t")
 plan("distraction_quietest", f"WITH {_DIS} SELECT vec_id, label, weight FROM w ORDER BY weight, vec_id LIMIT 40")
-plan("distract_flags", "WITH c AS (SELECT DISTINCT substr(text, 1, 1) AS ch FROM {documents} UNION SELECT DISTINCT substr(text, 2, 1) FROM {documents}) SELECT ch, CASE WHEN ch IN ('o', 'O', 'v', 'T', 'l', '7') THEN 'whitelist' WHEN ch IN ('u', 'c', 'C', 'x') THEN 'marginal' WHEN regexp_like(ch, '^[\\\\p{L}\\\\p{Nd}]$') THEN 'alnum' ELSE '' END AS flag FROM c WHERE ch <> ''", "WITH c AS (SELECT DISTINCT substr(text, 1, 1) AS ch FROM {documents} UNION SELECT DISTINCT substr(text, 2, 1) FROM {documents}) SELECT ch, CASE WHEN ch IN ('o', 'O', 'v', 'T', 'l', '7') THEN 'whitelist' WHEN ch IN ('u', 'c', 'C', 'x') THEN 'marginal' WHEN regexp_matches(ch, '^[\\p{L}\\p{Nd}]$') THEN 'alnum' ELSE '' END AS flag FROM c WHERE ch <> ''")
+_FLAGS = "WITH @chars SELECT ch, CASE WHEN ch IN ('o', 'O', 'v', 'T', 'l', '7') THEN 'whitelist' WHEN ch IN ('u', 'c', 'C', 'x') THEN 'marginal' WHEN %LIKE% THEN 'alnum' ELSE '' END AS flag FROM (SELECT DISTINCT ch FROM chars) c"
+plan("distract_flags", _FLAGS.replace("%LIKE%", "regexp_like(ch, '^[\\\\p{L}\\\\p{Nd}]$')"), _FLAGS.replace("%LIKE%", "regexp_matches(ch, '^[\\p{L}\\p{Nd}]$')"))
 # Ids of admitted shapes, new ones in order of first use
 plan("export_ids", "WITH adm AS (SELECT s_suppkey AS id FROM {supplier}), f AS (SELECT label AS family, vec_id AS cp, row_number() OVER (ORDER BY label, vec_id) AS used FROM {embeddings}), j AS (SELECT f.*, adm.id FROM f LEFT JOIN adm ON f.cp = adm.id), n AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN id IS NULL THEN 1 ELSE 0 END ORDER BY used) AS fresh FROM j) SELECT family, cp, coalesce(id, (SELECT max(id) FROM adm) + fresh) AS glyph_id, id IS NOT NULL AS admitted FROM n")
 plan("admitted_latest", "WITH f AS (SELECT o_custkey AS scalar_value, o_orderkey AS file_no, o_totalprice AS price FROM {orders}), k AS (SELECT *, row_number() OVER (PARTITION BY scalar_value ORDER BY file_no DESC) AS rk FROM f) SELECT scalar_value, file_no, price FROM k WHERE rk = 1")
@@ -83,7 +97,9 @@ _D = _COMBO.format(abc=_ABC_DUCK, mirror=_MIRROR.replace("<bs>", "\\"))
 plan("combo_enumerate", f"WITH {_S} SELECT shape, count(*) AS n, CAST(sum(code) AS BIGINT) AS codes, count(DISTINCT chars) AS texts FROM combos GROUP BY shape", f"WITH {_D} SELECT shape, count(*) AS n, sum(code)::BIGINT AS codes, count(DISTINCT chars) AS texts FROM combos GROUP BY shape")
 plan("combo_mirror", f"WITH {_S} SELECT shape, count(*) AS n, count(*) FILTER (WHERE chars = mirrored) AS self_symmetric FROM combos GROUP BY shape", f"WITH {_D} SELECT shape, count(*) AS n, count(*) FILTER (WHERE chars = mirrored) AS self_symmetric FROM combos GROUP BY shape")
 plan("combo_adjacency", "WITH c AS (SELECT * FROM (VALUES ('line_h', 0, 0, 0), ('line_h', 1, 1, 0), ('el_tl', 0, 0, 0), ('el_tl', 1, 1, 0), ('el_tl', 2, 0, 1), ('line_v', 0, 0, 0), ('line_v', 1, 0, 1)) t(shape, idx, col, ln)) SELECT a.shape, a.idx AS a, b.idx AS b, CASE WHEN b.col = a.col + 1 THEN 'beside' ELSE 'stacked' END AS relation FROM c a JOIN c b ON a.shape = b.shape AND ((b.col = a.col + 1 AND b.ln = a.ln) OR (b.col = a.col AND b.ln = a.ln + 1))")
-# Pairs are measured once and joined back to the combinations
-plan("combo_measured", f"WITH {_S}, d AS (SELECT a.i AS x, b.i AS y, abs(a.i - b.i) % 5 AS gap FROM m a CROSS JOIN m b), j AS (SELECT code, chars, p.gap AS g1, q.gap AS g2 FROM combos JOIN d p ON p.x = CAST(floor(code / 841) AS INT) AND p.y = CAST(floor(code / 29) AS INT) % 29 JOIN d q ON q.x = CAST(floor(code / 29) AS INT) % 29 AND q.y = code % 29 WHERE shape = 'line_h3') SELECT g1 = 0 AND g2 = 0 AS connected_all, g1 = 0 OR g2 = 0 AS connected_any, count(*) AS n, round(avg((g1 + g2) / CAST(2 AS DOUBLE)), 6) AS mean_gap FROM j GROUP BY 1, 2", f"WITH {_D}, d AS (SELECT a.i AS x, b.i AS y, abs(a.i - b.i) % 5 AS gap FROM m a CROSS JOIN m b), j AS (SELECT code, chars, p.gap AS g1, q.gap AS g2 FROM combos JOIN d p ON p.x = code // 841 AND p.y = (code // 29) % 29 JOIN d q ON q.x = (code // 29) % 29 AND q.y = code % 29 WHERE shape = 'line_h3') SELECT g1 = 0 AND g2 = 0 AS connected_all, g1 = 0 OR g2 = 0 AS connected_any, count(*) AS n, round(avg((g1 + g2) / 2.0::DOUBLE), 6) AS mean_gap FROM j GROUP BY 1, 2")
+# Pairs are measured once, by the rows that both shapes have ink in, and joined back to the combinations; a pair without such a row has no gap
+_GAPS = "edge AS (SELECT vec_id, y, max(CASE WHEN v = 1 THEN x END) AS last_x, min(CASE WHEN v = 1 THEN x END) AS first_x FROM pix WHERE vec_id < 29 GROUP BY vec_id, y), d AS (SELECT a.vec_id AS x, b.vec_id AS y, min(7 - a.last_x + b.first_x) AS gap FROM edge a JOIN edge b ON a.y = b.y GROUP BY a.vec_id, b.vec_id)"
+_MEASURED = "j AS (SELECT code, chars, p.gap AS g1, q.gap AS g2 FROM combos JOIN d p ON p.x = %A% AND p.y = %B% JOIN d q ON q.x = %B% AND q.y = code % 29 WHERE shape = 'line_h3') SELECT coalesce(g1 = 0 AND g2 = 0, FALSE) AS connected_all, coalesce(g1 = 0, FALSE) OR coalesce(g2 = 0, FALSE) AS connected_any, count(*) AS n, round(avg(CASE WHEN g1 IS NULL THEN CAST(g2 AS DOUBLE) WHEN g2 IS NULL THEN CAST(g1 AS DOUBLE) ELSE (g1 + g2) / CAST(2 AS DOUBLE) END), 6) AS mean_gap FROM j GROUP BY 1, 2"
+plan("combo_measured", f"WITH @pix, {_S}, {_GAPS}, " + _MEASURED.replace("%A%", "CAST(floor(code / 841) AS INT)").replace("%B%", "CAST(floor(code / 29) AS INT) % 29"), f"WITH @pix, {_D}, {_GAPS}, " + _MEASURED.replace("%A%", "code // 841").replace("%B%", "(code // 29) % 29"))
 # Profile of a run of altitudes
 plan("profile_class", "WITH @rws, p AS (SELECT vec_id, y, CAST(bit_count(bits) AS DOUBLE) AS z FROM rws WHERE y < 4), d AS (SELECT vec_id, y, z - lag(z) OVER (PARTITION BY vec_id ORDER BY y) AS d FROM p), s AS (SELECT vec_id, y, CASE WHEN abs(d) < 0.75 THEN 0 ELSE sign(d) END AS s FROM d WHERE d IS NOT NULL), n AS (SELECT vec_id, y, s, lag(s) OVER (PARTITION BY vec_id ORDER BY y) AS before FROM s WHERE s <> 0), a AS (SELECT vec_id, count(*) AS moves, count(*) FILTER (WHERE before IS NOT NULL AND before <> s) AS turns, min(y) AS first_y FROM n GROUP BY vec_id), f AS (SELECT v.vec_id, coalesce(moves, 0) AS moves, coalesce(turns, 0) AS turns, n.s AS first_s FROM (SELECT DISTINCT vec_id FROM rws) v LEFT JOIN a ON v.vec_id = a.vec_id LEFT JOIN n ON n.vec_id = a.vec_id AND n.y = a.first_y) SELECT vec_id, CASE WHEN moves = 0 THEN 'flat' WHEN turns = 0 AND first_s < 0 THEN 'rising' WHEN turns = 0 THEN 'falling' WHEN turns = 1 AND first_s < 0 THEN 'cap' WHEN turns = 1 THEN 'cup' ELSE 'wave' END AS profile FROM f")

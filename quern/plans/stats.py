@@ -1,6 +1,11 @@
 """Sampled and weighted statistics over a corpus, layout of rows, and rules over catalogues and manifests."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from quern.plans.dialect import plan
+from quern.registry import query
+from quern.sources.tables import table
 
 # Metrics of a piece, its style and stratum
 _PIECE = """piece AS (SELECT doc_id AS piece, lang AS stratum, source AS slug, n_chars AS glyphs, CAST(length(text) - length(replace(text, '%', '')) + length(text) - length(replace(text, '*', '')) + length(text) - length(replace(text, '|', '')) AS DOUBLE) / greatest(length(text), 1) AS tone,
@@ -23,7 +28,7 @@ def _hashed(name: str, text: str) -> None:
     plan(name, text.replace("%U%", _U[0]), text.replace("%U%", _U[1]))
 
 
-_SAMPLE = "n AS (SELECT lang, count(*) AS n FROM {documents} GROUP BY lang), u AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, n.n, %U% AS u FROM {documents} d JOIN n ON d.lang = n.lang), picked AS (SELECT * FROM u WHERE u < least(1.0, 20.0 / n))"
+_SAMPLE = "n AS (SELECT lang, count(*) AS n FROM {documents} GROUP BY lang), u AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, n.n, %U% AS u FROM {documents} d JOIN n ON d.lang = n.lang), picked AS (SELECT * FROM u WHERE u < least(1.0, 2000.0 / n))"
 _hashed("stratified_sample", f"WITH {_SAMPLE} SELECT doc_id, lang, round(u, 9) AS u FROM picked")
 # Shares weighted back to the strata, their intervals, a grid of thresholds
 _WEIGHT = f"{_SAMPLE}, w AS (SELECT p.*, CAST(p.n AS DOUBLE) / count(*) OVER (PARTITION BY p.lang) AS weight FROM picked p)"
@@ -47,24 +52,44 @@ plan("hash_partitions", "SELECT CAST(conv(substr(sha2(CAST(doc_id AS STRING), 25
 plan("palette_sessions", "WITH s AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM {conversations}) SELECT conv_id, CAST(g AS BIGINT) AS session, count(*) AS entries, CAST(min(turn) AS BIGINT) AS first_turn, CAST(sum(length(text)) AS BIGINT) AS glyphs FROM s GROUP BY conv_id, g")
 plan("section_carry", "WITH @lines, h AS (SELECT page, r, CASE WHEN length(line) < 30 AND line <> '' THEN line END AS heading, line FROM lines), c AS (SELECT page, r, last_value(heading) IGNORE NULLS OVER (PARTITION BY page ORDER BY r ROWS UNBOUNDED PRECEDING) AS section FROM h) SELECT section, count(*) AS n, count(DISTINCT page) AS pages FROM c GROUP BY section", "WITH @lines, h AS (SELECT page, r, CASE WHEN length(line) < 30 AND line <> '' THEN line END AS heading, line FROM lines), c AS (SELECT page, r, last_value(heading IGNORE NULLS) OVER (PARTITION BY page ORDER BY r ROWS UNBOUNDED PRECEDING) AS section FROM h) SELECT section, count(*) AS n, count(DISTINCT page) AS pages FROM c GROUP BY section")
 # Widths, pens, slices
-_LAID = "laid AS (SELECT item_id, r, p, ch, 3 + ascii(ch) % 9 AS adv, CAST(sum(3 + ascii(ch) % 9) OVER (PARTITION BY item_id, r ORDER BY p ROWS UNBOUNDED PRECEDING) AS INT) - (3 + ascii(ch) % 9) AS x FROM pchars)"
+_LAID = "laid AS (SELECT item_id, r, p, ch, $adv(ch$) AS adv, CAST(sum($adv(ch$)) OVER (PARTITION BY item_id, r ORDER BY p ROWS UNBOUNDED PRECEDING) AS INT) - $adv(ch$) AS x FROM pchars)"
 plan("row_widths", f"WITH @pchars, {_LAID} SELECT item_id, r, CAST(max(x + adv) AS INT) AS width, CAST(sum(adv) AS BIGINT) AS total FROM laid GROUP BY item_id, r")
 plan("glyph_centres", f"WITH @pchars, {_LAID} SELECT item_id, r, p, round(x + adv / CAST(2 AS DOUBLE), 2) AS centre FROM laid WHERE ch <> ' '")
 plan("row_slice", f"WITH @pchars, {_LAID} SELECT item_id, r, $cat(ch; ''; p$) AS slice FROM laid WHERE x >= 32 AND x < 160 GROUP BY item_id, r")
-plan("fixed_width", "WITH @pchars SELECT item_id, r, CAST(sum(CASE WHEN ascii(ch) >= 4352 THEN 2 ELSE 1 END) AS BIGINT) AS columns_used FROM pchars GROUP BY item_id, r")
+plan("fixed_width", "WITH @pchars SELECT item_id, r, CAST(sum(CASE WHEN $wide(ch$) THEN 2 ELSE 1 END) AS BIGINT) AS columns_used FROM pchars GROUP BY item_id, r")
 # Widths made of 11 and 5 pixel spaces; a brush repeated to a width
 plan("padding_unicode", "WITH @nums SELECT i AS width, CAST(floor(i / 11) AS INT) AS wide, CAST(i % 11 AS INT) AS rest FROM nums")
 plan("padding_plain", "WITH @nums, c AS (SELECT w.i AS width, a.i AS wide, b.i AS narrow FROM nums w CROSS JOIN nums a CROSS JOIN nums b WHERE 11 * a.i + 5 * b.i = w.i), k AS (SELECT *, row_number() OVER (PARTITION BY width ORDER BY wide DESC) AS rk FROM c) SELECT width, wide, narrow FROM k WHERE rk = 1")
 plan("brush_rows", "WITH b AS (SELECT n_nationkey, n_name, 8 * length(n_name) AS unit FROM {nation}) SELECT n_nationkey, repeat(n_name, CAST(floor(300 / unit) AS INT)) AS body, CAST(300 - unit * floor(300 / unit) AS INT) AS rest FROM b")
 # A dense table over ids from 256
-plan("lut_dense", "WITH e AS (SELECT p_partkey * 2 + 256 AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM {part}), top AS (SELECT max(id) AS m FROM e), s AS (SELECT id + 256 AS id FROM range(0, 1000000) JOIN top ON id + 256 <= m) SELECT s.id, CAST(coalesce(idx % 16, 0) AS INT) AS cx, CAST(coalesce(floor(idx / 16), 0) AS INT) AS cy, CASE WHEN e.id IS NULL THEN 0 ELSE 255 END AS alpha FROM s LEFT JOIN e ON s.id = e.id", "WITH e AS (SELECT p_partkey * 2 + 256 AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM {part}), top AS (SELECT max(id) AS m FROM e), s AS (SELECT range + 256 AS id FROM range(0, 1000000) JOIN top ON range + 256 <= m) SELECT s.id, coalesce(idx % 16, 0)::INT AS cx, coalesce(floor(idx / 16), 0)::INT AS cy, CASE WHEN e.id IS NULL THEN 0 ELSE 255 END AS alpha FROM s LEFT JOIN e ON s.id = e.id")
+_LUT = "SELECT s.id, CAST(coalesce(idx % 16, 0) AS INT) AS cx, CAST(coalesce(floor(idx / 16), 0) AS INT) AS cy, CASE WHEN e.id IS NULL THEN 0 ELSE 255 END AS alpha FROM s LEFT JOIN e ON s.id = e.id"
+query("lut_dense", f"WITH e AS (SELECT p_partkey * 2 + 256 AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part), s AS (SELECT unnest(range(256, (SELECT max(id) + 1 FROM e))) AS id) {_LUT}")(lambda spark, sf_dir: lut_dense(spark, table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 256).alias("id"))))
+
+
+def lut_dense(spark, ids):
+    """A row for every id from 256 to the largest one; those that are given have their place in order, 16 to a line."""
+    top = ids.agg(F.max("id")).first()[0]
+    every = spark.range(256, top + 1) if top is not None else spark.range(0)
+    out = every.join(numbered(ids, "id", "idx").withColumn("lit", F.lit(255)), "id", "left")
+    return out.select("id", F.coalesce(F.col("idx") % 16, F.lit(0)).cast("int").alias("cx"), F.coalesce(F.floor(F.col("idx") / 16), F.lit(0)).cast("int").alias("cy"), F.coalesce("lit", F.lit(0)).alias("alpha"))
+
+
+def numbered(rows, key: str, name: str, width: int = 1 << 16):
+    """Places of distinct integer keys in their order, from 0: the keys before a stretch of ``width`` of them are counted, and only a stretch is sorted."""
+    rows = rows.withColumn("stretch", F.floor(F.col(key) / width))
+    sizes = rows.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("stretch").orderBy(key)) - 1
+    return rows.withColumn("place", place).join(sizes.select("stretch", before.alias("before")), "stretch").select(*[c for c in rows.columns if c != "stretch"], (F.col("before") + F.col("place")).alias(name))
+
+
 # Codepoints in blocks, as a range join
 _BLOCKS = "blk AS (SELECT * FROM (VALUES (0, 127, 'Basic'), (128, 255, 'Supplement'), (256, 383, 'Extended A'), (384, 591, 'Extended B'), (8192, 8303, 'Punctuation')) t(lo, hi, name))"
 plan("codepoint_blocks", f"WITH @chars, {_BLOCKS}, c AS (SELECT ascii(ch) AS cp, count(*) AS n FROM chars GROUP BY 1) SELECT coalesce(name, 'none') AS block, count(*) AS codepoints, CAST(sum(n) AS BIGINT) AS glyphs FROM c LEFT JOIN blk ON cp BETWEEN lo AND hi GROUP BY 1")
-plan("select_by_block", f"WITH @nums, {_BLOCKS} SELECT name, lo + i AS cp FROM blk CROSS JOIN nums WHERE instr(upper(name), 'EXTENDED') > 0 AND lo + i <= hi")
+plan("select_by_block", f"WITH {_BLOCKS} SELECT name, cp FROM blk LATERAL VIEW explode(sequence(lo, hi)) t AS cp WHERE instr(upper(name), 'EXTENDED') > 0", f"WITH {_BLOCKS} SELECT name, unnest(range(lo, hi + 1))::INT AS cp FROM blk WHERE instr(upper(name), 'EXTENDED') > 0")
 plan("block_steps", f"WITH @chars, {_BLOCKS}, c AS (SELECT DISTINCT ascii(ch) AS cp FROM chars), n AS (SELECT lo, name, count(cp) AS n FROM blk LEFT JOIN c ON cp BETWEEN lo AND hi GROUP BY lo, name) SELECT name, n, lead(name) OVER (ORDER BY lo) AS next_block FROM n WHERE n > 0")
 # The first font that has a codepoint owns it
-plan("font_owner", "WITH f AS (SELECT DISTINCT lang AS font, substr(text, 1, 1) AS ch, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS place FROM {documents}), k AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY place) AS rk FROM f) SELECT ch, font FROM k WHERE rk = 1")
+plan("font_owner", "WITH @chars, f AS (SELECT DISTINCT stratum AS font, ch, CASE stratum WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS place FROM chars), k AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY place, font) AS rk FROM f) SELECT ch, font FROM k WHERE rk = 1")
 # sets and their differences
 plan("coverage_sets", "WITH a AS (SELECT DISTINCT o_custkey AS id FROM {orders}), b AS (SELECT c_custkey AS id FROM {customer}) SELECT 'both' AS which, count(*) AS n FROM (SELECT id FROM a INTERSECT SELECT id FROM b) t UNION ALL SELECT 'only_a', count(*) FROM (SELECT id FROM a EXCEPT SELECT id FROM b) t UNION ALL SELECT 'only_b', count(*) FROM (SELECT id FROM b EXCEPT SELECT id FROM a) t")
 plan("catalog_diff", "SELECT 'missing' AS finding, d.doc_id AS id FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL UNION ALL SELECT 'extra', l.doc_id FROM {labels} l LEFT JOIN {documents} d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL UNION ALL SELECT 'incomplete', doc_id FROM {labels} WHERE quality IS NULL OR toxic IS NULL")
@@ -73,7 +98,7 @@ plan("manifest_rules", "WITH e AS (SELECT p_partkey AS id, p_name AS label, p_si
 # No duplicate keys, complete cover
 plan("partition_checks", "WITH k AS (SELECT o_orderkey AS id FROM {orders}), u AS (SELECT l_orderkey AS id, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) SELECT 'duplicates' AS finding, count(*) AS n FROM (SELECT id FROM k GROUP BY id HAVING count(*) > 1) t UNION ALL SELECT 'uncovered', count(*) FROM k LEFT JOIN u ON k.id = u.id WHERE u.id IS NULL UNION ALL SELECT 'orphans', count(*) FROM u LEFT JOIN k ON k.id = u.id WHERE k.id IS NULL")
 # Families with any member missing are dropped, or lose the members
-_FAM = "fam AS (SELECT label AS family, vec_id + CASE WHEN vec_id % 40 = 0 THEN 100000000 ELSE 0 END AS member FROM {embeddings} WHERE vec_id % 5 = 0), j AS (SELECT family, member, e.vec_id IS NOT NULL AS found FROM fam LEFT JOIN {embeddings} e ON fam.member = e.vec_id)"
+_FAM = "fam AS (SELECT label AS family, vec_id + CASE WHEN vec_id % 40 = 0 THEN 100000000 ELSE 0 END AS member FROM {embeddings}), j AS (SELECT family, member, e.vec_id IS NOT NULL AS found FROM fam LEFT JOIN {embeddings} e ON fam.member = e.vec_id)"
 plan("saved_families", f"WITH {_FAM} SELECT family, count(*) AS size, min(member) AS first_member FROM j GROUP BY family HAVING bool_and(found) OR count(*) >= 8")
 plan("trimmed_families", f"WITH {_FAM} SELECT family, count(*) FILTER (WHERE found) AS size, count(*) FILTER (WHERE NOT found) AS lost FROM j GROUP BY family HAVING count(*) FILTER (WHERE found) >= 2")
 # Union of sources with their order, a limit for each shape
@@ -84,8 +109,7 @@ plan("section_filter", "SELECT p_partkey, p_name FROM {part} WHERE instr(lower(p
 # First record of a key wins, positions of equal texts
 plan("role_merge", "WITH k AS (SELECT source AS src, lang AS role, doc_id AS id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rk, count(*) OVER (PARTITION BY source, lang) AS n FROM {documents}) SELECT src, role, id, n_chars, n FROM k WHERE rk = 1")
 plan("duplicate_texts", "WITH d AS (SELECT sha2(trim(text), 256) AS h, doc_id FROM {documents}) SELECT h, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM d GROUP BY h HAVING count(*) > 1", "WITH d AS (SELECT sha256(trim(text)) AS h, doc_id FROM {documents}) SELECT h, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM d GROUP BY h HAVING count(*) > 1")
-plan("slice_check", "SELECT d.doc_id, CAST(instr(d.text, substr(b.text, 1, 20)) AS INT) AS found_at FROM {documents} d JOIN {benchmark} b ON instr(d.text, substr(b.text, 1, 20)) > 0")
-plan("snapshot_check", "WITH want AS (SELECT doc_id, sha2(text, 256) AS h FROM {documents} WHERE doc_id % 3 = 0), have AS (SELECT doc_id, sha2(CASE WHEN doc_id % 9 = 0 THEN concat(text, ' ') ELSE text END, 256) AS h FROM {documents}) SELECT w.doc_id FROM want w LEFT JOIN have v ON w.doc_id = v.doc_id AND w.h = v.h WHERE v.doc_id IS NULL", "WITH want AS (SELECT doc_id, sha256(text) AS h FROM {documents} WHERE doc_id % 3 = 0), have AS (SELECT doc_id, sha256(CASE WHEN doc_id % 9 = 0 THEN concat(text, ' ') ELSE text END) AS h FROM {documents}) SELECT w.doc_id FROM want w LEFT JOIN have v ON w.doc_id = v.doc_id AND w.h = v.h WHERE v.doc_id IS NULL")
+plan("snapshot_check", "WITH want AS (SELECT doc_id, sha2(text, 256) AS h FROM {documents}), have AS (SELECT doc_id, sha2(CASE WHEN doc_id % 9 = 0 THEN concat(text, ' ') ELSE text END, 256) AS h FROM {documents}) SELECT w.doc_id FROM want w LEFT JOIN have v ON w.doc_id = v.doc_id AND w.h = v.h WHERE v.doc_id IS NULL", "WITH want AS (SELECT doc_id, sha256(text) AS h FROM {documents}), have AS (SELECT doc_id, sha256(CASE WHEN doc_id % 9 = 0 THEN concat(text, ' ') ELSE text END) AS h FROM {documents}) SELECT w.doc_id FROM want w LEFT JOIN have v ON w.doc_id = v.doc_id AND w.h = v.h WHERE v.doc_id IS NULL")
 # Ranges of rows; where a text stands, by line
 plan("row_ranges", "WITH @lines SELECT page, $cat(line; '/'; r$) AS body FROM lines WHERE r BETWEEN 1 AND 2 GROUP BY page")
 plan("locate_text", "WITH @lines SELECT page, r, CAST(instr(line, 'tion') AS INT) AS at FROM lines WHERE instr(line, 'tion') > 0")
@@ -96,6 +120,6 @@ plan("rate_per_1k", "WITH @bigr, n AS (SELECT slug, count(*) AS n_lines FROM lin
 plan("numeric_entities", "WITH e AS (SELECT page_id, ref FROM {pages} LATERAL VIEW explode(regexp_extract_all(html, '&#[0-9]+;', 0)) t AS ref) SELECT ref, chr(CAST(substr(ref, 3, length(ref) - 3) AS INT)) AS ch, count(*) AS n, count(DISTINCT page_id) AS pages FROM e WHERE CAST(substr(ref, 3, length(ref) - 3) AS INT) < 128 GROUP BY ref", "WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '&#[0-9]+;')) AS ref FROM {pages}) SELECT ref, chr(substr(ref, 3, length(ref) - 3)::INT) AS ch, count(*) AS n, count(DISTINCT page_id) AS pages FROM e WHERE substr(ref, 3, length(ref) - 3)::INT < 128 GROUP BY ref")
 plan("named_entities", "WITH e AS (SELECT page_id, ref FROM {pages} LATERAL VIEW explode(regexp_extract_all(html, '&[a-z]+;', 0)) t AS ref) SELECT ref, count(*) AS n, count(DISTINCT page_id) AS pages FROM e GROUP BY ref", "WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '&[a-z]+;')) AS ref FROM {pages}) SELECT ref, count(*) AS n, count(DISTINCT page_id) AS pages FROM e GROUP BY ref")
 # Template scores over slots, overview by pooling
-plan("template_scores", "WITH @pix, t AS (SELECT vec_id AS slot, y, x, v AS m FROM pix WHERE vec_id < 10), s AS (SELECT p.vec_id, t.slot, sum(CASE WHEN v = 1 AND m = 1 THEN 18 WHEN v = 0 AND m = 0 THEN 3 WHEN v = 1 THEN -18 ELSE 6 END) AS score FROM pix p JOIN t ON p.y = t.y AND p.x = t.x WHERE p.vec_id >= 10 GROUP BY p.vec_id, t.slot), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, slot) AS rk FROM s) SELECT vec_id, slot, CAST(score AS BIGINT) AS score FROM k WHERE rk = 1")
+plan("template_scores", "WITH @pix, t AS (SELECT vec_id AS slot, y, x, v AS m FROM pix WHERE vec_id < 10), s AS (SELECT p.vec_id, t.slot, sum(CASE WHEN v = 1 AND m = 1 THEN 18 WHEN v = 0 AND m = 0 THEN 3 WHEN v = 1 THEN -18 ELSE 6 END) AS score FROM pix p JOIN t ON p.y = t.y AND p.x = t.x GROUP BY p.vec_id, t.slot), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, slot) AS rk FROM s) SELECT vec_id, slot, CAST(score AS BIGINT) AS score FROM k WHERE rk = 1")
 plan("pooled_overview", "WITH @pix, p AS (SELECT vec_id, floor(y / 2) AS py, floor(x / 2) AS px, max(v) AS v FROM pix GROUP BY vec_id, floor(y / 2), floor(x / 2)) SELECT vec_id, $cat(CAST(v AS VARCHAR(1)); ''; py * 4 + px$) AS overview FROM p GROUP BY vec_id")
 plan("outline_mask", "WITH @vec, g AS (SELECT vec_id, k, e, lead(e) OVER (PARTITION BY vec_id, floor(k / 8) ORDER BY k) AS nx FROM vec) SELECT vec_id, count(*) FILTER (WHERE (e - nx) * (e - nx) > 1.5) AS outline FROM g GROUP BY vec_id")
