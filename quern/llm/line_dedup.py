@@ -16,16 +16,16 @@ A filter's false positives only cost shuffle; it has no false negatives, so the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import store
+from quern.llm.bloom import Bloom, bloom_bits, dense, sparse
 from quern.llm.common import as_bytes, as_text, documents, find_pairs, narrow, no_clash, whole_ids
 
 SLICE_BYTES = 64 << 20  # of the input, for each slice of the hash space
@@ -49,51 +49,7 @@ def _split(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _bloom_bits(n: int) -> int:
-    """Bits of a filter for n prints: 12 to 24 a print, a power of two."""
-    return max(10, int(12 * max(n, 1) - 1).bit_length())
-
-
-def _places(prints: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The filter's four bit positions of each print, by double hashing."""
-    x = prints.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    a, b = x, (x >> np.uint64(33)) | np.uint64(1)
-    mask = np.uint64((1 << bits) - 1)
-    return [(a + np.uint64(k) * b) & mask for k in range(4)]
-
-
-class Bloom:
-    """A Bloom filter on a byte array; ``array`` may be mapped from a file."""
-
-    def __init__(self, bits: int, array: np.ndarray | None = None):
-        self.bits = bits
-        self.array = np.zeros((1 << bits) // 8, np.uint8) if array is None else array
-
-    def add(self, prints: np.ndarray) -> None:
-        for at in _places(prints, self.bits):
-            np.bitwise_or.at(self.array, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def has(self, prints: np.ndarray) -> np.ndarray:
-        found = np.ones(len(prints), bool)
-        for at in _places(prints, self.bits):
-            found &= (self.array[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-
-def sparse(prints: np.ndarray) -> bytes:
-    """Sorted prints by their differences, byte by byte, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(prints, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def dense(data: bytes) -> np.ndarray:
-    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(plain.reshape(4, -1).T).view(np.uint32).reshape(-1), dtype=np.uint32)
-
-
-def _prints(slices: int, min_chars: int, flush: int = 1_000_000):
+def _prints(slices: int, digests: Callable[[bytes], list[bytes]], flush: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held: list[bytes]) -> pa.RecordBatch:
             hi, lo = _split(held)
@@ -114,7 +70,7 @@ def _prints(slices: int, min_chars: int, flush: int = 1_000_000):
         held: list[bytes] = []
         for batch in batches:
             for text in as_bytes(batch.column("text")):
-                found = set(_digests(text, min_chars)[1])
+                found = set(digests(text))
                 found.discard(b"")
                 held.extend(found)
                 if len(held) >= flush:
@@ -131,7 +87,7 @@ def _merge(folder: str):
         part = group.column("slice")[0].as_py()
         seen = [dense(x) for x in group.column("seen").to_pylist()]
         twice = [dense(x) for x in group.column("twice").to_pylist()]
-        bits = _bloom_bits(sum(map(len, seen)))
+        bits = bloom_bits(sum(map(len, seen)))
         first, second = Bloom(bits), Bloom(bits)
         for one, two in zip(seen, twice):
             again = first.has(one)
@@ -251,6 +207,19 @@ def _drop(folder: str, slices: int, min_chars: int, keep_first: bool, names: lis
     return run
 
 
+def find_suspects(rows: DataFrame, digests: Callable[[bytes], list[bytes]], folder: str, slices: int) -> None:
+    """Writes the twice-seen filters over the keys that ``digests`` gives for the texts of ``rows`` (b"": no key)."""
+    prints = rows.select("text").mapInArrow(_prints(slices, digests), "slice int, seen binary, twice binary")
+    prints.groupBy("slice").applyInArrow(_merge(folder), "slice int, prints long").agg(F.sum("prints")).collect()
+
+
+def write_keys(keys: DataFrame, folder: str, slices: int) -> None:
+    """Writes confirmed keys (hi, lo, first) as sorted arrays."""
+    # the slice by the unsigned high half, as the readers take it
+    part = F.pmod(F.shiftrightunsigned("hi", 32) * F.lit((1 << 32) % slices) + F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slices)).cast("int")
+    keys.withColumn("part", part).groupBy("part").applyInArrow(_keys(folder), "part int, n long").agg(F.sum("n")).collect()
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, keep: str = "first", min_chars: int = 1, carry: list[str] | None = None) -> DataFrame:
     """Drops lines whose key stands in ``min_docs`` documents or more.
 
@@ -270,13 +239,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     slim = rows.select("doc_id", "text")
     folder = store.new_dir(spark, "lines")
     slices = max(64, 2 * store.slices_for(slim, SLICE_BYTES))
-    prints = slim.select("text").mapInArrow(_prints(slices, min_chars), "slice int, seen binary, twice binary")
-    prints.groupBy("slice").applyInArrow(_merge(folder), "slice int, prints long").agg(F.sum("prints")).collect()
+    find_suspects(slim, lambda text: _digests(text, min_chars)[1], folder, slices)
     counts = slim.mapInArrow(_count(folder, slices, min_chars), "hi long, lo long, n long, first long")
     counts = counts.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= min_docs)
-    # the slice by the unsigned high half, as the readers take it
-    part = F.pmod(F.shiftrightunsigned("hi", 32) * F.lit((1 << 32) % slices) + F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slices)).cast("int")
-    counts.withColumn("part", part).groupBy("part").applyInArrow(_keys(folder), "part int, n long").agg(F.sum("n")).collect()
+    write_keys(counts, folder, slices)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = [*rows.columns, "n_lines", "n_dropped"]
     schema = ", ".join(f"`{c}` {kinds.get(c, 'long')}" for c in names)

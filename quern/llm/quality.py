@@ -2,8 +2,11 @@
 
 Each line that has a word is held against these rules; the first that it fails is its reason:
 
-* ``boilerplate``: a short line with a phrase of legal, cookie or script notices;
-* ``navigation``: separators (``|``, ``»``, ``·``, ...) stand for more than a fifth of its words, or two and
+* ``boilerplate``: a short line that stands in ``min_docs`` documents or more, amid ever other text: the different lines before
+  it are at least half as many as the documents. (The lines of copied documents stand in many documents too, but always after the same
+  line.) These counts are made over all documents: a pair of Bloom filters finds the lines that may repeat, and only
+  these are counted exactly, by (line, line before it), so that no frequent line is one task's;
+* ``navigation``: separators (``|``, ``»``, ``·``, ...) and links stand for more than a fifth of its words, or two and
   more stand in a line of few words;
 * ``symbols``: more than ``max_symbols`` signs of ``#*$%&|<>`` for each word;
 * ``shouting``: nearly all cased words of a longer line are upper case;
@@ -19,10 +22,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, as_text, documents, narrow, pieces
+from quern.llm import line_dedup, store
+from quern.llm.common import as_bytes, as_text, documents, narrow, no_clash, pieces
 
 #: Fixed values of the contract: the symbols that count.
 SYMBOLS = b"#*$%&|<>"
@@ -31,12 +38,8 @@ SEPARATORS = {"|", "||", "»", "«", "›", "·", "•", "/", ">", ">>", "::", "
 #: Ends of a sentence.
 TERMINAL = (".", "!", "?", "…", "。", "！", "？", ":", ";")
 CLOSING = "\"'”’»)]}›"
-#: Phrases of notices, in lower case.
-PHRASES = (
-    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "use of cookies", "uses cookies",
-    "enable javascript", "javascript is disabled", "click here", "sign up", "log in", "subscribe to", "share this", "read more",
-    "lorem ipsum", "powered by", "copyright ©", "is licensed under",
-)
+SHORT = 25  # words of a line that can be boilerplate
+SLICE_BYTES = 64 << 20  # of the input, for each slice of the hash space
 
 _CONTINUED = bytes(range(0x80, 0xC0))
 _BLANK = b" \t\n\v\f\r"
@@ -70,10 +73,7 @@ def base_stats(text: bytes) -> tuple[int, int, int, int, int]:
 def line_reason(line: str, words: list[str], max_symbols: float) -> str | None:
     """Why a line with words fails, or None; whether it stood before is the caller's to know."""
     n = len(words)
-    low = line.lower()
-    if n <= 25 and any(p in low for p in PHRASES):
-        return "boilerplate"
-    marks = sum(w in SEPARATORS for w in words)
+    marks = sum(w in SEPARATORS or "://" in w or w.startswith("www.") for w in words)
     if marks and (5 * marks > n or marks >= 2 and n <= 12):
         return "navigation"
     if sum(map(line.count, "#*$%&|<>")) > max_symbols * n:
@@ -90,15 +90,31 @@ def line_reason(line: str, words: list[str], max_symbols: float) -> str | None:
     return None
 
 
-def clean(text: bytes, max_symbols: float) -> tuple[str, int, int, dict[str, int]]:
-    """The text without failed lines, their number, the code points of words in them, and lines by reason."""
+def short_keys(text: bytes) -> tuple[list[bytes], list[int]]:
+    """For each line the 128-bit hash of its key (b"" for a line that is no short one), and a hash of the key of the line with words before it."""
+    keys, before, last = [], [], 0
+    for line in text.split(b"\n"):
+        key = line.strip().lower()
+        n = len(key.split(None, SHORT)) if key else 0
+        keys.append(xxhash.xxh3_128_digest(key) if 1 < n <= SHORT else b"")
+        before.append(last)
+        if n:
+            last = xxhash.xxh3_64_intdigest(key) >> 1
+    return keys, before
+
+
+def clean(text: bytes, max_symbols: float, frequent: list[bool] | None = None) -> tuple[str, int, int, dict[str, int]]:
+    """The text without failed lines, their number, the code points of words in them, and lines by reason. ``frequent``: lines that are boilerplate."""
     kept, lost, gone, why = [], 0, 0, {}
     seen: set[str] = set()
-    for line in text.decode("utf-8", "replace").split("\n"):
+    for k, line in enumerate(text.decode("utf-8", "replace").split("\n")):
         words = [w for w in line.replace("\t", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
         reason = None
         if words:
-            reason = "repeats" if len(words) > 1 and line in seen else line_reason(line, words, max_symbols)
+            if frequent is not None and frequent[k]:
+                reason = "boilerplate"
+            else:
+                reason = "repeats" if len(words) > 1 and line in seen else line_reason(line, words, max_symbols)
             seen.add(line)
         if reason:
             lost += 1
@@ -109,14 +125,58 @@ def clean(text: bytes, max_symbols: float) -> tuple[str, int, int, dict[str, int
     return "\n".join(kept), lost, gone, why
 
 
-def _judge(names: list[str], min_words: int, max_repeat: int, max_symbols: float, max_lost: float):
+_FOUND = ("hi", "lo", "before", "n")
+
+
+def _contexts(folder: str, slices: int, flush: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def send() -> pa.RecordBatch:
+            hi, lo = line_dedup._split([k for k, _ in held])
+            return pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array([b for _, b in held], pa.int64()), pa.array(list(held.values()), pa.int64())], list(_FOUND))
+
         for batch in pieces(batches):
-            rows = []
+            pairs: list[tuple[bytes, int]] = []
             for text in as_bytes(batch.column("text")):
+                own: dict[bytes, int] = {}
+                for key, before in zip(*short_keys(text)):
+                    own.setdefault(key, before)  # a document counts once, by the first place of the line
+                own.pop(b"", None)
+                pairs.extend(own.items())
+            if pairs:
+                hit = line_dedup._suspected(folder, slices, *line_dedup._split([k for k, _ in pairs]))
+                held.update(pairs[k] for k in np.flatnonzero(hit))
+            if len(held) >= flush:
+                yield send()
+                held.clear()
+        if held:
+            yield send()
+
+    return run
+
+
+def count_boilerplate(rows: DataFrame, min_docs: int) -> tuple[str, int]:
+    """Counts short lines over all documents; (folder of the keys that are boilerplate, their slices)."""
+    folder, slices = store.new_dir(rows.sparkSession, "boilerplate"), store.slices_for(rows, SLICE_BYTES)
+    line_dedup.find_suspects(rows, lambda text: short_keys(text)[0], folder, slices)
+    found = rows.select("text").mapInArrow(_contexts(folder, slices), "hi long, lo long, before long, n long")
+    found = found.groupBy("hi", "lo", "before").agg(F.sum("n").alias("n")).groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("lines"))
+    line_dedup.write_keys(found.filter((F.col("n") >= min_docs) & (2 * F.col("lines") >= F.col("n"))).select("hi", "lo", F.lit(0).cast("long").alias("first")), folder, slices)
+    return folder, slices
+
+
+def _judge(names: list[str], min_words: int, max_repeat: int, max_symbols: float, max_lost: float, counted: tuple[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            rows, texts = [], as_bytes(batch.column("text"))
+            keys = [short_keys(text)[0] for text in texts]
+            short = [k for own in keys for k in own if k]
+            known = dict(zip(short, line_dedup._confirmed(*counted, *line_dedup._split(short))[0].tolist())) if short else {}
+            for text, own in zip(texts, keys):
                 n, chars, symbols, dup, repeat = base_stats(text)
                 failed = n < min_words or 100 * repeat > max_repeat * n
-                out, lost, gone, why = clean(text, max_symbols) if text else ("", 0, 0, {})
+                out, lost, gone, why = clean(text, max_symbols, [known.get(k, False) for k in own]) if text else ("", 0, 0, {})
                 reason = max(why, key=lambda k: (why[k], k)) if why else None
                 rows.append((n, chars, symbols, dup, repeat, failed, not failed and gone <= max_lost * chars, lost, gone, reason, out.encode()))
             columns = list(zip(*rows))
@@ -131,18 +191,19 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _KINDS = ("long",) * 5 + ("boolean",) * 2 + ("long",) * 2 + ("string",)
 
 
-def clean_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, max_symbols: float = 0.25, max_lost: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+def clean_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, max_symbols: float = 0.25, max_lost: float = 0.5, min_docs: int = 10, carry: list[str] | None = None) -> DataFrame:
     """Cleans each text by line and judges the document.
 
-    Returns doc_id, text (without the failed lines), the columns of ``STATS`` and the carried ones (which must
-    not have these names). ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` percent of them in
+    Returns doc_id, text (without the failed lines), the columns of ``STATS`` and the carried ones, which may
+    not have these names (``ValueError``). ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` percent of them in
     3-word windows that are found twice or more. A null or empty text has no words and fails. Each row
     stands for itself: null ids, ties and repeated rows stay; an empty table gives an empty result.
     """
+    no_clash(carry, ("doc_id", "text", *STATS))
     rows = narrow(docs, id_col, text_col, carry)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | dict(zip(STATS, _KINDS))
     names = [*rows.columns, *STATS]
-    return rows.mapInArrow(_judge(names, min_words, max_repeat, max_symbols, max_lost), ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return rows.mapInArrow(_judge(names, min_words, max_repeat, max_symbols, max_lost, count_boilerplate(rows, min_docs)), ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def _stats_only(inner):
@@ -155,11 +216,11 @@ def _stats_only(inner):
     return run
 
 
-def judge_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, max_symbols: float = 0.25, max_lost: float = 0.5) -> DataFrame:
+def judge_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, max_symbols: float = 0.25, max_lost: float = 0.5, min_docs: int = 10) -> DataFrame:
     """As ``clean_documents``, without the texts."""
     rows = narrow(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    inner = _judge(["doc_id", "text", *STATS], min_words, max_repeat, max_symbols, max_lost)
+    inner = _judge(["doc_id", "text", *STATS], min_words, max_repeat, max_symbols, max_lost, count_boilerplate(rows, min_docs))
     return rows.mapInArrow(_stats_only(inner), ", ".join([f"doc_id {kind}", *(f"{c} {k}" for c, k in zip(STATS, _KINDS))]))
 
 

@@ -49,9 +49,21 @@ def test_dedup_lines(spark, min_docs, keep):
     assert line_dedup.dedup_lines(documents(spark, []), min_docs=min_docs).count() == 0
 
 
+def test_sieve(spark):
+    from quern.llm.bloom import sieve
+
+    folder_ = store.new_dir(spark, "test")
+    asked = sieve(spark.range(0, 30_000, 3).selectExpr("id * 7919 - 5000 AS key"), folder_)
+    found = spark.range(30_000).selectExpr("id", "id * 7919 - 5000 AS key").withColumn("hit", asked("key")).groupBy("hit", "id").count().collect()
+    hits = {r.id for r in found if r.hit}
+    assert hits >= set(range(0, 30_000, 3)) and len(hits) < 10_400
+    none = sieve(spark.range(0).selectExpr("id AS key"), store.new_dir(spark, "test"))
+    assert spark.range(9).filter(none("id")).count() == 0
+
+
 def test_bloom_has_no_false_negatives():
     prints = np.random.default_rng(1).integers(0, 1 << 32, 5000, dtype=np.uint32)
-    bloom = line_dedup.Bloom(line_dedup._bloom_bits(5000))
+    bloom = line_dedup.Bloom(line_dedup.bloom_bits(5000))
     bloom.add(prints)
     assert bloom.has(prints).all()
     assert bloom.has(np.random.default_rng(2).integers(0, 1 << 32, 20000, dtype=np.uint32)).mean() < 0.02
