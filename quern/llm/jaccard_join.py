@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import store
+from quern.llm.bloom import sieve
 from quern.llm.common import as_bytes, codes, documents, mix, narrow, no_clash, pieces, sets, shingles, whole_ids, words
 
 GROWTH = 1.5  # from one band's largest size to the next one's
@@ -427,7 +428,10 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # first by their parity maps, which are small; whole sets go only where a pair may be linked
     found = "star long, x int, y int, node long, side int, class long, twin long, anon boolean, key long, sub int"
     dealt = store.table(dealt.groupBy("star", "x", "y").applyInArrow(_sift(num, den), found), f"{folder}/dealt")
-    texts = rows.filter("NOT anon").select("anon", "key", "text").union(rows.filter("anon").select("anon", "key", "text").distinct())
+    # a filter over the keys keeps all other texts where they are
+    asked = sieve(dealt.select("key").distinct(), folder)
+    rows = rows.select("anon", "key", "text").filter(asked(F.col("key")))
+    texts = rows.filter("NOT anon").union(rows.filter("anon").distinct())
     groups = texts.join(dealt.hint("shuffle_hash"), ["anon", "key"]).select("star", "x", "y", "sub", "node", "side", "class", "twin", "text")
     groups = groups.mapInArrow(_set_rows(shingle), "star long, x int, y int, sub int, node long, side int, tokens binary")
     forest = groups.groupBy("star", "x", "y", "sub").applyInArrow(_verify(num, den), "a long, b long")
