@@ -6,10 +6,13 @@ last return the columns of ``documents``. ``run`` writes each stage's result to
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, jaccard_join, line_dedup, quality, store
+from quern.llm.bloom import sieve
 
 MIN_WORDS = 3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,10 +43,22 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _without(docs: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
-    """Rows whose id and text are not (with ``left_semi``: are) among those of ``gone``."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_md5"))
-    return _named(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_md5") == F.col("gone_md5")), how)
+def _key() -> F.Column:
+    return F.xxhash64("doc_id", "text_md5")
+
+
+def _without(spark, docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows but for those whose id and text are among ``gone``; of those among its rows with ``stays``, one for each.
+
+    A filter tells which rows may be named there. All others stay without being shuffled; these are held against ``gone`` exactly.
+    """
+    asked = sieve(gone.select(_key().alias("key")), store.new_dir(spark, "gone"))
+    rows = _named(docs).withColumn("asked", asked(_key()))
+    named = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_md5"), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_md5") == F.col("gone_md5"))
+    held = rows.filter("asked").join(named.hint("shuffle_hash"), same, "left")
+    again = held.filter("stays").dropDuplicates(["doc_id", "text_md5"])
+    return reduce(DataFrame.union, [x.select(*COLUMNS) for x in (rows.filter("NOT asked"), held.filter("stays IS NULL"), again)])
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,15 +76,15 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = groups.filter(~first).select("doc_id", "text_md5").union(other.select("doc_id", "text_md5")).distinct()
     best = several.select("doc_id", F.col("best").alias("text_md5"))
     gone = store.table(gone.withColumn("stays", F.lit(False)).union(best.withColumn("stays", F.lit(True))), f"{folder}/gone")
-    again = _without(docs, gone.filter("stays"), "left_semi").dropDuplicates(["doc_id", "text_md5"])
-    return _without(docs, gone).select(*COLUMNS).union(again.select(*COLUMNS))
+    return _without(spark, docs, gone)
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark passage (ten words and more in a row) stands go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_items(_named(docs), benchmark, size=10, carry=["text_md5"])
-    return _without(docs, found.filter("n_hit > 0").select("doc_id", "text_md5").distinct()).select(*COLUMNS)
+    gone = found.filter("n_hit > 0").select("doc_id", "text_md5", F.lit(False).alias("stays")).distinct()
+    return _without(spark, docs, store.table(gone, f"{store.new_dir(spark, 'hit')}/rows"))
 
 
 def encoding(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
