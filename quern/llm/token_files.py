@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, store
-from quern.llm.common import as_bytes, documents, narrow, pieces
+from quern.llm.common import Numbers, as_bytes, documents, narrow, pieces, stretches
 
 GROUP_TOKENS = 1 << 20
 PAGE_BYTES = 64 << 10
+TEXT_BYTES = 4 << 20  # of texts that are encoded at once
+UNITS = 400_000  # units whose ids a worker keeps
 _encoders: dict = {}
 
 
@@ -43,24 +46,45 @@ def encoder(path: str) -> bpe.Known:
         model, letters = lib.model, own.letters
         usual = own.LATIN
 
-        def make(unit: bytes) -> tuple[int, ...]:
-            text = unit.decode("utf-8", "replace")
-            if own.fast and "'" not in text and "<" not in text and usual.fullmatch(text):
-                # a word of letters, a digit or a run of signs: the normaliser only lower-cases it, the pre-tokeniser leaves it whole
-                word = "".join(map(str.lower, text)).encode()
-                return tuple([t.id for t in model.tokenize("".join([letters[b] for b in word]))])
-            return tuple(lib.encode(text, add_special_tokens=False).ids)
-
-        _encoders[path] = bpe.Known(make)
+        def make(unit: bytes) -> bytes:
+            if own.fast and unit.isalpha():  # ASCII letters: a word that the normaliser only lower-cases and the pre-tokeniser leaves whole
+                ids = [t.id for t in model.tokenize(unit.lower().decode())]
+            else:
+                text = unit.decode("utf-8", "replace")
+                if own.fast and "'" not in text and "<" not in text and usual.fullmatch(text):
+                    word = "".join(map(str.lower, text)).encode()
+                    ids = [t.id for t in model.tokenize("".join([letters[b] for b in word]))]
+                else:
+                    ids = lib.encode(text, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
+
+        _encoders[path] = bpe.Known(make, UNITS)
     return _encoders[path]
 
 
 def encode_slice(texts: list[bytes], path: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, number of ids of each text), with ``end`` after each text."""
-    cache, last = encoder(path), np.array([] if end is None else [end], np.int64)
-    found = [x for text in texts for x in (bpe.ids_of(text, cache), last)]
-    sizes = np.fromiter(map(len, found), np.int64, len(found)).reshape(-1, 2).sum(1)
-    return np.concatenate(found).astype("<u4"), sizes
+    """(all ids, number of ids of each text), with ``end`` after each text.
+
+    The slice's different units are looked up once; the ids of all are then gathered by the units' numbers.
+    """
+    cache, known = encoder(path), Numbers()
+    get, found = known.__getitem__, []
+    counts = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        for part in stretches(text):
+            own = bpe.units(part)
+            counts[k] += len(own)
+            found.append(np.fromiter(map(get, own), np.int64, len(own)))
+        if end is not None:  # one more unit at the end of each text
+            counts[k] += 1
+            found.append(np.array([-1]))
+    which = np.concatenate(found) if found else np.empty(0, np.int64)
+    spelt = [cache[x] for x in known] + [b"" if end is None else array("I", [end]).tobytes()]  # the last one is the end
+    size = np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4
+    pool, first, lengths = np.frombuffer(b"".join(spelt), "<u4"), np.cumsum(size) - size, size[which]
+    stop = np.cumsum(lengths)
+    where = np.repeat(first[which] - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)
+    return pool[where], np.diff(np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.int32(), False)))])
@@ -84,7 +108,7 @@ def _write(path: str, folder: str, end: int | None):
 
         name = f"{folder}/part-{part:06d}.parquet"
         with store.writing(name) as file:
-            for batch in pieces(batches):
+            for batch in pieces(batches, most=TEXT_BYTES):
                 ids, sizes = encode_slice(as_bytes(batch.column("text")), path, end)
                 if sink is None:
                     sink = pq.ParquetWriter(file, _SCHEMA, compression="zstd", compression_level=1, use_dictionary=["ids.list.element"], column_encoding={"doc_id": "DELTA_BINARY_PACKED", "start_in_file": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, data_page_size=PAGE_BYTES, write_page_index=True, dictionary_pagesize_limit=4 << 20)
