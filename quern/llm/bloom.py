@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import store
@@ -96,9 +95,8 @@ def sieve(keys: DataFrame, folder: str):
     slices = max(1, -(-keys.count() // SLICE_KEYS))
     keys.select("key").mapInArrow(_sliced(slices), "slice int, seen binary").groupBy("slice").applyInArrow(_built(folder), "slice int").count()
 
-    @F.pandas_udf("boolean")
-    def may_have(key: pd.Series) -> pd.Series:
-        code = mix(key.to_numpy(np.int64).view(np.uint64))
+    def may_have(key: pa.Array) -> pa.Array:
+        code = mix(key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         part, prints = (code % np.uint64(slices)).astype(np.int64), (code >> np.uint64(32)).astype(np.uint32)
         out = np.zeros(len(code), bool)
         for s in np.unique(part):
@@ -106,9 +104,6 @@ def sieve(keys: DataFrame, folder: str):
             if len(array):
                 at = np.flatnonzero(part == s)
                 out[at] = Bloom(len(array).bit_length() + 2, array).has(prints[at])
-        return pd.Series(out)
+        return pa.array(out)
 
-    def test(key: Column) -> Column:
-        return may_have(key)
-
-    return test
+    return F.arrow_udf(may_have, "boolean")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import as_bytes, as_text, documents, narrow, no_clash, pieces, stretches
 
-CACHE = 200_000  # words whose tokens a worker keeps
+CACHE = 100_000  # words whose tokens a worker keeps
 
 
 class Merges:
@@ -362,25 +362,25 @@ _MIXED = re.compile(rb"[^ \t-\r]*(?:[\x00-\x08\x0e-\x1f\x7f'<\xc0-\xc2\xc6-\xff]
 
 
 def units(text: bytes) -> list[bytes]:
-    """Cuts a text into units as the known pattern does: a run of letters, a digit, or a run of other signs, each as it stands.
+    """Cuts a text into units as the known pattern does: a run of letters, a digit, or a run of other signs; A-Z may be lower-cased.
 
     A stretch between white space with anything but ASCII and Latin letters (or with a quote or a possible
-    special token) stays whole, for the slow path.
+    special token) stays whole and as it is, for the slow path.
     """
     odd = len(text.translate(None, _ODD)) < len(text) or b"\xc3\x97" in text or b"\xc3\xb7" in text
-    return (_MIXED if odd else _PLAIN).findall(text)
+    return _MIXED.findall(text) if odd else _PLAIN.findall(text.lower())
 
 
 class Known(dict):
     """What units give; when it is full, it becomes the older one, from which live units come back."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self, make, most: int = CACHE):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, unit: bytes):
         if (out := self.older.get(unit)) is None:
             out = self.make(unit)
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(unit) < 200:
