@@ -93,6 +93,20 @@ two AS (SELECT * FROM side WHERE c2 = c + 1 AND ink + ink2 > 0),
 w AS (SELECT a.slug, a.page, concat(a.code, '|', a.code2, '/', b.code, '|', b.code2) AS k FROM two a JOIN two b ON a.page = b.page AND b.r = a.r + 1 AND b.c = a.c WHERE a.ink + b.ink > 0 AND a.ink2 + b.ink2 > 0)
 SELECT k, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS slugs FROM w GROUP BY k HAVING count(DISTINCT page) >= 2""",
 )
+# Windows of 2 to 12 by 2 to 12 cells of plates with ink on all four borders, and what is counted of each size. A cell goes to the
+# strips of its row that have it, and an inked strip to the windows that have it, so blank cells and rows cost nothing
+plan(
+    "window_sizes",
+    """WITH @pchars, @nums,
+laid AS (SELECT item_id, r, p, ch, CAST(floor((sum($adv(ch$)) OVER (PARTITION BY item_id, r ORDER BY p ROWS UNBOUNDED PRECEDING) - $adv(ch$)) / 16) AS INT) AS c FROM pchars),
+cells AS (SELECT item_id, r, c, $cat(ch; ''; p$) AS code, min(CASE WHEN ch <> ' ' THEN ascii(ch) END) AS lo, max(CASE WHEN ch <> ' ' THEN ascii(ch) END) AS hi FROM laid GROUP BY item_id, r, c HAVING max(CASE WHEN ch <> ' ' THEN 1 ELSE 0 END) = 1),
+ends AS (SELECT item_id, max(r) AS last_r, max(c) AS last_c FROM cells GROUP BY item_id),
+sz AS (SELECT a.i + 2 AS size, b.i AS back FROM nums a JOIN nums b ON b.i < a.i + 2 WHERE a.i <= 10),
+strip AS (SELECT x.item_id, last_r, r, c - back AS c0, size AS width, $cat(concat(CAST(back AS VARCHAR(9)), ':', code); ' '; back$) AS code, min(lo) AS lo, max(hi) AS hi, max(CASE WHEN back = 0 THEN 1 ELSE 0 END) AS on_left, max(CASE WHEN back = size - 1 THEN 1 ELSE 0 END) AS on_right FROM cells x JOIN ends e ON x.item_id = e.item_id CROSS JOIN sz WHERE c - back >= 0 AND c - back + size - 1 <= last_c GROUP BY x.item_id, last_r, r, c - back, size),
+win AS (SELECT item_id, width, c0, size AS height, r - back AS r0, $cat(concat(CAST(back AS VARCHAR(9)), '@', code); '/'; back$) AS k, min(lo) <> max(hi) AS outline FROM strip CROSS JOIN sz WHERE r - back >= 0 AND r - back + size - 1 <= last_r GROUP BY item_id, width, c0, size, r - back HAVING max(CASE WHEN back = 0 THEN 1 ELSE 0 END) + max(CASE WHEN back = size - 1 THEN 1 ELSE 0 END) + max(on_left) + max(on_right) = 4),
+pat AS (SELECT height, width, k, outline, count(*) AS n, count(DISTINCT item_id) AS items FROM win GROUP BY height, width, k, outline)
+SELECT height, width, CAST(sum(n) AS BIGINT) AS windows, count(*) AS patterns, count(*) FILTER (WHERE n = 1) AS singles, count(*) FILTER (WHERE items >= 2) AS in_two, count(*) FILTER (WHERE items >= 10) AS in_ten, count(*) FILTER (WHERE outline) AS outlines FROM pat GROUP BY height, width""",
+)
 # Glyphs whose extents overlap by a pixel and more in adjacent rows
 plan(
     "vertical_continuation",

@@ -8,6 +8,7 @@ from test_objects import number, shapes
 
 from quern import registry
 from quern.operators import raster as r
+from quern.plans.dialect import EM, WIDTHS
 
 BAR = ["........", "........", "........", ".######.", "........", "........", "........", "........"]
 POST = ["...#....", "...#....", "...#....", "...#....", "...#....", "...#....", "...#....", "...#...."]
@@ -198,3 +199,35 @@ def test_ids_beyond_a_million(spark, tmp_path):
     lit = {x.id: (x.cx, x.cy) for x in registry.QUERIES["lut_dense"](spark, str(tmp_path)).filter("alpha = 255").collect()}
     assert lit == {258: (0, 0), 140_256: (1, 0), 1_200_256: (2, 0)}
     assert registry.QUERIES["lut_dense"](spark, str(tmp_path)).count() == 1_200_001
+
+
+def test_window_sizes_by_brute_force(spark, tmp_path):
+    plates = ["ww ww\n ww w\nww ww", "ww ww\n ww w", "", "w  w w\n\nw  w w", "  \n w", "wa wb wa wb\nwa wb wa wb\nwa wb wa wb"]
+    sf = documents(spark, tmp_path, [], plates)
+    advance = lambda ch: round(WIDTHS[ord(ch) - 32] * EM / 1000)
+    found: dict = {}
+    for item, text in enumerate(plates):
+        cells: dict = {}
+        for row, line in enumerate(text.split("\n")):
+            pen = 0
+            for ch in line:
+                cells[row, pen // 16] = cells.get((row, pen // 16), "") + ch
+                pen += advance(ch)
+        cells = {at: code for at, code in cells.items() if code.strip(" ")}
+        for h in range(2, 13):
+            for w in range(2, 13):
+                for top in range(max((y for y, _ in cells), default=-1) - h + 2):
+                    for left in range(max(x for _, x in cells) - w + 2):
+                        own = {(y, x): cells[top + y, left + x] for y in range(h) for x in range(w) if (top + y, left + x) in cells}
+                        if {y for y, _ in own} >= {0, h - 1} and {x for _, x in own} >= {0, w - 1}:
+                            found.setdefault((h, w), []).append((item, tuple(sorted(own.items()))))
+    want = {}
+    for size, windows in found.items():
+        kinds = {k for _, k in windows}
+        n = {k: sum(k == x for _, x in windows) for k in kinds}
+        items = {k: len({i for i, x in windows if x == k}) for k in kinds}
+        outline = sum(len({ch for _, code in k for ch in code} - {" "}) > 1 for k in kinds)
+        want[size] = (len(windows), len(kinds), sum(x == 1 for x in n.values()), sum(x >= 2 for x in items.values()), 0, outline)
+    got = {(x.height, x.width): (x.windows, x.patterns, x.singles, x.in_two, x.in_ten, x.outlines) for x in registry.QUERIES["window_sizes"](spark, sf).collect()}
+    assert got == want
+    assert any(x[3] for x in want.values()) and any(h > 2 for h, _ in want)
