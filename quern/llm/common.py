@@ -15,14 +15,24 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task takes into its numpy work at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch that goes to a worker, where the session names no limit of its own.
+BATCH_BYTES = "4m"
+_LIMIT, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "64m"
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark) -> None:
+    """Sets the session's limit of bytes a batch to ``BATCH_BYTES`` unless it has one: Spark's own 64 MB stand twice in a worker and in its executor."""
+    if spark.conf.get(_LIMIT, _UNSET) == _UNSET:
+        spark.conf.set(_LIMIT, BATCH_BYTES)
+
+
 def narrow(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """The id and the text under the names that the operators use, and what the caller carries on."""
+    """The id and the text under the names that the operators use, and what the caller carries on. Batches of it are small."""
+    small_batches(df.sparkSession)
     cols = [df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")]
     return df.select(*cols, *[df[c] for c in carry or [] if c not in ("doc_id", "text")])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from fixtures import documents, folder, texts
 
-from quern.llm import bpe, line_dedup, store, token_files
+from quern.llm import bpe, common, line_dedup, store, token_files
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -190,3 +190,17 @@ def test_any_text_as_the_library(library):
             assert [i for x in cut for i in own.encode(x.decode())] == library.encode(text, add_special_tokens=False).ids
 
     same()
+
+
+def test_batches_are_bounded_unless_the_session_says_so(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.unset(limit)
+        common.small_batches(spark)
+        assert spark.conf.get(limit) == common.BATCH_BYTES
+        spark.conf.set(limit, "8m")
+        common.small_batches(spark)
+        assert spark.conf.get(limit) == "8m"
+    finally:
+        spark.conf.set(limit, before)
