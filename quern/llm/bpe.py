@@ -469,9 +469,10 @@ def _digests(path: str):
 
 
 def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``encode_documents``, with SHA-256 in place of ids and decoded text."""
+    """As ``encode_documents``, with SHA-256 in place of ids and decoded text. The id keeps its type."""
     _require_spaces(path)
-    return narrow(docs, id_col, text_col).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = narrow(docs, id_col, text_col)
+    return rows.mapInArrow(_digests(path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def word_tokenizer() -> str:

@@ -11,7 +11,7 @@ a task that runs again writes the same.
 
 from __future__ import annotations
 
-import io
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, store
-from quern.llm.common import Numbers, as_bytes, documents, narrow, pieces, stretches
+from quern.llm.common import Numbers, as_bytes, documents, narrow, pieces, stretches, whole_ids
 
 GROUP_TOKENS = 1 << 20
 PAGE_BYTES = 64 << 10
 TEXT_BYTES = 4 << 20  # of texts that are encoded at once
 UNITS = 400_000  # units whose ids a worker keeps
+#: Latin letters that the normaliser only lower-cases, each by itself. Anything else in a unit goes through the file's pre-tokeniser.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ž]+")
 _encoders: dict = {}
 
 
@@ -44,14 +46,13 @@ def encoder(path: str) -> bpe.Known:
         lib.no_padding()
         own = bpe.codec(path)[0]
         model, letters = lib.model, own.letters
-        usual = own.LATIN
 
         def make(unit: bytes) -> bytes:
             if own.fast and unit.isalpha():  # ASCII letters: a word that the normaliser only lower-cases and the pre-tokeniser leaves whole
                 ids = [t.id for t in model.tokenize(unit.lower().decode())]
             else:
                 text = unit.decode("utf-8", "replace")
-                if own.fast and "'" not in text and "<" not in text and usual.fullmatch(text):
+                if own.fast and _LETTERS.fullmatch(text):  # Latin letters alone are one word too
                     word = "".join(map(str.lower, text)).encode()
                     ids = [t.id for t in model.tokenize("".join([letters[b] for b in word]))]
                 else:
@@ -144,13 +145,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_
     """Encodes each text, appends ``end`` and writes the files; returns the manifest, a row for each row group.
 
     A null or empty text has the end id alone. Null ids come first; rows of the same id stand in the order of
-    their texts' hashes. An empty table gives no file and an empty manifest. The ids must be integers.
+    their texts' hashes. An empty table gives no file and an empty manifest. The ids must be integers (``ValueError``); other columns are not looked at.
     """
     bpe._require_spaces(path)
+    whole_ids(docs, id_col)
     spark = docs.sparkSession
-    rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", F.xxhash64("text"))
-    # by the tie too: one id with very many rows goes to many files
-    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    # by the text's hash and the row too: one id, or one id and text, with very many rows goes to many files
+    keys = ["doc_id", "tie", "row"]
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     manifest = rows.select("doc_id", "text").mapInArrow(_write(path, folder, end), MANIFEST)
     return store.table(manifest, f"{folder}/manifest")
 
@@ -171,11 +174,16 @@ def _read(columns: list[str]):
     return run
 
 
-def _located(manifest: DataFrame) -> DataFrame:
-    """Row groups with the number of ids in the files before theirs. The window goes over one row a file."""
+def _files(manifest: DataFrame) -> DataFrame:
+    """Each file with the number of ids in the files before it. The window goes over one row a file."""
     files = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    files = files.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    return files.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+
+
+def _located(manifest: DataFrame) -> DataFrame:
+    """Row groups with the number of ids in the files before theirs."""
+    files = _files(manifest)
     width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.join(files, "part").repartition(width, "path", "row_group").select("path", "row_group", "base")
 
@@ -196,6 +204,25 @@ def read_tokens(manifest: DataFrame, *, ids: bool = True, min_id: int | None = N
     return out
 
 
+def pick_tokens(manifest: DataFrame, wanted: list[int]) -> DataFrame:
+    """The documents with the given ids: doc_id, n_tokens, start, ids. The page indexes lead to the pages that have them.
+
+    Files without such an id aren't opened; in the others Spark's reader takes the filter to the column index of ``doc_id``, and reads only
+    those pages of the other columns that the rows found stand in. Rows that repeat an id all come; a null can't be asked for.
+    """
+    spark, one_of = manifest.sparkSession, F.col("doc_id").isin(wanted)
+    asked = F.exists(F.lit(list(wanted)) if wanted else F.array().cast("array<long>"), lambda i: i.between(F.col("min_id"), F.col("max_id")))
+    bases = _files(manifest)
+    paths = [r["path"] for r in manifest.filter(asked).select("path").distinct().collect()]
+    schema = "doc_id long, n_tokens long, start long, ids array<int>"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema("doc_id long, start_in_file long, n_tokens long, ids array<int>").parquet(*paths)
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    rows = rows.filter(one_of).select(part.alias("part"), "doc_id", "n_tokens", "start_in_file", "ids")
+    return rows.join(bases, "part").select("doc_id", "n_tokens", (F.col("base") + F.col("start_in_file")).alias("start"), "ids")
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _read(["doc_id", "start_in_file", "n_tokens", "ids"])(batches):
         lists = batch.column("ids")

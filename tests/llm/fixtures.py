@@ -18,6 +18,7 @@ def texts() -> list[str | None]:
         body = [" ".join(rng.choice(names) + str(rng.randrange(40)) for _ in range(12)) + "." for _ in range(4)]
         out.append("\n".join([*body[:2], f"  {shared} " if k % 2 else shared.lower(), *body[2:], "", "\t"]))
     out += ["Menu | Home | About\nReal sentence here, with enough words to stay in place.\nMenu | Home | About", "a\rb\x0bc\x0cd\te", "it's <|endoftext|> don't 'st \x1c \x85 ́é ǅ 12,345!"]
+    out += ["It is 20°C today.", "©2024 all rights, £5 or 3×4", "¿Qué? «mot» §12 x² café·bar ¡Hola! a\u00adb 50£", "µm ªº ¼ été20 ÷ ĳ ŉa İstanbul"]
     words = [rng.choice(names) + str(rng.randrange(99)) for _ in range(120)]
     out.append(" ".join(words))
     for k in (3, 40, 80):

@@ -192,6 +192,54 @@ def test_any_text_as_the_library(library):
     same()
 
 
+def test_any_slice_as_the_library(library):
+    """What op2 encodes with, over Latin-1 signs next to letters and digits, and over any text."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    path = bpe.word_tokenizer()
+    latin = st.text(st.characters(min_codepoint=32, max_codepoint=0x17F), max_size=30)
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.lists(latin | st.text(max_size=30), min_size=1, max_size=4))
+    def same(many):
+        many = [x.encode("utf-8", "replace").decode() for x in many]
+        ids, sizes = token_files.encode_slice([x.encode() for x in many], path, 2)
+        want = [[*library.encode(x, add_special_tokens=False).ids, 2] for x in many]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+    same()
+
+
+def test_pages_of_one_document(spark, library):
+    """One document is read by its pages: a small part of its file's bytes."""
+    import glob
+    import os
+    import random
+
+    rng = random.Random(8)
+    base = [" ".join(rng.choices(["alpha", "beta", "river", "the", "and", "zebra", "stone"], k=400)) for _ in range(1500)]
+    folder_ = store.new_dir(spark, "test")
+    manifest = token_files.write_tokens(documents(spark, base).coalesce(1), bpe.word_tokenizer(), folder_)
+    whole = sum(os.path.getsize(x) for x in glob.glob(folder_.removeprefix("file://") + "/part-*.parquet"))
+    stats = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = stats()
+    (got,) = token_files.pick_tokens(manifest, [777]).collect()
+    read = stats() - before
+    assert got.ids == [*library.encode(base[777], add_special_tokens=False).ids, 2] and got.n_tokens == len(got.ids)
+    assert got.start == sum(len(library.encode(x, add_special_tokens=False).ids) + 1 for x in base[:777])
+    assert read < whole / 4, (read, whole)
+    assert sorted(r.doc_id for r in token_files.pick_tokens(manifest, [3, 1400, 99_999]).collect()) == [3, 1400]
+    assert token_files.pick_tokens(manifest, [99_999]).count() == token_files.pick_tokens(manifest, []).count() == 0
+
+
+def test_ids_of_other_kinds(spark):
+    rows = spark.createDataFrame([("x", "a b")], "doc_id string, text string")
+    with pytest.raises(ValueError):
+        token_files.write_tokens(rows, bpe.word_tokenizer(), store.new_dir(spark, "test"))
+    assert [r.doc_id for r in bpe.encode_digests(rows, bpe.word_tokenizer()).collect()] == ["x"]
+
+
 def test_batches_are_bounded_unless_the_session_says_so(spark):
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(limit)
