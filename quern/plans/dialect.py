@@ -2,7 +2,8 @@
 
 ``@name`` in a text stands for a base relation (a common table expression) that each dialect writes in its own
 way; ``{table}`` stands for an input table; ``$cat(x; sep; order)`` joins strings of a group in order and ``$all(s; pattern)``
-gives all matches; ``$adv(ch$)`` is a character's advance and ``$wide(ch$)`` whether it takes two columns. The rest is ANSI SQL.
+gives all matches; ``$each(low; high; k$)`` after a relation gives its rows once for each k from low to high (which isn't below it);
+``$adv(ch$)`` is a character's advance and ``$wide(ch$)`` whether it takes two columns. The rest is ANSI SQL.
 """
 
 from __future__ import annotations
@@ -101,6 +102,8 @@ def _text(body: str, which: int) -> str:
     body = re.sub(r"\$wide\(([^$]*)\$\)", lambda m: "(" + _IS_WIDE.replace("%s", m[1]) + ")", body)
     if recursive:
         body = body.replace("WITH ", "WITH RECURSIVE ", 1)
+    each = (r"LATERAL VIEW explode(sequence(CAST(\1 AS INT), CAST(\2 AS INT))) each_\3 AS \3", r", unnest(generate_series(CAST(\1 AS INT), CAST(\2 AS INT))) AS each_\3(\3)")[which]
+    body = re.sub(r"\$each\(([^;]*); ([^;]*); (\w+)\$\)", each, body)
     if which == 0:
         body = re.sub(r"\$cat\(([^;]*); ([^;]*); ([^;]*)\$\)", r"listagg(\1, \2) WITHIN GROUP (ORDER BY \3)", body)
         body = re.sub(r"\$all\(([^;]*); ([^;]*)\$\)", r"regexp_extract_all(\1, \2, 0)", body)

@@ -47,12 +47,24 @@ plan("half_block_rows", "WITH @pix SELECT a.vec_id, CAST(a.y / 2 AS INT) AS line
 
 # Run edges within a block. The direction of a mark is the axis of its ink, by second moments.
 _NODES = f"{CELLS}, axis AS (SELECT vec_id, sum((x - mx) * (x - mx)) AS sxx, sum((y - my) * (y - my)) AS syy, sum((x - mx) * (y - my)) AS sxy FROM pix JOIN (SELECT vec_id, avg(CAST(x AS DOUBLE)) AS mx, avg(CAST(y AS DOUBLE)) AS my FROM pix WHERE v = 1 GROUP BY vec_id) m USING (vec_id) WHERE v = 1 GROUP BY vec_id), node AS (SELECT vec_id AS id, label, i_left AS a0, i_right AS a1, i_top AS c0, i_bottom AS c1, i_bottom - i_top + 1 AS size, cen, b_right, b_left, CAST(round(degrees(0.5 * atan2(2.0 * sxy, sxx - syy)) + CASE WHEN round(2.0 * sxy, 9) < 0 THEN 180 ELSE 0 END, 9) AS DOUBLE) AS dom FROM cells JOIN axis USING (vec_id))"
+# Each rule joins by equality within a block: the entry margins that an exit still reaches, rounded centroids, bins of 15 degrees on a
+# circle of 180, and the extents (36 at most) that one end parts.
+_SHARED, _TURN = "least(a.c1, b.c1) >= greatest(a.c0, b.c0)", "least(abs(a.dom - b.dom), 180 - abs(a.dom - b.dom))"
+_ENDS = "least(abs(x.c0 - y.c0), abs(x.c1 - y.c1), abs(x.c0 - y.c1), abs(x.c1 - y.c0))"
 EDGES = f"""{_NODES},
-contact AS (SELECT a.id AS src, b.id AS dst, 'contact' AS rule, CAST(7 - a.a1 + b.a0 AS DOUBLE) + 1.0 - CASE WHEN a.b_right <> 0 AND b.b_left <> 0 THEN CAST(bit_count(a.b_right & b.b_left) AS DOUBLE) / bit_count(a.b_right | b.b_left) ELSE 0.0 END AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND 7 - a.a1 + b.a0 <= 4 AND least(a.c1, b.c1) >= greatest(a.c0, b.c0)),
+reach AS (SELECT o.*, margin FROM (SELECT * FROM node WHERE a1 >= 3) o $each(0; a1 - 3; margin$)),
+contact AS (SELECT a.id AS src, b.id AS dst, 'contact' AS rule, CAST(7 - a.a1 + b.a0 AS DOUBLE) + 1.0 - CASE WHEN a.b_right <> 0 AND b.b_left <> 0 THEN CAST(bit_count(a.b_right & b.b_left) AS DOUBLE) / bit_count(a.b_right | b.b_left) ELSE 0.0 END AS cost FROM reach a JOIN node b ON a.label = b.label AND b.a0 = a.margin WHERE a.id <> b.id AND {_SHARED}),
 rep AS (SELECT id AS src, id AS dst, 'repeat' AS rule, CAST(0.5 AS DOUBLE) AS cost FROM node),
-step AS (SELECT a.id AS src, b.id AS dst, 'step' AS rule, CAST(0.5 AS DOUBLE) AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND a.size <= 5 AND b.size <= 5 AND abs(a.cen - b.cen) <= 1),
-turn AS (SELECT a.id AS src, b.id AS dst, 'turn' AS rule, 1.0 + least(abs(a.dom - b.dom), 180 - abs(a.dom - b.dom)) / 45 AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND least(abs(a.dom - b.dom), 180 - abs(a.dom - b.dom)) <= 45 AND a.size >= 4 AND b.size >= 4 AND least(a.c1, b.c1) >= greatest(a.c0, b.c0)),
-ends AS (SELECT a.id AS src, b.id AS dst, 'end' AS rule, 1.0 + least(abs(a.c0 - b.c0), abs(a.c1 - b.c1), abs(a.c0 - b.c1), abs(a.c1 - b.c0)) / CAST(4 AS DOUBLE) AS cost FROM node a JOIN node b ON a.label = b.label AND a.id <> b.id AND least(a.c1, b.c1) < greatest(a.c0, b.c0) AND greatest(a.size, b.size) > 5 AND least(abs(a.c0 - b.c0), abs(a.c1 - b.c1), abs(a.c0 - b.c1), abs(a.c1 - b.c0)) <= 4),
+low AS (SELECT *, CAST(round(cen) AS INT) AS height FROM node WHERE size <= 5),
+lows AS (SELECT o.*, level FROM low o $each(round(cen - 1); round(cen + 1); level$)),
+step AS (SELECT a.id AS src, b.id AS dst, 'step' AS rule, CAST(0.5 AS DOUBLE) AS cost FROM lows a JOIN low b ON a.label = b.label AND b.height = a.level WHERE a.id <> b.id AND abs(a.cen - b.cen) <= 1),
+facing AS (SELECT *, CAST(floor(dom / 15) AS INT) % 12 AS bin FROM node WHERE size >= 4),
+faces AS (SELECT o.*, (bin + 12 + way) % 12 AS towards FROM facing o $each(-3; 3; way$)),
+turn AS (SELECT a.id AS src, b.id AS dst, 'turn' AS rule, 1.0 + {_TURN} / 45 AS cost FROM faces a JOIN facing b ON a.label = b.label AND b.bin = a.towards WHERE a.id <> b.id AND {_TURN} <= 45 AND {_SHARED}),
+extent AS (SELECT DISTINCT c0, c1, size FROM node),
+parted AS (SELECT x.c0 AS p0, x.c1 AS p1, y.c0 AS q0, y.c1 AS q1, {_ENDS} AS far FROM extent x CROSS JOIN extent y WHERE least(x.c1, y.c1) < greatest(x.c0, y.c0) AND greatest(x.size, y.size) > 5 AND {_ENDS} <= 4),
+tall AS (SELECT o.*, q0, q1, far FROM node o JOIN parted ON o.c0 = p0 AND o.c1 = p1),
+ends AS (SELECT a.id AS src, b.id AS dst, 'end' AS rule, 1.0 + a.far / CAST(4 AS DOUBLE) AS cost FROM tall a JOIN node b ON a.label = b.label AND b.c0 = a.q0 AND b.c1 = a.q1),
 edges AS (SELECT * FROM contact UNION ALL SELECT * FROM rep UNION ALL SELECT * FROM step UNION ALL SELECT * FROM turn UNION ALL SELECT * FROM ends)"""
 plan("run_edges", f"WITH {EDGES} SELECT rule, count(*) AS n, round(min(cost), 6) AS least, round(max(cost), 6) AS most, round(avg(cost), 6) AS mean FROM edges GROUP BY rule")
 _QUOTA = f"{EDGES}, b AS (SELECT *, floor(cost) AS bucket FROM edges), r1 AS (SELECT *, row_number() OVER (PARTITION BY src, rule, bucket ORDER BY cost, dst) AS rb, row_number() OVER (PARTITION BY src, rule ORDER BY cost, dst) AS ra FROM b), nb AS (SELECT src, rule, greatest(1, CAST(floor(3.0 / count(DISTINCT bucket)) AS INT)) AS quota FROM b GROUP BY src, rule), o AS (SELECT r1.*, row_number() OVER (PARTITION BY r1.src, r1.rule ORDER BY CASE WHEN rb <= quota THEN 0 ELSE 1 END, ra) AS place FROM r1 JOIN nb ON r1.src = nb.src AND r1.rule = nb.rule), kept AS (SELECT src, dst, rule, cost FROM o WHERE place <= 3)"
