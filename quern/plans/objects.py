@@ -249,6 +249,8 @@ def all_families(spark, sf_dir: str, per_mode: int = 600, largest: int = 16):
         members(cycle_components(spark, sf_dir, 0.72, 4).filter(F.col("size") <= largest), ["component"], "cycle"),
         ramp_families(spark, sf_dir).select(F.lit("ramp").alias("mode"), "members"),
         topo_families(spark, sf_dir).select(F.lit("topo").alias("mode"), "members"),
+        QUERIES["fill_pairs"](spark, sf_dir).select(F.lit("fill").alias("mode"), F.array("outline", "fill").alias("members")),
+        QUERIES["directed_families"](spark, sf_dir).select(F.lit("dir8").alias("mode"), F.split("members", " ").cast("array<long>").alias("members")),
     ]
     every = reduce(lambda a, b: a.unionByName(b), found).withColumn("size", F.size("members").cast("int")).filter(F.col("size").between(2, largest))
     every = every.filter(~F.exists("members", lambda i: (i < 32) | i.between(127, 159) | (i == 173)))

@@ -82,7 +82,6 @@ plan("topk_length_diverse", f"WITH {_QUOTA}, r AS (SELECT 2 AS length, src AS s,
 _COARSE = "@pix, co AS (SELECT vec_id, label, CAST(floor(y / 4) AS INT) AS y, CAST(floor(x / 4) AS INT) AS x, CASE WHEN sum(v) >= 8 THEN 1 ELSE 0 END AS v FROM pix GROUP BY vec_id, label, floor(y / 4), floor(x / 4)), g AS (SELECT vec_id, label, max(CASE WHEN y = 0 AND x = 0 THEN v END) AS a, max(CASE WHEN y = 0 AND x = 1 THEN v END) AS b, max(CASE WHEN y = 1 AND x = 0 THEN v END) AS c, max(CASE WHEN y = 1 AND x = 1 THEN v END) AS d FROM co GROUP BY vec_id, label)"
 plan("spin_orbits", f"WITH {_COARSE}, t AS (SELECT vec_id, label, concat(a, b, c, d) AS f0, concat(b, d, a, c) AS f1, concat(d, c, b, a) AS f2, concat(c, a, d, b) AS f3 FROM g), k AS (SELECT vec_id, label, f0, least(f0, f1, f2, f3) AS key, CASE least(f0, f1, f2, f3) WHEN f0 THEN 0 WHEN f1 THEN 1 WHEN f2 THEN 2 ELSE 3 END AS phase FROM t), u AS (SELECT label, key, f0, phase, min(vec_id) AS vec_id FROM k GROUP BY label, key, f0, phase), n AS (SELECT *, count(*) OVER (PARTITION BY label, key) AS frames FROM u) SELECT label, key, CAST(phase AS INT) AS phase, vec_id, frames FROM n WHERE frames >= 3")
 plan("mirror_pairs", f"WITH {_COARSE}, k AS (SELECT vec_id, label, concat(a, b, c, d) AS own, concat(b, a, d, c) AS mirrored FROM g), f AS (SELECT label, own, mirrored, min(vec_id) AS vec_id FROM k GROUP BY label, own, mirrored) SELECT a.label, least(a.vec_id, b.vec_id) AS lo, greatest(a.vec_id, b.vec_id) AS hi FROM f a JOIN f b ON a.label = b.label AND a.mirrored = b.own AND a.own < b.own")
-plan("fill_pairs", f"WITH {CELLS}, r AS (SELECT vec_id, label, ink, concat(i_top, '-', i_bottom, '-', i_left, '-', i_right, '-', m_top) AS silhouette FROM cells), c AS (SELECT a.vec_id AS outline, b.vec_id AS filled, sum(p.v * q.v) AS common, max(a.ink) AS ia, max(b.ink) AS ib FROM r a JOIN r b ON a.label = b.label AND a.silhouette = b.silhouette AND a.vec_id <> b.vec_id AND b.ink > a.ink JOIN pix p ON p.vec_id = a.vec_id JOIN pix q ON q.vec_id = b.vec_id AND q.y = p.y AND q.x = p.x GROUP BY a.vec_id, b.vec_id) SELECT outline, filled, round(CAST(common AS DOUBLE) / ia, 6) AS cover FROM c WHERE common * 1.0 / ia >= 0.5")
 plan("zoning_buckets", "WITH @pix, z AS (SELECT vec_id, label, floor(y / 4) * 2 + floor(x / 4) AS zone, least(2, CAST(floor(avg(CAST(v AS DOUBLE)) * 3) AS INT)) AS q FROM pix GROUP BY vec_id, label, floor(y / 4), floor(x / 4)), k AS (SELECT vec_id, label, $cat(CAST(q AS VARCHAR(2)); ''; zone$) AS bucket FROM z GROUP BY vec_id, label) SELECT label, bucket, count(*) AS size, min(vec_id) AS least FROM k GROUP BY label, bucket HAVING count(*) >= 2")
 
 #: Letters and decimal digits among the first code points, which shapes have as their ids; and the first letters beyond.

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from quern.plans import corpus, glyphs, objects, runs, seams, shapes, stats  # noqa: E402, F401
+from quern.plans import corpus, families, glyphs, objects, runs, seams, shapes, stats  # noqa: E402, F401
