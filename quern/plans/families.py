@@ -53,11 +53,11 @@ def symmetry_crc(spark, sf_dir: str) -> DataFrame:
 _FILLED = """WITH RECURSIVE pix AS (SELECT vec_id, (k // 8)::INT AS y, (k % 8)::INT AS x, CASE WHEN e > 0 THEN 1 ELSE 0 END AS v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS e FROM embeddings)),
 out AS (SELECT vec_id, y, x FROM pix WHERE v = 0 AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT p.vec_id, p.y, p.x FROM out o JOIN pix p ON p.vec_id = o.vec_id AND p.v = 0 AND abs(p.y - o.y) + abs(p.x - o.x) = 1),
 px AS MATERIALIZED (SELECT pix.*, CASE WHEN v = 0 AND out.vec_id IS NULL THEN 1 ELSE 0 END AS inside FROM pix LEFT JOIN out USING (vec_id, y, x)),
-im AS (SELECT vec_id, k, y, x, CASE k WHEN 0 THEN y * 8 + x WHEN 1 THEN y * 8 + 7 - x WHEN 2 THEN (7 - y) * 8 + x WHEN 3 THEN (7 - y) * 8 + 7 - x WHEN 4 THEN x * 8 + y WHEN 5 THEN x * 8 + 7 - y WHEN 6 THEN (7 - x) * 8 + y ELSE (7 - x) * 8 + 7 - y END AS at, v + inside AS s FROM px, range(8) t(k)),
-solid AS (SELECT vec_id, min(grid) AS solid FROM (SELECT vec_id, k, string_agg(s::VARCHAR, '' ORDER BY at) AS grid FROM im GROUP BY vec_id, k) GROUP BY vec_id),
+im AS (SELECT vec_id, k, y, x, CASE k WHEN 0 THEN y * 8 + x WHEN 1 THEN y * 8 + 7 - x WHEN 2 THEN (7 - y) * 8 + x WHEN 3 THEN (7 - y) * 8 + 7 - x WHEN 4 THEN x * 8 + y WHEN 5 THEN x * 8 + 7 - y WHEN 6 THEN (7 - x) * 8 + y ELSE (7 - x) * 8 + 7 - y END AS place, v + inside AS s FROM px, range(8) t(k)),
+solid AS (SELECT vec_id, min(grid) AS solid FROM (SELECT vec_id, k, string_agg(s::VARCHAR, '' ORDER BY place) AS grid FROM im GROUP BY vec_id, k) GROUP BY vec_id),
 shape AS (SELECT vec_id, solid, sum(v) AS ink, sum(inside) AS n FROM px JOIN solid USING (vec_id) GROUP BY vec_id, solid),
-both AS (SELECT a.vec_id AS outline, b.vec_id AS fill, a.ink, a.n FROM shape a JOIN shape b ON a.solid = b.solid AND a.vec_id <> b.vec_id WHERE a.n > 0 AND a.ink > 0 AND b.ink >= a.ink * {ratio} AND b.n < a.n),
-m AS (SELECT outline, fill, sum(p.v * q.v)::DOUBLE / max(ink) AS cover, sum(p.inside * q.v)::DOUBLE / max(n) AS filled FROM both JOIN px p ON p.vec_id = outline JOIN px q ON q.vec_id = fill AND q.y = p.y AND q.x = p.x GROUP BY outline, fill)
+pair AS (SELECT a.vec_id AS outline, b.vec_id AS fill, a.ink, a.n FROM shape a JOIN shape b ON a.solid = b.solid AND a.vec_id <> b.vec_id WHERE a.n > 0 AND a.ink > 0 AND b.ink >= a.ink * {ratio} AND b.n < a.n),
+m AS (SELECT outline, fill, sum(p.v * q.v)::DOUBLE / max(ink) AS cover, sum(p.inside * q.v)::DOUBLE / max(n) AS filled FROM pair JOIN px p ON p.vec_id = outline JOIN px q ON q.vec_id = fill AND q.y = p.y AND q.x = p.x GROUP BY outline, fill)
 SELECT outline, fill, round(cover, 6) AS cover, round(filled, 6) AS filled FROM m WHERE cover >= {cover} AND filled >= {fill}"""
 
 

@@ -1,7 +1,12 @@
 """Plans over characters, plates and shapes: scripts, hatching, language spans, selections, placements, rasters of rows."""
 
+from pyspark.sql import functions as F
+
 from quern.plans.dialect import plan
 from quern.plans.shapes import _STATS, CELLS
+from quern.registry import query
+from quern.sources import checked, scratch
+from quern.sources.tables import table
 
 # Counts by script
 _SCRIPT = "CASE WHEN ascii(ch) BETWEEN 12353 AND 12438 THEN 'hiragana' WHEN ascii(ch) BETWEEN 12449 AND 12534 THEN 'katakana' WHEN ascii(ch) BETWEEN 19968 AND 40959 THEN 'kanji' ELSE 'other' END"
@@ -40,7 +45,7 @@ plan("browser_page", f"WITH {_STATS}, page AS (SELECT *, d AS density FROM k ORD
 # Order of candidates: least gap first, those without one last, then by port and ink
 plan("candidate_order", f"WITH {CELLS}, pr AS (SELECT vec_id AS a, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM cells), lo AS (SELECT vec_id, x, max(CASE WHEN v = 1 THEN y END) AS last_y, min(CASE WHEN v = 1 THEN y END) AS first_y FROM pix GROUP BY vec_id, x), g AS (SELECT pr.a, pr.b, min(7 - lo.last_y + hi.first_y) AS gap FROM pr JOIN lo ON lo.vec_id = pr.a JOIN lo hi ON hi.vec_id = pr.b AND hi.x = lo.x GROUP BY pr.a, pr.b), j AS (SELECT g.a, g.b, gap, bit_count(p.m_bottom & q.m_top) AS port, p.ink + q.ink AS ink FROM g JOIN cells p ON p.vec_id = g.a JOIN cells q ON q.vec_id = g.b) SELECT a, b, CAST(gap AS INT) AS gap, CAST(port AS INT) AS port, ink FROM j ORDER BY gap ASC NULLS LAST, port DESC, ink, a LIMIT 100")
 # Two by two shapes of a block in one raster
-plan("lattice_composite", f"WITH {CELLS}, q AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM cells), g AS (SELECT q.label, CAST(floor(i / 4) AS BIGINT) AS tile, CAST(floor((i % 4) / 2) * 8 + y AS INT) AS y, CAST((i % 2) * 8 + x AS INT) AS x, v FROM q JOIN pix ON q.vec_id = pix.vec_id) SELECT label, tile, $cat(CAST(v AS VARCHAR(1)); ''; y * 16 + x$) AS grid FROM g GROUP BY label, tile HAVING count(*) = 256")
+plan("lattice_composite", f"WITH {CELLS}, q AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM cells), g AS (SELECT q.label, CAST(floor(i / 4) AS BIGINT) AS tile, CAST(floor((i % 4) / 2) * 8 + y AS INT) AS y, CAST((i % 2) * 8 + x AS INT) AS x, v FROM q JOIN pix ON q.vec_id = pix.vec_id), t AS (SELECT o.*, k FROM (SELECT DISTINCT label, tile FROM g) o $each(0; 255; k$)) SELECT t.label, t.tile, $cat(CAST(coalesce(v, 0) AS VARCHAR(1)); ''; k$) AS grid FROM t LEFT JOIN g ON g.label = t.label AND g.tile = t.tile AND g.y * 16 + g.x = t.k GROUP BY t.label, t.tile")
 # P20: the two relations of a join with their sides' roles swapped
 plan("axis_roles", f"WITH {CELLS}, s AS (SELECT 'stacked' AS relation, m_bottom AS exit_mask, m_top AS entry_mask FROM cells UNION ALL SELECT 'beside', m_right, m_left FROM cells) SELECT relation, count(*) FILTER (WHERE exit_mask <> 0) AS exits, count(*) FILTER (WHERE entry_mask <> 0) AS entries, count(*) FILTER (WHERE exit_mask <> 0 AND exit_mask = entry_mask) AS same FROM s GROUP BY relation")
 # Rows of plates as pixels, a window of them, and shares of ink and of blank surroundings within a row's span
@@ -67,7 +72,16 @@ plan("literal_families", "WITH f AS (SELECT * FROM (VALUES ('slopes', 47), ('slo
 # An export cut at its delimiter, with the number of each part
 plan("export_split", "SELECT doc_id, CAST(i AS INT) AS part, CAST(length(body) AS INT) AS size FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS i, body", "SELECT doc_id, unnest(range(len(ps)))::INT AS part, length(unnest(ps))::INT AS size FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM {documents})")
 # Receipt of a chain of files: pinned hashes against those that are there, in order
-plan("chain_receipt", "WITH pin AS (SELECT item_id, sha2(text, 256) AS h FROM {benchmark}) SELECT b.item_id, p.h AS digest, sha2(b.text, 256) = p.h AS same FROM {benchmark} b JOIN pin p ON b.item_id = p.item_id", "WITH pin AS (SELECT item_id, sha256(text) AS h FROM {benchmark}) SELECT b.item_id, p.h AS digest, sha256(b.text) = p.h AS same FROM {benchmark} b JOIN pin p ON b.item_id = p.item_id")
+
+
+@query("chain_receipt", "SELECT item_id, sha256(text) AS digest FROM benchmark")
+def chain_receipt(spark, sf_dir):
+    """Digests of rows that went through checked parts: written with a manifest, and read again with every part held against it."""
+    path = scratch.folder(spark)
+    checked.write(table(spark, sf_dir, "benchmark").select("item_id", "text"), path, rows_a_part=64)
+    return checked.read(spark, path).select("item_id", F.sha2("text", 256).alias("digest"))
+
+
 # A gallery: the first of each kind and all of a set; names as bitmaps with the characters that have none
 plan("gallery", "WITH k AS (SELECT p_partkey, p_type, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rk FROM {part}) SELECT p_partkey, p_type, CAST(rk AS INT) AS rk FROM k WHERE rk <= 3 OR p_brand = 'Brand#11'")
 plan("name_bitmap", "WITH @pix, c AS (SELECT n_nationkey, p, substr(n_name, p, 1) AS ch FROM {nation} CROSS JOIN (SELECT i + 1 AS p FROM nums) k WHERE p <= length(n_name)), j AS (SELECT c.n_nationkey, c.ch, e.vec_id, e.ink FROM c LEFT JOIN (SELECT vec_id, sum(v) AS ink FROM pix GROUP BY vec_id) e ON e.vec_id = ascii(c.ch)) SELECT n_nationkey, CAST(sum(coalesce(ink, 0)) AS BIGINT) AS ink, count(*) FILTER (WHERE vec_id IS NULL) AS missing FROM j GROUP BY n_nationkey".replace("WITH @pix,", "WITH @nums, @pix,"))

@@ -113,4 +113,4 @@ _GAPS = "edge AS (SELECT vec_id, y, max(CASE WHEN v = 1 THEN x END) AS last_x, m
 _MEASURED = "j AS (SELECT code, chars, p.gap AS g1, q.gap AS g2 FROM combos JOIN d p ON p.x = %A% AND p.y = %B% JOIN d q ON q.x = %B% AND q.y = code % 29 WHERE shape = 'line_h3') SELECT coalesce(g1 = 0 AND g2 = 0, FALSE) AS connected_all, coalesce(g1 = 0, FALSE) OR coalesce(g2 = 0, FALSE) AS connected_any, count(*) AS n, round(avg(CASE WHEN g1 IS NULL THEN CAST(g2 AS DOUBLE) WHEN g2 IS NULL THEN CAST(g1 AS DOUBLE) ELSE (g1 + g2) / CAST(2 AS DOUBLE) END), 6) AS mean_gap FROM j GROUP BY 1, 2"
 plan("combo_measured", f"WITH @pix, {_S}, {_GAPS}, " + _MEASURED.replace("%A%", "CAST(floor(code / 841) AS INT)").replace("%B%", "CAST(floor(code / 29) AS INT) % 29"), f"WITH @pix, {_D}, {_GAPS}, " + _MEASURED.replace("%A%", "code // 841").replace("%B%", "(code // 29) % 29"))
 # Profile of a run of altitudes
-plan("profile_class", "WITH @rws, p AS (SELECT vec_id, y, CAST(bit_count(bits) AS DOUBLE) AS z FROM rws WHERE y < 4), d AS (SELECT vec_id, y, z - lag(z) OVER (PARTITION BY vec_id ORDER BY y) AS d FROM p), s AS (SELECT vec_id, y, CASE WHEN abs(d) < 0.75 THEN 0 ELSE sign(d) END AS s FROM d WHERE d IS NOT NULL), n AS (SELECT vec_id, y, s, lag(s) OVER (PARTITION BY vec_id ORDER BY y) AS before FROM s WHERE s <> 0), a AS (SELECT vec_id, count(*) AS moves, count(*) FILTER (WHERE before IS NOT NULL AND before <> s) AS turns, min(y) AS first_y FROM n GROUP BY vec_id), f AS (SELECT v.vec_id, coalesce(moves, 0) AS moves, coalesce(turns, 0) AS turns, n.s AS first_s FROM (SELECT DISTINCT vec_id FROM rws) v LEFT JOIN a ON v.vec_id = a.vec_id LEFT JOIN n ON n.vec_id = a.vec_id AND n.y = a.first_y) SELECT vec_id, CASE WHEN moves = 0 THEN 'flat' WHEN turns = 0 AND first_s < 0 THEN 'rising' WHEN turns = 0 THEN 'falling' WHEN turns = 1 AND first_s < 0 THEN 'cap' WHEN turns = 1 THEN 'cup' ELSE 'wave' END AS profile FROM f")
+plan("profile_class", "WITH @rws, p AS (SELECT vec_id, y, CAST(bit_count(bits) AS DOUBLE) AS z FROM rws), d AS (SELECT vec_id, y, z - lag(z) OVER (PARTITION BY vec_id ORDER BY y) AS d FROM p), s AS (SELECT vec_id, y, CASE WHEN abs(d) < 0.75 THEN 0 ELSE sign(d) END AS s FROM d WHERE d IS NOT NULL), n AS (SELECT vec_id, y, s, lag(s) OVER (PARTITION BY vec_id ORDER BY y) AS before FROM s WHERE s <> 0), a AS (SELECT vec_id, count(*) AS moves, count(*) FILTER (WHERE before IS NOT NULL AND before <> s) AS turns, min(y) AS first_y FROM n GROUP BY vec_id), f AS (SELECT v.vec_id, coalesce(moves, 0) AS moves, coalesce(turns, 0) AS turns, n.s AS first_s FROM (SELECT DISTINCT vec_id FROM rws) v LEFT JOIN a ON v.vec_id = a.vec_id LEFT JOIN n ON n.vec_id = a.vec_id AND n.y = a.first_y) SELECT vec_id, CASE WHEN moves = 0 THEN 'flat' WHEN turns = 0 AND first_s < 0 THEN 'rising' WHEN turns = 0 THEN 'falling' WHEN turns = 1 AND first_s < 0 THEN 'cap' WHEN turns = 1 THEN 'cup' ELSE 'wave' END AS profile FROM f")

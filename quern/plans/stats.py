@@ -117,7 +117,13 @@ plan("json_terms", "SELECT CAST(get_json_object(props, '$.k') AS INT) AS k, coun
 # Rates per thousand lines, keys of entries
 plan("rate_per_1k", "WITH @bigr, n AS (SELECT slug, count(*) AS n_lines FROM lines GROUP BY slug), c AS (SELECT slug, count(*) AS n FROM bigr WHERE g = 'th' GROUP BY slug) SELECT c.slug, round(CAST(1000 AS DOUBLE) * c.n / n.n_lines, 4) AS rate FROM c JOIN n ON c.slug = n.slug")
 # Numeric character references
-plan("numeric_entities", "WITH e AS (SELECT page_id, ref FROM {pages} LATERAL VIEW explode(regexp_extract_all(html, '&#[0-9]+;', 0)) t AS ref) SELECT ref, chr(CAST(substr(ref, 3, length(ref) - 3) AS INT)) AS ch, count(*) AS n, count(DISTINCT page_id) AS pages FROM e WHERE CAST(substr(ref, 3, length(ref) - 3) AS INT) < 128 GROUP BY ref", "WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '&#[0-9]+;')) AS ref FROM {pages}) SELECT ref, chr(substr(ref, 3, length(ref) - 3)::INT) AS ch, count(*) AS n, count(DISTINCT page_id) AS pages FROM e WHERE substr(ref, 3, length(ref) - 3)::INT < 128 GROUP BY ref")
+# any code point, decimal or hexadecimal; what is no character (zero, surrogates, beyond the last one) becomes U+FFFD
+_REFS = "r AS (SELECT page_id, ref, {number} AS cp FROM e), c AS (SELECT page_id, ref, CASE WHEN cp IS NULL OR cp <= 0 OR cp > 1114111 OR cp BETWEEN 55296 AND 57343 THEN 65533 ELSE cp END AS cp FROM r) SELECT ref, {char} AS ch, count(*) AS n, count(DISTINCT page_id) AS pages FROM c GROUP BY ref, cp"
+plan(
+    "numeric_entities",
+    "WITH e AS (SELECT page_id, ref FROM {pages} LATERAL VIEW explode(regexp_extract_all(html, '&#([0-9]+|[xX][0-9A-Fa-f]+);', 0)) t AS ref), " + _REFS.replace("{number}", "CASE WHEN lower(substr(ref, 3, 1)) = 'x' THEN CASE WHEN length(ref) <= 15 THEN CAST(conv(substr(ref, 4, length(ref) - 4), 16, 10) AS BIGINT) END ELSE try_cast(substr(ref, 3, length(ref) - 3) AS BIGINT) END").replace("{char}", "decode(unhex(lpad(hex(cp), 8, '0')), 'UTF-32')"),
+    "WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '&#([0-9]+|[xX][0-9A-Fa-f]+);')) AS ref FROM {pages}), " + _REFS.replace("{number}", "CASE WHEN lower(substr(ref, 3, 1)) = 'x' THEN CASE WHEN length(ref) <= 15 THEN TRY_CAST('0x' || substr(ref, 4, length(ref) - 4) AS BIGINT) END ELSE TRY_CAST(substr(ref, 3, length(ref) - 3) AS BIGINT) END").replace("{char}", "chr(cp::INT)"),
+)
 plan("named_entities", "WITH e AS (SELECT page_id, ref FROM {pages} LATERAL VIEW explode(regexp_extract_all(html, '&[a-z]+;', 0)) t AS ref) SELECT ref, count(*) AS n, count(DISTINCT page_id) AS pages FROM e GROUP BY ref", "WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '&[a-z]+;')) AS ref FROM {pages}) SELECT ref, count(*) AS n, count(DISTINCT page_id) AS pages FROM e GROUP BY ref")
 # Template scores over slots, overview by pooling
 plan("template_scores", "WITH @pix, t AS (SELECT vec_id AS slot, y, x, v AS m FROM pix WHERE vec_id < 10), s AS (SELECT p.vec_id, t.slot, sum(CASE WHEN v = 1 AND m = 1 THEN 18 WHEN v = 0 AND m = 0 THEN 3 WHEN v = 1 THEN -18 ELSE 6 END) AS score FROM pix p JOIN t ON p.y = t.y AND p.x = t.x GROUP BY p.vec_id, t.slot), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, slot) AS rk FROM s) SELECT vec_id, slot, CAST(score AS BIGINT) AS score FROM k WHERE rk = 1")
