@@ -54,11 +54,7 @@ plan("idiom_subtraction", f"WITH @trig, i AS (SELECT * FROM (VALUES {_IDIOMS}) v
 # Strokes over strokes in the next row, centres at most 3 pixels apart
 _STACK = """laid AS (SELECT slug, page, r, p, ch, CAST($adv(ch$) AS DOUBLE) AS adv, sum(CAST($adv(ch$) AS DOUBLE)) OVER (PARTITION BY page, r ORDER BY p ROWS UNBOUNDED PRECEDING) AS pen FROM chars),
 s AS (SELECT slug, page, r, ch, pen - adv / 2 AS c FROM laid WHERE ch >= 'A' AND ch <= 'Z' AND length(ch) = 1)"""
-plan(
-    "stacks",
-    f"WITH @chars, {_STACK}, u AS (SELECT *, floor(c / 3) AS b FROM s), l AS (SELECT s.*, floor(c / 3) + o AS b FROM s LATERAL VIEW explode(array(-1, 0, 1)) t AS o) SELECT u.ch AS upper_ch, l.ch AS lower_ch, CAST(rint(l.c - u.c) AS INT) AS dx, count(*) AS n, count(DISTINCT u.page) AS pages FROM u JOIN l ON u.page = l.page AND l.r = u.r + 1 AND u.b = l.b WHERE abs(l.c - u.c) <= 3 GROUP BY 1, 2, 3",
-    f"WITH @chars, {_STACK} SELECT u.ch AS upper_ch, l.ch AS lower_ch, round_even(l.c - u.c, 0)::INT AS dx, count(*) AS n, count(DISTINCT u.page) AS pages FROM s u JOIN s l ON u.page = l.page AND l.r = u.r + 1 WHERE abs(l.c - u.c) <= 3 GROUP BY 1, 2, 3",
-)
+STACKS = f"WITH @chars, {_STACK} SELECT u.ch AS upper_ch, l.ch AS lower_ch, round_even(l.c - u.c, 0)::INT AS dx, count(*) AS n, count(DISTINCT u.page) AS pages FROM s u JOIN s l ON u.page = l.page AND l.r = u.r + 1 WHERE abs(l.c - u.c) <= 3 GROUP BY 1, 2, 3"
 # Tag of a page by shares of at least 0.6, outline first
 _TAG = "SELECT page, CASE WHEN ink = 0 THEN 'empty' WHEN outline >= 0.6 * ink THEN 'outline' WHEN tone >= 0.6 * ink THEN 'tone' ELSE 'mixed' END AS tag, ink, outline, tone FROM c"
 plan(
@@ -85,14 +81,11 @@ plan("blocks_2x2", "WITH @pchars, w AS (SELECT item_id, r, p, concat(ch, lead(ch
 _CELLS = """laid AS (SELECT slug, page, r, p, ch, CAST(floor((sum($adv(ch$)) OVER (PARTITION BY page, r ORDER BY p ROWS UNBOUNDED PRECEDING) - $adv(ch$)) / 16) AS INT) AS c FROM chars),
 cells AS (SELECT slug, page, r, c, $cat(ch; ''; p$) AS code, CAST(max(CASE WHEN ch <> ' ' THEN 1 ELSE 0 END) AS INT) AS ink FROM laid GROUP BY slug, page, r, c)"""
 plan("lattice_cells", f"WITH @chars, {_CELLS} SELECT code, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS slugs FROM cells WHERE ink = 1 GROUP BY code HAVING count(*) >= 3")
-plan(
-    "window_patterns",
-    f"""WITH @chars, {_CELLS},
+WINDOWS = f"""WITH @chars, {_CELLS},
 side AS (SELECT slug, page, r, c, code, ink, lead(c) OVER (PARTITION BY page, r ORDER BY c) AS c2, lead(code) OVER (PARTITION BY page, r ORDER BY c) AS code2, lead(ink) OVER (PARTITION BY page, r ORDER BY c) AS ink2 FROM cells),
 two AS (SELECT * FROM side WHERE c2 = c + 1 AND ink + ink2 > 0),
 w AS (SELECT a.slug, a.page, concat(a.code, '|', a.code2, '/', b.code, '|', b.code2) AS k FROM two a JOIN two b ON a.page = b.page AND b.r = a.r + 1 AND b.c = a.c WHERE a.ink + b.ink > 0 AND a.ink2 + b.ink2 > 0)
-SELECT k, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS slugs FROM w GROUP BY k HAVING count(DISTINCT page) >= 2""",
-)
+SELECT k, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT slug) AS slugs FROM w GROUP BY k HAVING count(DISTINCT page) >= 2"""
 # Windows of 2 to 12 by 2 to 12 cells of plates with ink on all four borders, and what is counted of each size. A cell goes to the
 # strips of its row that have it, and an inked strip to the windows that have it, so blank cells and rows cost nothing
 plan(

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from quern.plans import corpus, families, glyphs, lenses, objects, runs, seams, shapes, stats, strings  # noqa: E402, F401
+from quern.plans import corpus, families, glyphs, laid, lenses, objects, runs, seams, shapes, stats, strings  # noqa: E402, F401
