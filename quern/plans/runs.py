@@ -7,11 +7,11 @@ running values only: the sense of its height, its changes, its roughness and its
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans import seams  # noqa: F401  (registers the edges)
 from quern.plans.dialect import _text
-from quern.plans.seams import _NODES
 from quern.registry import ORACLE, QUERIES, query
 from quern.sources.scratch import written
-from quern.sources.tables import table
+from quern.sources.tables import cells, table
 
 #: What counts as a change of height, the most that a turn may turn, and in a score the parts of height and of direction.
 LEVEL, MOST_TURN, HEIGHT_PART, TURN_PART = 0.75, 60.0, 4.0, 90.0
@@ -25,7 +25,7 @@ def steps(spark, sf_dir: str) -> DataFrame:
     lit = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform(F.slice("embedding", y * 8 + 1, 8), lambda e: e > 0))
     place = lambda row: F.nullif(F.array_position(row, True), F.lit(0))
     margins = shapes.select(F.col("vec_id").alias("id"), lit.alias("rows")).select("id", F.transform("rows", lambda r: 8 - place(F.reverse(r))).alias("last"), F.transform("rows", lambda r: place(r) - 1).alias("first"))
-    own = spark.sql(_text(f"WITH {_NODES} SELECT id, cen, dom FROM node", 0).replace("{embeddings}", "{shapes}"), shapes=shapes).join(margins, "id")
+    own = spark.sql(_text("WITH @node SELECT id, cen, dom FROM node", 0), cells=cells(spark, sf_dir)).join(margins, "id")
     a, b = (own.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("cen", "dom", "last", "first")]) for k in ("src", "dst"))
     edges = QUERIES["run_edge_quota"](spark, sf_dir).join(a, "src").join(b, "dst")
     rise, apart = F.col("dst_cen") - F.col("src_cen"), F.abs(F.col("dst_dom") - F.col("src_dom"))
@@ -90,7 +90,7 @@ def chosen(paths: DataFrame, per_start: int = 8) -> DataFrame:
 
 
 def _oracle(length: int, per_start: int) -> str:
-    return f"""WITH RECURSIVE {_text(_NODES, 1).replace("{embeddings}", "embeddings")}, edges AS ({ORACLE["run_edge_quota"]}),
+    return f"""WITH RECURSIVE {_text("@node", 1).replace("{embeddings}", "embeddings")}, edges AS ({ORACLE["run_edge_quota"]}),
 ext AS (SELECT vec_id, y, min(x) AS first, max(x) AS last FROM pix WHERE v = 1 GROUP BY vec_id, y),
 gaps AS (SELECT src, dst, min(7 - a.last + b.first) AS gap FROM (SELECT DISTINCT src, dst FROM edges) JOIN ext a ON a.vec_id = src JOIN ext b ON b.vec_id = dst AND b.y = a.y GROUP BY src, dst),
 went AS MATERIALIZED (SELECT edges.*, y.cen - x.cen AS rise, CASE WHEN abs(y.cen - x.cen) < {LEVEL} THEN 0 ELSE sign(y.cen - x.cen)::INT END AS sense, least(abs(y.dom - x.dom), 180 - abs(y.dom - x.dom)) AS turned, gap FROM edges JOIN node x ON x.id = edges.src JOIN node y ON y.id = edges.dst LEFT JOIN gaps USING (src, dst)),
