@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -120,21 +122,35 @@ def automaton(patterns: list[str]):
     return out
 
 
+#: Rows of what is found that a task gathers before it hands them on.
+FOUND = 1 << 16
+
+
 def _counted(patterns: list[str]):
+    names = pa.array(patterns, pa.string())
+
+    def rows(batch: pa.RecordBatch, at: array, kinds: array, n: array) -> pa.RecordBatch:
+        at = pa.array(np.frombuffer(at, np.int64))
+        where = [batch.column(c).take(at) for c in ("doc_id", "source", "lang")]
+        return pa.record_batch([names.take(pa.array(np.frombuffer(kinds, np.int64))), *where, pa.array(np.array(n))], ["idiom", "page", "slug", "lang", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(patterns)
-        for batch in batches:
-            rows = []
-            for page, slug, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "lang", "text"))):
+        for batch in batches if patterns else ():
+            found = [array("q") for _ in range(3)]  # a page's place in the batch, the pattern, how often
+            for at, text in enumerate(batch.column("text")):
                 ends: dict[int, int] = {}
                 n: Counter = Counter()
-                for end, (k, size) in machine.iter(text or "") if patterns else ():
+                for end, (k, size) in machine.iter(text.as_py() or ""):
                     if end - size >= ends.get(k, -1):  # a pattern's occurrences don't overlap
                         ends[k] = end
                         n[k] += 1
-                rows += [(patterns[k], page, slug, lang, c) for k, c in n.items()]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, kinds)], ["idiom", "page", "slug", "lang", "n"])
+                for out, more in zip(found, (repeat(at, len(n)), n.keys(), n.values())):
+                    out.extend(more)
+                if len(found[0]) >= FOUND:
+                    yield rows(batch, *found)
+                    found = [array("q") for _ in range(3)]
+            yield rows(batch, *found)
 
     return run
 

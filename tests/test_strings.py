@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.plans import strings
@@ -60,3 +61,16 @@ def test_ten_thousand_patterns_in_one_scan(spark):
     assert strings.idiom_table(frame, []).count() == 0
     inside = {x.idiom: x.inside for x in strings.idiom_table(frame, ["ab", "abc", "cab", "zz"]).collect()}
     assert inside == {"ab": 2, "abc": 0, "cab": 0}
+
+
+def test_idioms_found_are_handed_on_in_parts():
+    """A batch of many pages gives no batch of all that is found in it, and no row is lost between two parts."""
+    patterns = [f"{a}{b}" for a in "abcd" for b in "abcd"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcd", k=120)) for _ in range(20_000)] + [None, ""]
+    size = len(texts)
+    batch = pa.record_batch([pa.array(range(size)), pa.array([f"s{k % 3}" for k in range(size)]), pa.array([None] * size, pa.string()), pa.array(texts)], ["doc_id", "source", "lang", "text"])
+    parts = list(strings._counted(patterns)(iter([batch])))
+    assert max(x.num_rows for x in parts) < strings.FOUND + len(patterns) < sum(x.num_rows for x in parts)
+    got = sorted((x["page"], x["idiom"], x["slug"], x["n"]) for p in parts for x in p.to_pylist())
+    assert got == sorted((k, p, f"s{k % 3}", t.count(p)) for k, t in enumerate(texts) if t for p in patterns if p in t)
