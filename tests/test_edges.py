@@ -12,7 +12,7 @@ from quern.operators import edges
 
 QUERIES = ("run_edges", "run_edge_quota", "run_paths", "run_collapse", "topk_length_diverse")
 #: Those that don't pair marks.
-CLASSED = ("run_collapse", "run_paths", "topk_length_diverse", "run_edge_quota")
+CLASSED = ("run_collapse", "run_paths", "topk_length_diverse", "run_edge_quota", "run_edges")
 
 
 def small(rng):
