@@ -1,14 +1,17 @@
 """Walks over run edges: coherent runs of several lengths, a frontier that grows by one mark in each round.
 
-An edge carries all that a step adds (height, turn, gap), so a round is one equality join of the frontier with the edges, and a path holds
-running values only: the sense of its height, its changes, its roughness and its worst gap.
+An edge carries all that a step adds (height, turn, gap), so a path holds running values only: the sense of its height, its changes, its
+roughness and its worst gap. Edges stay within a block, so ``run_walks`` walks in tasks that have a block's edges, and no path leaves one
+but the chosen; ``walk`` has a round as one equality join of the frontier with any edges.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.walks import walks_of_group
 from quern.plans import seams  # noqa: F401  (registers the edges)
 from quern.plans.dialect import _text
+from quern.plans.marks import dealt
 from quern.registry import ORACLE, QUERIES, query
 from quern.sources.scratch import written
 from quern.sources.tables import cells, table
@@ -17,6 +20,9 @@ from quern.sources.tables import cells, table
 LEVEL, MOST_TURN, HEIGHT_PART, TURN_PART = 0.75, 60.0, 4.0, 90.0
 #: Rules in the order in which a mark's edges are taken.
 RULES = ("contact", "step", "turn", "end", "repeat")
+#: Groups that a block's starts are dealt to, each with all edges of the block, and what a chosen path has.
+SALTS = 8
+KEPT = "start long, nodes array<long>, rules array<string>, mean double, rough double, turns double, first int, changes int, worst int"
 
 
 def steps(spark, sf_dir: str) -> DataFrame:
@@ -82,7 +88,11 @@ def chosen(paths: DataFrame, per_start: int = 8) -> DataFrame:
     ranked = paths.withColumn("rank", F.row_number().over(own)).withColumn("quota", F.greatest(F.lit(1), F.floor(F.lit(per_start) / mixes)))
     sure = F.col("rank") <= F.col("quota")
     place = F.row_number().over(Window.partitionBy("start").orderBy(F.when(sure, 0).otherwise(1), *best))
-    picked = ranked.withColumn("sure", sure).withColumn("place", place).filter((F.col("place") <= per_start) | F.col("sure"))
+    return described(ranked.withColumn("sure", sure).withColumn("place", place).filter((F.col("place") <= per_start) | F.col("sure")))
+
+
+def described(picked: DataFrame) -> DataFrame:
+    """Chosen paths with their score and their profile of height."""
     profile = F.when(F.col("first") == 0, "flat").when(F.col("changes") == 0, F.when(F.col("first") > 0, "falling").otherwise("rising")).when(F.col("first") > 0, "cup").otherwise("cap")
     score = F.col("worst") + F.col("rough") / HEIGHT_PART + F.col("turns") / TURN_PART
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
@@ -107,5 +117,7 @@ SELECT start, array_to_string(nodes, ' ') AS nodes, array_to_string(rules, ' ')
 @query("run_walks", _oracle(4, 8))
 def run_walks(spark, sf_dir: str, length: int = 4, per_start: int = 8, budget: int = 4000) -> DataFrame:
     """The chosen runs of each shape: their marks, rules, mean cost, worst gap, score (worst gap and roughness) and profile of height."""
-    edges = written(steps(spark, sf_dir))  # each round joins them again
-    return chosen(walk(edges, edges.select(F.col("src").alias("start")).distinct(), length, budget), per_start)
+    edges = steps(spark, sf_dir).withColumn("rule", F.array_position(F.array(*map(F.lit, sorted(RULES))), F.col("rule")).cast("int") - 1)
+    blocks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), "label")
+    found = dealt(edges.join(blocks, "src"), "src", SALTS).applyInArrow(walks_of_group(tuple(sorted(RULES)), length, per_start, budget, MOST_TURN), KEPT)
+    return described(found)

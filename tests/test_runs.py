@@ -4,11 +4,13 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_objects import number, shapes
 
 from quern import registry
 from quern.operators import raster as r
+from quern.operators import walks
 from quern.plans import runs
 
 EDGES = "src long, dst long, rule string, cost double, at int, rise double, sense int, turned double, gap int"
@@ -70,6 +72,32 @@ def test_shares_of_mixes(spark):
     assert (turn.score, turn.worst_gap, turn.profile) == (2 + 1 + 0.5, 2, "falling")
 
 
+@pytest.mark.parametrize("length,budget,paths", [(2, 4000, 1 << 17), (3, 4000, 1), (4, 4000, 50), (4, 9, 50), (4, 30, 1 << 17), (3, 0, 1)])
+def test_walks_of_a_group(spark, monkeypatch, length, budget, paths):
+    """In arrays, some starts at a time, the chosen paths are those of the rounds of joins."""
+    monkeypatch.setattr(walks, "PATHS", paths)
+    names, rng, rows = tuple(sorted(runs.RULES)), random.Random(length + budget), []
+    for src in range(10, 90, 10):  # the last has no edges
+        for at, (rule, dst) in enumerate(rng.sample([(u, d) for u in ("contact", "turn", "step", "end") for d in range(10, 100, 10)], rng.randint(1, 6)) + [("repeat", src)]):
+            rise = rng.choice((-2.0, -0.5, 0.0, 1.0, 3.0))
+            rows.append((src, dst, rule, rng.choice((0.5, 1.0, rng.random())), at, rise, 0 if abs(rise) < 0.75 else int(np.sign(rise)), rng.choice((10.0, 80.0, None)), rng.choice((0, 2, None))))
+    rng.shuffle(rows)
+    starts = {10, 20, 40, 80}
+    edges = spark.createDataFrame(rows, EDGES)
+    want = runs.chosen(runs.walk(edges, spark.createDataFrame([(k,) for k in starts], "start long"), length, budget), 5).collect()
+    group = pa.table({c: list(v) for c, v in zip(walks.COLUMNS, zip(*[(*x[:2], names.index(x[2]), *x[3:]) for x in rows]))} | {"own": [x[0] in starts for x in rows]})
+    found = walks.walks_of_group(names, length, 5, budget, runs.MOST_TURN)(group)
+    got = runs.described(spark.createDataFrame(found)).collect() if len(found) else []
+    assert sorted(got) == sorted(want) and bool(got) == bool(budget)
+
+
+def test_no_path_leaves_its_task(spark):
+    """Only chosen paths are rows: no window over paths and no round of joins."""
+    plan = registry.QUERIES["run_walks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert "Window" not in above and "Join" not in above and "Relation" not in above
+
+
 def test_turns_over_the_seam(spark, tmp_path):
     """Directions just above 0 and just below 180 degrees are neighbours on the circle of bins."""
     rise = ["........", "........", ".......#", "########", "########", "#.......", "........", "........"]
